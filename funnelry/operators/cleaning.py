@@ -157,10 +157,14 @@ def purchase_lines(hits: DataFrame, sessions: DataFrame,
 
 # --- M4: long event log -------------------------------------------------------
 def event_log(hits: DataFrame, sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
-    """Mapped hits only (unmapped codes dropped) with the stage name and dims."""
+    """Mapped hits only (unmapped codes dropped) with the stage name and dims.
+
+    ``hitNumber`` is passed through when the hits carry it, else NULL.
+    """
     mapped = hits.where(_code().isin(*spec.codes))
     j = join_hits_sessions(mapped, sessions)
-    return j.select("session_id", F.col("hitNumber").cast("int").alias("hitNumber"),
+    hit_no = F.col("hitNumber") if "hitNumber" in hits.columns else F.lit(None)
+    return j.select("session_id", hit_no.cast("int").alias("hitNumber"),
                     stage_code_to_event(_code(), spec).alias("event_type"),
                     _code().alias(CODE), "productSKU", "v2ProductCategory",
                     "channel", "device", F.col("date").alias("event_date"))
