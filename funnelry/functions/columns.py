@@ -83,7 +83,8 @@ def two_sided_p(z: Column) -> Column:
     Written as the upper tail directly so that it does not cancel to 0 for
     large |z| (z = 19.3 gives 8e-83, not 0).
     """
-    return F.least(erfc_col(F.abs(z) / F.lit(math.sqrt(2.0))), F.lit(1.0))
+    p = F.least(erfc_col(F.abs(z) / F.lit(math.sqrt(2.0))), F.lit(1.0))
+    return F.when(z.isNotNull(), p)     # least() skips NULLs: keep NULL z -> NULL p
 
 
 def erfc_py(x: float) -> float:

@@ -28,12 +28,16 @@ def _code() -> Column:
 def attach_products(hits: DataFrame, products: DataFrame) -> DataFrame:
     """Left join hits to the product dimension by SKU.
 
-    Unknown SKUs keep a NULL category and a 0.0 price. No broadcast hint: the
-    optimizer broadcasts the dimension when its estimated size is under
-    ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at run time) and
-    falls back to a shuffle join beyond it; AQE splits skewed SKUs.
+    Unknown SKUs keep a NULL category and a 0.0 price. The dimension is
+    reduced to one row per SKU (a lookup has one value per key), so hits never
+    fan out and the optimizer drops the join when no product column is read.
+    No broadcast hint: the optimizer broadcasts the dimension when its
+    estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE
+    re-checks at run time) and falls back to a shuffle join beyond it; AQE
+    splits skewed SKUs on the hit side.
     """
-    p = products.select("productSKU", "v2ProductCategory", F.col("productPrice").alias("_price"))
+    p = products.groupBy("productSKU").agg(F.max("v2ProductCategory").alias("v2ProductCategory"),
+                                           F.max("productPrice").alias("_price"))
     h = hits.drop("v2ProductCategory", "productPrice")
     return (h.join(p, "productSKU", "left")
              .withColumn("productPrice", F.coalesce(F.col("_price"), F.lit(0.0)))

@@ -145,7 +145,7 @@ def findings(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, seg: str = "d
                                  (ratio(t[i], t[i - 1]) if i else F.lit(None).cast("double")).alias("step_conv"))
                         for i, lbl in enumerate(spec.labels)])
     steps = F.filter(overall, lambda r: r["step_conv"].isNotNull())
-    leak = F.aggregate(F.slice(steps, 2, n + 1), F.element_at(steps, 1),
+    leak = F.aggregate(F.slice(steps, 2, n + 1), F.try_element_at(steps, F.lit(1)),
                        lambda acc, r: F.when(r["step_conv"] < acc["step_conv"], r).otherwise(acc))
     zt = ztest_columns(F.col("n_hi"), F.col("x_hi"), F.col("n_lo"), F.col("x_lo"))
     op = opportunity_columns(F.col("n_hi"), F.col("x_hi"), F.col("n_lo"), F.col("x_lo"),

@@ -158,7 +158,7 @@ def _erfc(x: str) -> str:
     return f"({t} * exp(-(({x}) * ({x})) + {poly}))"
 
 
-_P_VALUE = f"least({_erfc('abs(z) / sqrt(2.0)')}, 1.0)"
+_P_VALUE = f"CASE WHEN z IS NOT NULL THEN least({_erfc('abs(z) / sqrt(2.0)')}, 1.0) END"
 
 
 def _ratio(a: str, b: str) -> str:

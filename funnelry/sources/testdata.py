@@ -110,9 +110,12 @@ def raw_sessions(spark: SparkSession, sf_dir: str, spec: FunnelSpec = DEFAULT_SP
     """
     rolled = session_rollup(raw_hits(spark, sf_dir, **range_kw), spec,
                             keys=("user_id", "event_day"), value_col="value", with_flags=with_flags)
-    cust = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("user_id"), "c_mktsegment", "c_nationkey")
-    nat = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    # Dimensions keyed uniquely (one row per key): no fan-out, and the
+    # optimizer drops a left join whose columns a query never reads.
+    cust = (table(spark, sf_dir, "customer").groupBy(F.col("c_custkey").alias("user_id"))
+            .agg(F.max("c_mktsegment").alias("c_mktsegment"), F.max("c_nationkey").alias("c_nationkey")))
+    nat = (table(spark, sf_dir, "nation").groupBy(F.col("n_nationkey").alias("c_nationkey"))
+           .agg(F.max("n_name").alias("n_name")))
     ymd = F.date_format("event_day", "yyyyMMdd")
     s = rolled.join(cust, "user_id", "left").join(nat, "c_nationkey", "left")
     flag_cols = [st.flag for st in spec.hit_stages] if with_flags else []

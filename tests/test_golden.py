@@ -1,0 +1,86 @@
+"""Second-level checks against the published aggregates (used as literals).
+
+The row-level inputs behind the published tables do not exist, so sessions
+are rebuilt from the device counts where a row-level input is needed (the
+z-test and the opportunity only depend on those counts and the revenue total).
+"""
+
+import pytest
+from pyspark.sql import functions as F
+
+from funnelry.operators import funnel, reports, stats
+
+CHANNELS = [("Affiliates", 4450, 33, 2764.04), ("Direct", 30089, 520, 46438.299993),
+            ("Display", 4469, 16, 1227.72), ("Organic Search", 62750, 840, 75325.099991),
+            ("Paid Search", 15244, 188, 14573.449997), ("Referral", 19465, 400, 38896.419998),
+            ("Social", 13533, 71, 5361.38)]
+MATRIX = {
+    "desktop": [(3252, 30), (21857, 477), (3236, 16), (45870, 770), (11146, 162), (14217, 370), (9897, 62)],
+    "mobile": [(1047, 1), (7097, 29), (1051, 0), (14415, 39), (3469, 19), (4520, 23), (3126, 5)],
+    "tablet": [(151, 2), (1135, 14), (182, 0), (2465, 31), (629, 7), (728, 7), (510, 4)],
+}
+DEVICES = {"desktop": (109475, 1887), "mobile": (34725, 116), "tablet": (5800, 65)}
+TOTAL_MICROS = 184586409979
+
+
+def _sessions(spark):
+    """Session rows with the published device counts; revenue on buyers."""
+    parts = []
+    offset = 0
+    for dev, (n, buyers) in DEVICES.items():
+        r = spark.range(n).select(
+            (F.col("id") + offset).cast("string").alias("session_id"), F.lit(dev).alias("device"),
+            (F.col("id") < buyers).alias("purchased"))
+        parts.append(r)
+        offset += n
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    # all revenue on one buyer row: only the total matters for AOV
+    return df.withColumn("revenue_micros", F.when(F.col("session_id") == "0", F.lit(TOTAL_MICROS)).otherwise(
+        F.when(F.col("purchased"), F.lit(0)))).withColumn("channel", F.lit("x"))
+
+
+def test_published_z_and_opportunity(spark):
+    s = _sessions(spark)
+    z = stats.two_proportion_test(s).collect()[0]
+    assert z.z == pytest.approx(19.278537, abs=1e-6)
+    assert z.se == pytest.approx(0.00072082, abs=1e-8)
+    assert 8.0e-83 < z.p_value < 8.3e-83
+    o = stats.gap_opportunity(s).collect()[0]
+    assert o.aov == pytest.approx(89.258419, abs=1e-6)
+    assert o.extra_orders_period == pytest.approx(241.274149, abs=1e-6)
+    assert o.extra_revenue_period == pytest.approx(21535.7491, abs=1e-4)
+    assert o.extra_revenue_annualized == pytest.approx(86142.9962, abs=1e-4)
+    g = stats.gap_ratio(s).collect()[0]
+    assert g.ratio == pytest.approx(5.1599, abs=1e-4)
+
+
+def test_published_stage_steps(spark):
+    counts = [150000, 71456, 7342, 4306, 2068]
+    long = spark.createDataFrame([(i, c) for i, c in enumerate(counts)], "stage_order int, count long")
+    rows = funnel.step_ratios(long).orderBy("stage_order").collect()
+    assert [round(r.step_conv, 6) if r.step_conv else None for r in rows] == [None, 0.476373, 0.102749,
+                                                                             0.586489, 0.480260]
+    assert rows[-1].pct_of_sessions == pytest.approx(0.013787, abs=1e-6)
+
+
+def test_kpi_measures_from_channel_table(spark):
+    ch = spark.createDataFrame(CHANNELS, "channel string, sessions long, orders long, revenue double")
+    k = reports.kpi_measures(ch).collect()[0]
+    assert k.total_sessions == 150000 and k.total_orders == 2068
+    assert k.total_revenue == pytest.approx(184586.409979, abs=1e-6)
+    assert k.overall_conversion == pytest.approx(0.013787, abs=1e-6)
+    assert k.aov == pytest.approx(89.258419, abs=1e-6)
+
+
+def test_matrix_rolls_up(spark):
+    names = [c[0] for c in CHANNELS]
+    rows = [(d, names[i], s, o) for d, cells in MATRIX.items() for i, (s, o) in enumerate(cells)]
+    m = spark.createDataFrame(rows, "device string, channel string, sessions long, orders long")
+    by_ch = {r.channel: (r.s, r.o) for r in m.groupBy("channel").agg(F.sum("sessions").alias("s"),
+                                                                      F.sum("orders").alias("o")).collect()}
+    assert by_ch == {c[0]: (c[1], c[2]) for c in CHANNELS}
+    by_dev = {r.device: (r.s, r.o) for r in m.groupBy("device").agg(F.sum("sessions").alias("s"),
+                                                                     F.sum("orders").alias("o")).collect()}
+    assert by_dev == DEVICES
