@@ -44,7 +44,7 @@ def _code_expr():
     return expr.otherwise(UNMAPPED_CODE).cast("int")
 
 
-def _device_expr():
+def device_expr():
     m = F.col("user_id") % 10
     expr = None
     for cut, name in DEVICE_CUTS:
@@ -75,7 +75,24 @@ def raw_hits(spark: SparkSession, sf_dir: str, **range_kw) -> DataFrame:
     Helper columns user_id, event_day, ts, event_id, value are kept for the
     session rollup and ordering; unused ones are pruned by the optimizer.
     """
-    ev = events(spark, sf_dir, **range_kw)
+    return project_hits(events(spark, sf_dir, **range_kw))
+
+
+def hits_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The same hit projection over a ``readStream`` of the events files.
+
+    ``ts`` becomes a TIMESTAMP (event-time watermarks need one).
+    """
+    schema = table(spark, sf_dir, "events").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    ev = reader.parquet(sf_dir.rstrip("/"))
+    return project_hits(ev).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def project_hits(ev: DataFrame) -> DataFrame:
+    """events rows -> GA-shaped hit columns (batch or streaming input)."""
     day = F.col("ts").cast("date")
     sku = F.expr(f"try_cast(nullif(regexp_extract(props, '{SKU_PATTERN}', 1), '') as bigint)")
     return ev.select(
@@ -125,7 +142,7 @@ def raw_sessions(spark: SparkSession, sf_dir: str, spec: FunnelSpec = DEFAULT_SP
         F.concat(F.col("user_id").cast("string"), F.lit("-"), ymd).alias("session_id"),
         ymd.alias("date"),
         F.col("c_mktsegment").alias("channelGrouping"),
-        _device_expr().alias("deviceCategory"),
+        device_expr().alias("deviceCategory"),
         F.col("n_name").alias("country"),
         "totals_pageviews", "totals_bounces", "totals_hits", "totals_transactions",
         "totals_transactionRevenue", *flag_cols)

@@ -9,8 +9,10 @@ sys.path.insert(0, str(ROOT))
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from funnelry.session import get_spark
-    s = get_spark(master="local[4]", shuffle_partitions=8)
+    s = get_spark(master="local[4]", shuffle_partitions=8,
+                  extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-")})
     yield s
 
 
