@@ -188,6 +188,32 @@ def category_revenue(purchases: DataFrame, by: str = "category") -> DataFrame:
                .orderBy(F.desc_nulls_last("revenue"), F.asc_nulls_last(by)))
 
 
+def category_revenue_from_hits(hits: DataFrame, products: DataFrame, by: str = "category",
+                               spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
+    """M19 computed from purchase hits without shuffling purchase lines.
+
+    Purchase hits are first reduced per SKU (map-side combine: at most one
+    row per SKU per task), the small per-SKU table is joined to the product
+    dimension, and only then grouped by category. Exact: the micros of a SKU
+    are count x price micros. Equals ``category_revenue(purchase_lines(...))``
+    whenever session ids are unique (the purchase-line join cannot fan out),
+    which the quality report checks.
+    """
+    code = F.col("eCommerceAction_action_type")
+    per_sku = (hits.where(code == spec.purchase.code).groupBy("productSKU")
+               .agg(F.count("session_id").alias("_orders"), F.count(F.lit(1)).alias("_lines")))
+    dim = products.groupBy("productSKU").agg(F.max("v2ProductCategory").alias(by),
+                                             F.max("productPrice").alias("_price"))
+    j = per_sku.join(dim, "productSKU", "left")
+    micros = F.col("_lines") * usd_to_micros(F.coalesce(F.col("_price"), F.lit(0.0)))
+    agg = j.groupBy(by).agg(F.sum("_orders").alias("orders"), sum_micros(micros).alias("_micros"),
+                            F.sum("_lines").alias("_n"))
+    return (agg.select(by, F.col("orders").cast("long").alias("orders"),
+                       (F.col("_micros").cast("double") / MICROS).alias("revenue"),
+                       (ratio("_micros", "_n") / MICROS).alias("avg_item_value"))
+               .orderBy(F.desc_nulls_last("revenue"), F.asc_nulls_last(by)))
+
+
 # --- M20 / W4: biggest leak ---------------------------------------------------
 def biggest_leak(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
                  by: Sequence[str] = ()) -> DataFrame:

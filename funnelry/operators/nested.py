@@ -33,8 +33,14 @@ def to_nested_sessions(raw_sessions: DataFrame, hits: DataFrame, max_hits: int =
     arrays = (hits.select("session_id", frag.alias(FRAGMENT), element.alias("h"))
                   .groupBy("session_id", FRAGMENT)
                   .agg(F.sort_array(F.collect_list("h")).alias("hits")))
-    s = raw_sessions.join(arrays, "session_id", "left")
+    # Inner join (AQE may split a hot session's fragments on either side),
+    # plus the sessions that have no hits at all (anti join on distinct ids).
+    with_hits = arrays.join(raw_sessions, "session_id", "inner")
+    ids = hits.select("session_id").distinct()
     empty = F.array().cast("array<struct<hitNumber:int,eCommerceAction:struct<action_type:string>>>")
+    no_hits = (raw_sessions.join(ids, "session_id", "left_anti")
+               .select("*", empty.alias("hits"), F.lit(0).alias(FRAGMENT)))
+    s = with_hits.unionByName(no_hits)
     return s.select(
         F.col("fullVisitorId"), F.col("visitId"), F.col("date"), F.col("channelGrouping"),
         F.struct(F.col("deviceCategory").alias("deviceCategory")).alias("device"),
@@ -42,8 +48,7 @@ def to_nested_sessions(raw_sessions: DataFrame, hits: DataFrame, max_hits: int =
         F.struct(F.col("totals_pageviews").alias("pageviews"),
                  F.col("totals_transactions").alias("transactions"),
                  F.col("totals_transactionRevenue").alias("transactionRevenue")).alias("totals"),
-        F.coalesce(F.col("hits"), empty).alias("hits"),
-        F.coalesce(F.col(FRAGMENT), F.lit(0)).alias(FRAGMENT))
+        F.col("hits"), F.col(FRAGMENT).cast("int").alias(FRAGMENT))
 
 
 def exists_flags(nested: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> list:

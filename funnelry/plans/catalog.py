@@ -240,6 +240,12 @@ def q_daily_trend_head(spark, sf):
 
 @query("category_revenue")
 def q_category_revenue(spark, sf):
+    m = _model(spark, sf)
+    return funnel.category_revenue_from_hits(testdata.raw_hits(spark, sf), m.products())
+
+
+@query("category_revenue_lines")
+def q_category_revenue_lines(spark, sf):
     return funnel.category_revenue(_purchases(spark, sf))
 
 

@@ -406,6 +406,8 @@ GROUP BY GROUPING SETS ((), (device), (channel), (device, channel), (date))""",
 
 # Same daily trend over a pushed-down date range.
 BODIES["date_range_scan"] = BODIES["daily_trend"]
+# Category revenue from purchase lines and from per-SKU pre-aggregation agree.
+BODIES["category_revenue_lines"] = BODIES["category_revenue"]
 _RANGED = {"date_range_scan"}
 
 

@@ -41,6 +41,6 @@ def run_batch(spark: SparkSession, raw_sessions: DataFrame, raw_hits: DataFrame,
     sessions = spark.read.parquet(paths.sessions)
     purchases = spark.read.parquet(paths.purchases)
     writers.write_json_document(reports.findings(sessions, spec), paths.findings)
-    paths.extracts = writers.publish_extracts(spark, sessions, purchases, f"{out}/powerbi",
+    paths.extracts = writers.publish_extracts(spark, sessions, purchases, f"{out}/extracts",
                                               extract_format, spec)
     return paths

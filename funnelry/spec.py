@@ -53,7 +53,7 @@ class FunnelSpec:
         return self.stages[-1]
 
 
-# --- Fixed values (must equal the reference's) --------------------------------
+# --- Fixed values (stage codes, labels and names the results depend on) ------
 # Action codes: 2 product_view, 3 add_to_cart, 5 checkout, 6 purchase.
 # Stage labels in order: Sessions, Product View, Add to Cart, Checkout, Purchase.
 # Flag columns: reached_product_view, reached_cart, reached_checkout, purchased.

@@ -1,6 +1,6 @@
 """Streaming extension: the funnel over an unbounded hit stream.
 
-The batch reference has no streams; this is an extension built with
+The batch pipeline has no streams; this is an extension built with
 Structured Streaming only. Sessions are event-time session windows (an
 inactivity gap closes a session) per visitor, with the watermark bounding the
 state kept for open sessions. Closed sessions can feed a chained daily

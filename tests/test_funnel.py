@@ -152,3 +152,14 @@ def test_category_revenue(spark):
     rows = {r.category: r for r in funnel.category_revenue(purchase_lines(h, s)).collect()}
     assert rows["Apparel"].orders == 1 and math.isclose(rows["Apparel"].avg_item_value, 55.07)
     assert rows[None].revenue == 0.0
+
+
+def test_category_revenue_preaggregated_equals_lines(spark):
+    from fixtures import frames
+    from funnelry.operators.cleaning import purchase_lines
+    s, h, p = frames(spark)
+    lines = funnel.category_revenue(purchase_lines(h, s))
+    pre = funnel.category_revenue_from_hits(h, p)
+    assert sorted(map(tuple, lines.collect()), key=str) == sorted(map(tuple, pre.collect()), key=str)
+    plan = pre._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("productSKU") >= 0 and "partial_count" in plan
