@@ -20,15 +20,20 @@ partition ids seen by both branches agree; the range exchange is reused.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from functools import partial
 
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+# The per-partition function ships by value with the task, so executors need
+# only pandas/pyarrow, not this package on their Python path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _PID, _POS, _OFF = "_seq_pid", "_seq_pos", "_seq_off"
 
 
