@@ -90,9 +90,9 @@ def funnel_stage(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
 
 # --- M12: device (segment) step rates -----------------------------------------
 def segment_rates(sessions: DataFrame, by: str = "device",
-                  spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
+                  spec: FunnelSpec = DEFAULT_SPEC, dropna: bool = False) -> DataFrame:
     """segment, sessions, each step rate after the first stage, overall_conversion."""
-    wide = stage_counts(sessions, spec, [by])
+    wide = stage_counts(drop_null_keys(sessions, [by], dropna), spec, [by])
     names = [f"{a}_to_{b}" for a, b in zip(spec.step_names[:-1], spec.step_names[1:])]
     n = len(spec.flags)
     steps = [ratio(f"c{i + 1}", f"c{i}").alias(names[i - 1]) for i in range(1, n)]
@@ -103,18 +103,29 @@ def segment_rates(sessions: DataFrame, by: str = "device",
 
 # --- M13: per-device counts ---------------------------------------------------
 def funnel_by_segment(sessions: DataFrame, by: str = "device",
-                      spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
+                      spec: FunnelSpec = DEFAULT_SPEC, dropna: bool = False) -> DataFrame:
     """segment, sessions, product_view, cart, checkout, purchase, revenue."""
     aggs = [F.count(F.lit(1)).alias("sessions")]
     aggs += [flag_count(f).alias(n) for f, n in zip(spec.flags, spec.count_names)]
     aggs += [(sum_micros("revenue_micros").cast("double") / MICROS).alias("revenue")]
-    return sessions.groupBy(by).agg(*aggs).orderBy(F.asc_nulls_last(by))
+    return drop_null_keys(sessions, [by], dropna).groupBy(by).agg(*aggs).orderBy(F.asc_nulls_last(by))
 
 
 # --- M14 / M15 / M17: sessions, orders, revenue per grain ---------------------
+def drop_null_keys(df: DataFrame, keys: Sequence[str], dropna: bool) -> DataFrame:
+    """pandas-style grouping drops NULL keys; SQL (the default here) keeps them."""
+    if not dropna:
+        return df
+    cond = None
+    for k in keys:
+        c = F.col(k).isNotNull()
+        cond = c if cond is None else cond & c
+    return df.where(cond) if cond is not None else df
+
+
 def _performance(sessions: DataFrame, keys: Sequence[str], spec: FunnelSpec,
-                 keep_micros: bool = False) -> DataFrame:
-    agg = sessions.groupBy(*keys).agg(
+                 keep_micros: bool = False, dropna: bool = False) -> DataFrame:
+    agg = drop_null_keys(sessions, keys, dropna).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sessions"),
         flag_count(spec.purchase.flag).alias("orders"),
         sum_micros("revenue_micros").alias("revenue_micros"))
@@ -128,16 +139,17 @@ def _performance(sessions: DataFrame, keys: Sequence[str], spec: FunnelSpec,
 
 
 def channel_performance(sessions: DataFrame, by: str = "channel",
-                        spec: FunnelSpec = DEFAULT_SPEC, keep_micros: bool = False) -> DataFrame:
+                        spec: FunnelSpec = DEFAULT_SPEC, keep_micros: bool = False,
+                        dropna: bool = False) -> DataFrame:
     """channel, sessions, orders, revenue, conversion_rate, revenue_per_session."""
-    return (_performance(sessions, [by], spec, keep_micros)
+    return (_performance(sessions, [by], spec, keep_micros, dropna)
             .orderBy(F.desc_nulls_last("conversion_rate"), F.asc_nulls_last(by)))
 
 
 def segment_matrix(sessions: DataFrame, rows: str = "device", cols: str = "channel",
-                   spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
+                   spec: FunnelSpec = DEFAULT_SPEC, dropna: bool = False) -> DataFrame:
     """device, channel, sessions, orders, conversion_rate (present cells only)."""
-    return (_performance(sessions, [rows, cols], spec)
+    return (_performance(sessions, [rows, cols], spec, dropna=dropna)
             .select(rows, cols, "sessions", "orders", "conversion_rate")
             .orderBy(F.asc_nulls_last(rows), F.asc_nulls_last(cols)))
 
@@ -157,9 +169,10 @@ def worst_pockets(sessions: DataFrame, k: int = 10, rows: str = "device", cols:
 
 
 def daily_trend(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
-                by: Sequence[str] = ()) -> DataFrame:
-    """date, sessions, orders, revenue, conversion_rate; optional extra keys."""
-    return (_performance(sessions, ["date", *by], spec)
+                by: Sequence[str] = (), dropna: bool = False) -> DataFrame:
+    """date, sessions, orders, revenue, conversion_rate; optional extra keys
+    (e.g. device or channel, for slicing the trend)."""
+    return (_performance(sessions, ["date", *by], spec, dropna=dropna)
             .select("date", *by, "sessions", "orders", "revenue", "conversion_rate")
             .orderBy("date", *by))
 

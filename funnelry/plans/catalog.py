@@ -45,7 +45,8 @@ def _purchases(spark: SparkSession, sf: str) -> DataFrame:
 
 def _nested(spark: SparkSession, sf: str) -> DataFrame:
     m = _model(spark, sf)
-    return nested.to_nested_sessions(m.raw_sessions(), m.hits(with_sequence=True))
+    h = m.hits(with_sequence=True, columns=["session_id", cleaning.CODE])
+    return nested.to_nested_sessions(m.raw_sessions(), h)
 
 
 # --- cleaning / transform -----------------------------------------------------
@@ -68,7 +69,8 @@ def q_purchase_lines(spark, sf):
 @query("event_log")
 def q_event_log(spark, sf):
     m = _model(spark, sf)
-    return cleaning.event_log(m.hits(with_sequence=True), m.raw_sessions())
+    cols = ["session_id", cleaning.CODE, "productSKU", "v2ProductCategory"]
+    return cleaning.event_log(m.hits(with_sequence=True, columns=cols), m.raw_sessions())
 
 
 @query("nested_sessions")
@@ -125,7 +127,7 @@ def q_session_totals(spark, sf):
 
 @query("hit_sequence")
 def q_hit_sequence(spark, sf):
-    return _model(spark, sf).hits(with_sequence=True).select("session_id", "event_id", "hitNumber")
+    return _model(spark, sf).hits(with_sequence=True, columns=["session_id", "event_id"])
 
 
 @query("duplicate_sessions")
@@ -244,6 +246,11 @@ def q_category_revenue(spark, sf):
     return funnel.category_revenue_from_hits(testdata.raw_hits(spark, sf), m.products())
 
 
+@query("category_revenue_orders")
+def q_category_revenue_orders(spark, sf):
+    return funnel.category_revenue_from_hits(testdata.order_lines(spark, sf), testdata.products(spark, sf))
+
+
 @query("category_revenue_lines")
 def q_category_revenue_lines(spark, sf):
     return funnel.category_revenue(_purchases(spark, sf))

@@ -406,6 +406,13 @@ GROUP BY GROUPING SETS ((), (device), (channel), (device, channel), (date))""",
 
 # Same daily trend over a pushed-down date range.
 BODIES["date_range_scan"] = BODIES["daily_trend"]
+BODIES["category_revenue_orders"] = f"""
+SELECT category, orders, CAST(m AS DOUBLE) / 1000000.0 AS revenue,
+  ({_ratio('m', 'n')}) / 1000000.0 AS avg_item_value
+FROM (SELECT p.p_type AS category, count(l.l_orderkey) AS orders,
+        CAST(COALESCE(SUM(CAST(ROUND(COALESCE(p.p_retailprice, 0.0) * 1000000) AS BIGINT)), 0) AS BIGINT) AS m,
+        count(*) AS n
+      FROM lineitem l LEFT JOIN part p ON p.p_partkey = l.l_partkey GROUP BY p.p_type)"""
 # Category revenue from purchase lines and from per-SKU pre-aggregation agree.
 BODIES["category_revenue_lines"] = BODIES["category_revenue"]
 _RANGED = {"date_range_scan"}

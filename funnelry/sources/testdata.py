@@ -111,11 +111,25 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").alias("productPrice"))
 
 
-def hits(spark: SparkSession, sf_dir: str, with_sequence: bool = False, **range_kw) -> DataFrame:
-    """Hits with product attributes (J6); ``hitNumber`` when asked."""
+SEQUENCE_KEYS, SEQUENCE_ORDER = ("user_id", "event_day"), ("ts", "event_id")
+
+
+def hits(spark: SparkSession, sf_dir: str, with_sequence: bool = False,
+         columns: list[str] | None = None, **range_kw) -> DataFrame:
+    """Hits with product attributes (J6); ``hitNumber`` when asked.
+
+    ``columns`` narrows the hits *before* the sequencing pass: the Python
+    step passes every input column through, so the optimizer cannot prune
+    columns (or the product join) beneath it.
+    """
     h = attach_products(raw_hits(spark, sf_dir, **range_kw), products(spark, sf_dir))
+    if columns is not None:
+        keep = list(dict.fromkeys([*columns, *SEQUENCE_KEYS, *SEQUENCE_ORDER])) if with_sequence else columns
+        h = h.select(*keep)
     if with_sequence:
-        h = sequence_within(h, ["user_id", "event_day"], ["ts", "event_id"], name="hitNumber")
+        h = sequence_within(h, SEQUENCE_KEYS, SEQUENCE_ORDER, name="hitNumber")
+        if columns is not None:
+            h = h.select(*columns, "hitNumber")
     return h
 
 
@@ -148,6 +162,18 @@ def raw_sessions(spark: SparkSession, sf_dir: str, spec: FunnelSpec = DEFAULT_SP
         "totals_transactionRevenue", *flag_cols)
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as purchase hits: one purchase line per order line.
+
+    session_id = order key, productSKU = part key, action code = purchase.
+    Lets the category-revenue operator run over the largest test table.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").cast("string").alias("session_id"),
+                     F.lit(EVENT_CODES["purchase"]).alias("eCommerceAction_action_type"),
+                     F.col("l_partkey").cast("string").alias("productSKU"))
+
+
 @dataclass
 class Model:
     """The GA-shaped frames for one test-data directory (all lazy)."""
@@ -161,8 +187,8 @@ class Model:
     def _kw(self) -> dict:
         return {"date_from": self.date_from, "date_to": self.date_to}
 
-    def hits(self, with_sequence: bool = False) -> DataFrame:
-        return hits(self.spark, self.sf_dir, with_sequence=with_sequence, **self._kw)
+    def hits(self, with_sequence: bool = False, columns: list[str] | None = None) -> DataFrame:
+        return hits(self.spark, self.sf_dir, with_sequence=with_sequence, columns=columns, **self._kw)
 
     def raw_sessions(self, with_flags: bool = False) -> DataFrame:
         return raw_sessions(self.spark, self.sf_dir, self.spec, with_flags=with_flags, **self._kw)

@@ -163,3 +163,11 @@ def test_category_revenue_preaggregated_equals_lines(spark):
     assert sorted(map(tuple, lines.collect()), key=str) == sorted(map(tuple, pre.collect()), key=str)
     plan = pre._jdf.queryExecution().executedPlan().toString()
     assert plan.index("productSKU") >= 0 and "partial_count" in plan
+
+
+def test_dropna_option(spark):
+    c = clean(spark)
+    keep = {r.channel for r in funnel.channel_performance(c).collect()}
+    drop = {r.channel for r in funnel.channel_performance(c, dropna=True).collect()}
+    assert None in keep and None not in drop and keep - {None} == drop
+    assert funnel.segment_matrix(c, dropna=True).where("channel is null").count() == 0
