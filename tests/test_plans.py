@@ -57,3 +57,34 @@ def test_flags_partial_aggregation_before_shuffle(spark):
     plan = _plan(entry.queries()["clean_sessions"](spark, SF_SMALL))
     assert "partial_max" in plan or "partial_bool_or" in plan
     assert plan.count("Exchange hashpartitioning") >= 1
+
+
+def test_hot_session_join_is_split_by_aqe(spark):
+    """A session holding a third of all hits: the hit->session join is skew-split."""
+    from pyspark.sql import functions as F
+    from funnelry.operators import cleaning
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 500).cast("string"))
+        hits = spark.range(0, 40000, 1, 8).select(hot.alias("session_id"),
+                                                   (F.col("id") % 7).cast("int").alias("eCommerceAction_action_type"))
+        sess = spark.range(0, 500).select(F.col("id").cast("string").alias("session_id")).unionByName(
+            spark.range(1).select(F.lit("hot").alias("session_id")))
+        sess = sess.select("session_id", F.lit("Direct").alias("channel"), F.lit("desktop").alias("device"),
+                           F.current_date().alias("date"))
+        j = cleaning.join_hits_sessions(hits, sess)
+        assert len(j.collect()) == 40000
+        assert "SortMergeJoin(skew=true)" in _plan(j)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
