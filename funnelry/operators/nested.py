@@ -30,17 +30,17 @@ def to_nested_sessions(raw_sessions: DataFrame, hits: DataFrame, max_hits: int =
     element = F.struct(F.col("hitNumber").cast("int").alias("hitNumber"),
                        F.struct(F.col("eCommerceAction_action_type").cast("string").alias("action_type"))
                        .alias("eCommerceAction"))
-    arrays = (hits.select("session_id", frag.alias(FRAGMENT), element.alias("h"))
-                  .groupBy("session_id", FRAGMENT)
-                  .agg(F.sort_array(F.collect_list("h")).alias("hits")))
-    # Inner join (AQE may split a hot session's fragments on either side),
-    # plus the sessions that have no hits at all (anti join on distinct ids).
-    with_hits = arrays.join(raw_sessions, "session_id", "inner")
-    ids = hits.select("session_id").distinct()
-    empty = F.array().cast("array<struct<hitNumber:int,eCommerceAction:struct<action_type:string>>>")
-    no_hits = (raw_sessions.join(ids, "session_id", "left_anti")
-               .select("*", empty.alias("hits"), F.lit(0).alias(FRAGMENT)))
-    s = with_hits.unionByName(no_hits)
+    elements = hits.select("session_id", frag.alias(FRAGMENT), element.alias("h"))
+    # One NULL marker per session in fragment 0: collect_list skips it, so a
+    # session without hits still gets a record (with an empty array) and the
+    # hits are read only once.
+    markers = raw_sessions.select("session_id", F.lit(0).alias(FRAGMENT),
+                                  F.lit(None).cast(elements.schema["h"].dataType).alias("h"))
+    arrays = (elements.unionByName(markers).groupBy("session_id", FRAGMENT)
+              .agg(F.sort_array(F.collect_list("h")).alias("hits")))
+    # Inner join: AQE may split a hot session's fragments on either side;
+    # fragments of hits without a session are dropped.
+    s = arrays.join(raw_sessions, "session_id", "inner")
     return s.select(
         F.col("fullVisitorId"), F.col("visitId"), F.col("date"), F.col("channelGrouping"),
         F.struct(F.col("deviceCategory").alias("deviceCategory")).alias("device"),
