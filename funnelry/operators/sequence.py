@@ -2,7 +2,8 @@
 
 ``row_number() OVER (PARTITION BY key ORDER BY ...)`` sends every row of a key
 to one task; a single hot key (a bot session holding a third of all hits)
-then runs in one task. This operator splits hot keys instead:
+then runs in one task. When a group is too big for one task this operator
+splits it instead (``strategy="auto"`` decides from the largest group):
 
 1. ``repartitionByRange(P, key, order...)`` + ``sortWithinPartitions`` puts the
    global sort order into P contiguous ranges; a hot key spans many ranges.
@@ -66,17 +67,37 @@ def _number_runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterat
         yield pdf.assign(**{_PID: pid, _POS: pos})
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the biggest ``keys`` group (one partial aggregate, one scalar)."""
+    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(top or 0)
+
+
 def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                     name: str = "seq", num_partitions: int | None = None,
-                    as_int: bool = True) -> DataFrame:
+                    as_int: bool = True, strategy: str = "auto",
+                    max_group_rows: int = 1_000_000) -> DataFrame:
     """Add ``name`` = 1-based row position within ``keys`` ordered by ``order``.
 
     ``order`` must make rows unique within a key (add a unique id as the last
     tie-breaker) so that numbering is deterministic across task retries.
+
+    strategy: ``"window"`` = ``row_number`` per key (one shuffle, fastest when
+    every group fits a task); ``"range"`` = the range split above (no group
+    is ever held by one task); ``"auto"`` measures the largest group first
+    (map-side combined count, one scalar to the driver) and uses the window
+    only when that group has at most ``max_group_rows`` rows.
     """
+    keys, order = list(keys), list(order)
+    if strategy == "auto":
+        strategy = "window" if largest_group(df, keys) <= max_group_rows else "range"
+    if strategy == "window":
+        seq = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(name, seq.cast("int") if as_int else seq)
+    if strategy != "range":
+        raise ValueError(f"unknown strategy {strategy!r}")
     spark = df.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys, order = list(keys), list(order)
     sort_cols = keys + order
     ranged = df.repartitionByRange(parts, *sort_cols).sortWithinPartitions(*sort_cols)
     schema = StructType(list(df.schema.fields) + [StructField(_PID, IntegerType(), False),

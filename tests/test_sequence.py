@@ -21,7 +21,7 @@ def test_hot_key_spans_partitions(spark):
                                             (F.col("id") % 7).alias("t"), "id")
     nulls = spark.range(30000, 30050).select(F.lit(None).cast("string").alias("k"), F.lit(1).alias("t"), "id")
     df = hot.unionByName(cold).unionByName(nulls)
-    got = sequence_within(df, ["k"], ["t", "id"], name="seq", num_partitions=16)
+    got = sequence_within(df, ["k"], ["t", "id"], name="seq", num_partitions=16, strategy="range")
     assert _rows(got) == _rows(_expected(df))
     # the hot key really was split over several range partitions
     spread = (df.repartitionByRange(16, "k", "t", "id").where("k = 'hot'")
@@ -33,7 +33,7 @@ def test_small_batches_carry_runs(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         df = spark.range(500).select((F.col("id") % 3).cast("string").alias("k"), F.col("id").alias("t"), "id")
-        got = sequence_within(df, ["k"], ["t", "id"], name="seq", num_partitions=4)
+        got = sequence_within(df, ["k"], ["t", "id"], name="seq", num_partitions=4, strategy="range")
         assert _rows(got) == _rows(_expected(df))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -41,8 +41,17 @@ def test_small_batches_carry_runs(spark):
 
 def test_plan_broadcasts_only_offsets(spark):
     df = spark.range(100).select((F.col("id") % 5).cast("string").alias("k"), F.col("id").alias("t"), "id")
-    got = sequence_within(df, ["k"], ["t", "id"], num_partitions=4)
+    got = sequence_within(df, ["k"], ["t", "id"], num_partitions=4, strategy="range")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan.lower()
     assert "BroadcastExchange" in plan          # the per-range offset table (<= 4 rows)
     assert sorted(r.seq for r in got.where("k = '0'").collect()) == list(range(1, 21))
+
+
+def test_auto_strategy_picks_by_largest_group(spark):
+    df = spark.range(300).select((F.col("id") % 3).cast("string").alias("k"), F.col("id").alias("t"), "id")
+    small = sequence_within(df, ["k"], ["t", "id"], name="seq", max_group_rows=1000)
+    big = sequence_within(df, ["k"], ["t", "id"], name="seq", max_group_rows=50, num_partitions=4)
+    assert "MapInPandas" not in small._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in big._jdf.queryExecution().executedPlan().toString()
+    assert _rows(small) == _rows(big) == _rows(_expected(df))
