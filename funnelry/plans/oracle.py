@@ -126,9 +126,11 @@ frame AS (
   FROM stage_rows
 ),
 seg AS (
-  SELECT count_if(device = 'desktop') AS n_a, count_if(device = 'desktop' AND purchased) AS x_a,
-         count_if(device = 'mobile') AS n_b, count_if(device = 'mobile' AND purchased) AS x_b,
-         count_if(purchased) AS buyers,
+  SELECT CAST(count_if(device = 'desktop') AS BIGINT) AS n_a,
+         CAST(count_if(device = 'desktop' AND purchased) AS BIGINT) AS x_a,
+         CAST(count_if(device = 'mobile') AS BIGINT) AS n_b,
+         CAST(count_if(device = 'mobile' AND purchased) AS BIGINT) AS x_b,
+         CAST(count_if(purchased) AS BIGINT) AS buyers,
          SUM(CASE WHEN purchased THEN COALESCE(revenue_micros, 0) END) AS buyer_micros
   FROM sessions
 ),
