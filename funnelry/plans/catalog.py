@@ -235,6 +235,11 @@ def q_daily_trend(spark, sf):
     return funnel.daily_trend(_sessions(spark, sf))
 
 
+@query("daily_trend_by_device")
+def q_daily_trend_by_device(spark, sf):
+    return funnel.daily_trend(_sessions(spark, sf), by=["device"])
+
+
 @query("daily_trend_head")
 def q_daily_trend_head(spark, sf):
     return sql.run(spark, sql.DAILY_TREND_HEAD, sessions=sql.sessions_view(_sessions(spark, sf)), n=15)

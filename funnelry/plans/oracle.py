@@ -334,6 +334,10 @@ LIMIT 10""",
 SELECT date, sessions, orders, CAST(revenue_micros AS DOUBLE) / 1000000.0 AS revenue,
   {_ratio('orders', 'sessions')} AS conversion_rate
 FROM ({_perf('date')})""",
+    "daily_trend_by_device": f"""
+SELECT date, device, sessions, orders, CAST(revenue_micros AS DOUBLE) / 1000000.0 AS revenue,
+  {_ratio('orders', 'sessions')} AS conversion_rate
+FROM ({_perf('date, device')})""",
     "daily_trend_head": f"""
 SELECT date, count(*) AS sessions, CAST(SUM(purchased) AS BIGINT) AS orders,
   ROUND({_ratio('SUM(purchased)', 'count(*)')}, 4) AS conversion_rate,

@@ -61,3 +61,16 @@ def test_date_partition_pruning(spark):
     got = nested.flatten_nested(df).count()
     expect = m.raw_sessions().where(F.col("date").between("20240105", "20240110")).count()
     assert got == expect and got > 0
+
+
+def test_nested_json_source_with_declared_schema(spark):
+    m = testdata.load(spark, SF_SMALL)
+    nest = nested.to_nested_sessions(m.raw_sessions(), m.hits(with_sequence=True, columns=["session_id",
+                                                                                        "eCommerceAction_action_type"]))
+    path = tempfile.mkdtemp(prefix="nested-json-") + "/ga"
+    nest.write.json(path)
+    back = files.read_nested_sessions(spark, path, fmt="json", date_from="20240101", date_to="20240131")
+    assert back.schema["hits"].dataType.simpleString() == nest.schema["hits"].dataType.simpleString()
+    a = nested.flatten_nested(back).select("session_id", *FLAGS, "purchased")
+    b = nested.flatten_nested(nest).select("session_id", *FLAGS, "purchased")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
