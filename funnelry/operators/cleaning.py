@@ -198,6 +198,22 @@ def duplicate_keys(df: DataFrame, key: str = "session_id") -> DataFrame:
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
+def dedupe_sessions(sessions: DataFrame, key: str = "session_id",
+                    order: Sequence[str] = ("visitId",)) -> DataFrame:
+    """Opt-in: one row per key, the row with the smallest ``order`` values.
+
+    Ties are broken by the whole row, so the choice is deterministic; the
+    ``min_by`` aggregate combines map-side, so a key with many copies is never
+    gathered in one task. The default pipeline keeps duplicates (and the
+    quality report counts them).
+    """
+    cols = [c for c in sessions.columns if c != key]
+    row = F.struct(*[F.col(c) for c in cols])
+    rank = F.struct(*[F.col(c) for c in order if c in sessions.columns], row)
+    return (sessions.groupBy(key).agg(F.min_by(row, rank).alias("_r"))
+            .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]).select(*sessions.columns))
+
+
 # --- M1: data quality report --------------------------------------------------
 def quality_report(sessions: DataFrame, hits: DataFrame) -> DataFrame:
     """sessions, hits, duplicate_session_ids, sessions_without_hits in one row.

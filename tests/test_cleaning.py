@@ -126,3 +126,14 @@ def test_clean_sessions_reads_processed_date(spark):
                         "reached_product_view", "reached_cart", "reached_checkout")
     again = cleaning.clean_sessions(raw_like)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, c.collect()))
+
+
+def test_dedupe_sessions_opt_in(spark):
+    s, h, _ = frames(spark)
+    later = s.where("session_id = 's1'").withColumn("visitId", F.lit(99).cast("long")) \
+             .withColumn("channelGrouping", F.lit("Display"))
+    dup = s.unionByName(later)
+    d = cleaning.dedupe_sessions(dup)
+    assert d.count() == 6 and d.columns == s.columns
+    assert d.where("session_id = 's1'").first().channelGrouping == "Referral"   # smallest visitId kept
+    assert cleaning.quality_report(d, h).first().duplicate_session_ids == 0
