@@ -53,10 +53,19 @@ def write_json_document(doc: DataFrame, path: str) -> None:
 
 # --- K3 / K4 ------------------------------------------------------------------
 def save_table(df: DataFrame, name: str, path: str | None = None, partition_by: Sequence[str] = (),
-               sort_within: Sequence[str] = ()) -> None:
-    """Overwrite a Parquet table in the catalog (the relational sink)."""
-    out = df.sortWithinPartitions(*sort_within) if sort_within else df
+               sort_within: Sequence[str] = (), bucket_by: Sequence[str] = (), buckets: int = 0) -> None:
+    """Overwrite a Parquet table in the catalog (the relational sink).
+
+    ``bucket_by`` + ``buckets``: tables bucketed on the same key with the same
+    bucket count join and aggregate on that key without a shuffle (e.g.
+    sessions, purchases and the event log on ``session_id``).
+    """
+    out = df.sortWithinPartitions(*sort_within) if sort_within and not bucket_by else df
     w = out.write.mode("overwrite").format("parquet")
+    if bucket_by:
+        w = w.bucketBy(buckets, *bucket_by)
+        if sort_within:
+            w = w.sortBy(*sort_within)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if path:

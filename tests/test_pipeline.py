@@ -89,3 +89,22 @@ def test_save_table(spark):
     writers.save_table(clean(spark), name, partition_by=("device",), sort_within=("channel",))
     assert spark.table(name).count() == 6
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from fixtures import clean, frames
+    from funnelry.operators import cleaning
+    s, h, _ = frames(spark)
+    writers.save_table(clean(spark), "b_sessions", bucket_by=("session_id",), buckets=4, sort_within=("session_id",))
+    writers.save_table(cleaning.purchase_lines(h, s), "b_purchases", bucket_by=("session_id",), buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # as for two large tables
+    try:
+        j = spark.table("b_purchases").join(spark.table("b_sessions").select("session_id", "revenue"),
+                                            "session_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert j.count() == 1
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sql("DROP TABLE IF EXISTS b_sessions")
+    spark.sql("DROP TABLE IF EXISTS b_purchases")
