@@ -60,12 +60,14 @@ def events(spark: SparkSession, sf_dir: str, date_from: str | None = None,
     Parquet scan as a pushed filter (row-group skipping).
     """
     ev = table(spark, sf_dir, "events")
+    # Wall-clock literals (strings cast to TIMESTAMP_NTZ): no time-zone shift
+    # whatever the session or Python process zone is.
     if date_from is not None:
         lo = dt.datetime.strptime(date_from, "%Y%m%d")
-        ev = ev.where(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
+        ev = ev.where(F.col("ts") >= F.lit(lo.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))
     if date_to is not None:
         hi = dt.datetime.strptime(date_to, "%Y%m%d") + dt.timedelta(days=1)
-        ev = ev.where(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
+        ev = ev.where(F.col("ts") < F.lit(hi.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))
     return ev
 
 
