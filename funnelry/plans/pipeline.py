@@ -1,8 +1,8 @@
 """End-to-end batch: raw sessions + hits -> processed tables -> extracts + findings.
 
-Stage boundaries are written tables (not cached lineage): processed tables
-are written once and read back, so every later metric starts from Parquet and
-a lost executor never replays the raw-hit aggregation.
+Stage boundaries are written tables (not cached lineage): the inputs and the
+processed tables are written once and read back, so every later step starts
+from Parquet and a lost executor never replays the raw-hit enrichment.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning, reports
+from ..session import materialize
 from ..sinks import writers
 from ..spec import DEFAULT_SPEC, FunnelSpec
 
@@ -32,6 +33,10 @@ def run_batch(spark: SparkSession, raw_sessions: DataFrame, raw_hits: DataFrame,
     paths = BatchOutputs(sessions=f"{out}/processed/sessions", purchases=f"{out}/processed/purchases",
                          events=f"{out}/processed/events_clean", quality=f"{out}/quality",
                          findings=f"{out}/findings")
+    # 0. inputs are read by four outputs below: write them once (shared
+    #    checkpoint folder) so upstream work is not repeated per output
+    raw_sessions = materialize(raw_sessions, "batch-raw-sessions")
+    raw_hits = materialize(raw_hits, "batch-raw-hits")
     # 1. clean / transform (one shuffle on session_id for the flags)
     writers.write_sessions_layout(cleaning.clean_sessions(raw_sessions, raw_hits, spec), paths.sessions)
     writers.write_parquet(cleaning.purchase_lines(raw_hits, raw_sessions, spec), paths.purchases)

@@ -58,3 +58,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path inside the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
+
+    Cuts the lineage at a stage boundary: later jobs (and retries after a lost
+    executor) start from the written files instead of recomputing upstream.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
