@@ -171,3 +171,25 @@ def test_dropna_option(spark):
     drop = {r.channel for r in funnel.channel_performance(c, dropna=True).collect()}
     assert None in keep and None not in drop and keep - {None} == drop
     assert funnel.segment_matrix(c, dropna=True).where("channel is null").count() == 0
+
+
+def test_cube_grains_equal_device_matrix_and_stage_tables(spark):
+    from funnelry.sinks.writers import dashboard_tables
+    from fixtures import frames
+    from funnelry.operators.cleaning import purchase_lines
+    c = clean(spark)
+    s, h, _ = frames(spark)
+    tables = dashboard_tables(reports.metric_cube(c), purchase_lines(h, s))
+    pairs = {
+        "funnel_stage": funnel.funnel_stage(c),
+        "funnel_by_device": funnel.funnel_by_segment(c),
+        "device_channel_matrix": funnel.segment_matrix(c),
+        "daily_trend": funnel.daily_trend(c),
+    }
+    for name, single in pairs.items():
+        cube_rows = tables[name].select(*single.columns)
+        assert sorted(map(tuple, cube_rows.collect()), key=str) == sorted(map(tuple, single.collect()), key=str), name
+    ch = tables["channel_performance"].select("channel", "sessions", "orders", "revenue", "conversion_rate",
+                                              "revenue_per_session")
+    assert sorted(map(tuple, ch.collect()), key=str) == sorted(map(tuple, funnel.channel_performance(c).collect()),
+                                                             key=str)
