@@ -117,5 +117,5 @@ def percent_label(num: str | Column, den: str | Column, decimals: int = 1) -> Co
 
 
 def _int_div(a: Column, b: Column) -> Column:
-    """Floor division of non-negative longs, exact (no floating point)."""
-    return F.when(b > 0, ((a - a % b) / b).cast("long"))
+    """Integral division of non-negative longs (SQL ``div``), exact at any size."""
+    return F.when(b > 0, F.call_function("div", a, b))
