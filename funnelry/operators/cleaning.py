@@ -114,6 +114,11 @@ def clean_sessions(sessions: DataFrame, hits: DataFrame | None = None,
         s = s.drop(*[f for f in hit_flags if f in s.columns])
         s = s.join(stage_flags(hits, spec), "session_id", "left")
     date = F.col("date") if dict(s.dtypes).get("date") == "date" else parse_yyyymmdd("date")
+    # Stage flags in spec order; a stage not derived from hits (the default
+    # purchase stage) comes from the session's transaction count.
+    flags = [F.coalesce(F.col(st.flag), F.lit(False)).alias(st.flag) if st.from_hits
+             else (F.coalesce(F.col("totals_transactions"), F.lit(0)) > 0).alias(st.flag)
+             for st in spec.stages]
     return s.select(
         F.col("session_id").cast("string").alias("session_id"),
         F.col("fullVisitorId").cast("string").alias("fullVisitorId"),
@@ -122,8 +127,7 @@ def clean_sessions(sessions: DataFrame, hits: DataFrame | None = None,
         F.col("deviceCategory").alias("device"),
         F.col("country"),
         F.col("totals_pageviews").cast("int").alias("pageviews"),
-        *[F.coalesce(F.col(f), F.lit(False)).alias(f) for f in hit_flags],
-        (F.coalesce(F.col("totals_transactions"), F.lit(0)) > 0).alias(spec.purchase.flag),
+        *flags,
         micros_to_usd("totals_transactionRevenue").alias("revenue"),
         F.col("totals_transactionRevenue").cast("long").alias("revenue_micros"),
     )
