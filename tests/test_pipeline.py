@@ -55,6 +55,11 @@ def test_run_batch_end_to_end(spark, raw_dir):
     sessions = spark.read.parquet(paths.sessions)
     assert sessions.count() == 6
     assert len(glob.glob(f"{paths.sessions}/date=*")) == 3          # partitioned by date
+    # access path: date prunes directories, device reaches the Parquet reader
+    probe = sessions.where((F.col("date") == "2016-11-02") & (F.col("device") == "mobile"))
+    plan = probe._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "EqualTo(device,mobile)" in plan
+    assert probe.count() == 2
     stage = _read_single_csv(paths.extracts["funnel_stage"])
     assert [(r["stage"], int(r["sessions"])) for r in stage] == [
         ("Sessions", 6), ("Product View", 3), ("Add to Cart", 3), ("Checkout", 2), ("Purchase", 2)]
