@@ -30,6 +30,13 @@ class FunnelAnalysis:
         flat = nested.flatten_nested(nested_sessions, spec, date_from, date_to)
         return cls(spec=spec, _sessions=flat)
 
+    @classmethod
+    def from_clean(cls, sessions: DataFrame, raw_sessions: DataFrame | None = None,
+                   hits: DataFrame | None = None, products: DataFrame | None = None,
+                   spec: FunnelSpec = DEFAULT_SPEC) -> "FunnelAnalysis":
+        """Start from already-clean sessions (e.g. a processed table)."""
+        return cls(raw_sessions=raw_sessions, hits=hits, products=products, spec=spec, _sessions=sessions)
+
     def _flat(self) -> tuple[DataFrame, DataFrame]:
         if self.raw_sessions is None or self.hits is None:
             raise ValueError("needs flat raw sessions and hits")
