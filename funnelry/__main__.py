@@ -27,6 +27,8 @@ def main(argv: list[str] | None = None) -> dict:
     ap.add_argument("--date-to")
     ap.add_argument("--out", required=True)
     ap.add_argument("--extract-format", default="csv", choices=["csv", "parquet"])
+    ap.add_argument("--database", help="also save catalog tables <database>.sessions / .purchases")
+    ap.add_argument("--buckets", type=int, default=0, help="bucket the catalog tables on session_id")
     ap.add_argument("--master", default=None, help="Spark master (default: the session's own)")
     args = ap.parse_args(argv)
 
@@ -60,9 +62,11 @@ def main(argv: list[str] | None = None) -> dict:
         fmt = "parquet" if args.format == "parquet" else "csv"
         raw_s = files.date_range(files.read_raw_sessions(spark, args.sessions, fmt), args.date_from, args.date_to)
         raw_h = files.read_raw_hits(spark, args.hits, fmt)
-        paths = run_batch(spark, raw_s, raw_h, out, extract_format=args.extract_format)
+        paths = run_batch(spark, raw_s, raw_h, out, extract_format=args.extract_format,
+                          database=args.database, buckets=args.buckets)
         result = {"sessions": paths.sessions, "purchases": paths.purchases, "events": paths.events,
-                  "quality": paths.quality, "findings": paths.findings, "extracts": paths.extracts}
+                  "quality": paths.quality, "findings": paths.findings, "extracts": paths.extracts,
+                  "tables": paths.tables}
     print(json.dumps(result))
     return result
 

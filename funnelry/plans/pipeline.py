@@ -25,10 +25,12 @@ class BatchOutputs:
     quality: str
     findings: str
     extracts: dict[str, str] = field(default_factory=dict)
+    tables: dict[str, str] = field(default_factory=dict)
 
 
 def run_batch(spark: SparkSession, raw_sessions: DataFrame, raw_hits: DataFrame, out_dir: str,
-              spec: FunnelSpec = DEFAULT_SPEC, extract_format: str = "csv") -> BatchOutputs:
+              spec: FunnelSpec = DEFAULT_SPEC, extract_format: str = "csv",
+              database: str | None = None, buckets: int = 0) -> BatchOutputs:
     out = out_dir.rstrip("/")
     paths = BatchOutputs(sessions=f"{out}/processed/sessions", purchases=f"{out}/processed/purchases",
                          events=f"{out}/processed/events_clean", quality=f"{out}/quality",
@@ -48,4 +50,8 @@ def run_batch(spark: SparkSession, raw_sessions: DataFrame, raw_hits: DataFrame,
     writers.write_json_document(reports.findings(sessions, spec), paths.findings)
     paths.extracts = writers.publish_extracts(spark, sessions, purchases, f"{out}/extracts",
                                               extract_format, spec)
+    # 3. optional catalog tables for SQL users (FROM sessions / FROM purchases)
+    if database:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+        paths.tables = writers.save_relational_tables(sessions, purchases, database, buckets, spec)
     return paths

@@ -170,6 +170,12 @@ ORDER BY SUM(purchased) / COUNT(*) ASC, device ASC NULLS LAST, channel ASC NULLS
 """
 
 
+def run_on_tables(spark: SparkSession, text: str, sessions: str = "sessions", purchases: str = "purchases",
+                  **params) -> DataFrame:
+    """Run one of the texts against catalog tables (see sinks.save_relational_tables)."""
+    return spark.sql(text.format(sessions=sessions, purchases=purchases, **params))
+
+
 def run(spark: SparkSession, text: str, sessions: DataFrame | None = None,
         purchases: DataFrame | None = None, **params) -> DataFrame:
     """Run one of the texts with DataFrame-valued views and literal params."""

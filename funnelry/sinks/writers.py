@@ -73,6 +73,27 @@ def save_table(df: DataFrame, name: str, path: str | None = None, partition_by:
     w.saveAsTable(name)
 
 
+def save_relational_tables(sessions: DataFrame, purchases: DataFrame, database: str | None = None,
+                           buckets: int = 0, spec: FunnelSpec = DEFAULT_SPEC) -> dict[str, str]:
+    """Catalog tables ``sessions`` and ``purchases`` for SQL users (K3).
+
+    Flags are 0/1 integers (SQL ``SUM`` works on them), purchases carry
+    ``revenue`` as the unit price as well as ``item_value``. With ``buckets``
+    both tables are bucketed on ``session_id`` (joins between them need no
+    shuffle) and sessions are sorted by device and channel inside each bucket,
+    so segment filters skip row groups (K4, in place of secondary indexes).
+    """
+    from ..plans.sql import purchases_view, sessions_view
+    prefix = f"{database}." if database else ""
+    names = {"sessions": f"{prefix}sessions", "purchases": f"{prefix}purchases"}
+    bucket = ("session_id",) if buckets else ()
+    save_table(sessions_view(sessions, spec), names["sessions"], bucket_by=bucket, buckets=buckets,
+               sort_within=("device", "channel"))
+    save_table(purchases_view(purchases).withColumn("revenue", F.col("item_value")), names["purchases"],
+               bucket_by=bucket, buckets=buckets)
+    return names
+
+
 def write_sessions_layout(sessions: DataFrame, path: str) -> None:
     """Sessions partitioned by date, rows sorted by device then channel.
 

@@ -43,7 +43,9 @@ def test_cli_flat_csv(spark, tmp_path):
                                        "productSKU", "v2ProductCategory", "productPrice"], HITS)
     out = tempfile.mkdtemp(prefix="cli-")
     res = cli.main(["--sessions", str(tmp_path / "sessions.csv"), "--hits", str(tmp_path / "hits.csv"),
-                    "--out", out])
+                    "--out", out, "--database", "cli_db", "--buckets", "2"])
+    assert spark.table(res["tables"]["sessions"]).count() == 6
+    spark.sql("DROP DATABASE cli_db CASCADE")
     assert set(res["extracts"]) == {"funnel_stage", "funnel_by_device", "channel_performance",
                                     "device_channel_matrix", "daily_trend", "category_revenue"}
     doc = json.loads(open(glob.glob(f"{res['findings']}/part-*")[0]).read())

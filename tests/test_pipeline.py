@@ -113,3 +113,21 @@ def test_bucketed_tables_join_without_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.sql("DROP TABLE IF EXISTS b_sessions")
     spark.sql("DROP TABLE IF EXISTS b_purchases")
+
+
+def test_relational_tables_answer_the_sql_texts(spark):
+    from fixtures import clean, frames
+    from funnelry.operators import cleaning, funnel
+    from funnelry.plans import sql
+    s, h, _ = frames(spark)
+    spark.sql("CREATE DATABASE IF NOT EXISTS funnel_db")
+    names = writers.save_relational_tables(clean(spark), cleaning.purchase_lines(h, s), "funnel_db", buckets=2)
+    t = spark.table(names["sessions"])
+    assert dict(t.dtypes)["purchased"] == "int"
+    union = {r.stage: r.cnt for r in sql.run_on_tables(spark, sql.STAGE_UNION, names["sessions"]).collect()}
+    assert union == {"Sessions": 6, "Product View": 3, "Add to Cart": 3, "Checkout": 2, "Purchase": 2}
+    worst = sql.run_on_tables(spark, sql.WORST_POCKETS, names["sessions"], k=3).collect()
+    assert [tuple(r) for r in worst] == [tuple(r) for r in funnel.worst_pockets(clean(spark), k=3).collect()]
+    cat = sql.run_on_tables(spark, sql.CATEGORY_REVENUE, purchases=names["purchases"]).collect()
+    assert cat[0].category == "Apparel" and cat[0].revenue == 55.07
+    spark.sql("DROP DATABASE funnel_db CASCADE")
