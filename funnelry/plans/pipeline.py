@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning, reports
-from ..session import materialize
+from ..session import Scratch, materialize
 from ..sinks import writers
 from ..spec import DEFAULT_SPEC, FunnelSpec
 
@@ -36,14 +36,16 @@ def run_batch(spark: SparkSession, raw_sessions: DataFrame, raw_hits: DataFrame,
                          events=f"{out}/processed/events_clean", quality=f"{out}/quality",
                          findings=f"{out}/findings")
     # 0. inputs are read by four outputs below: write them once (shared
-    #    checkpoint folder) so upstream work is not repeated per output
-    raw_sessions = materialize(raw_sessions, "batch-raw-sessions")
-    raw_hits = materialize(raw_hits, "batch-raw-hits")
-    # 1. clean / transform (one shuffle on session_id for the flags)
-    writers.write_sessions_layout(cleaning.clean_sessions(raw_sessions, raw_hits, spec), paths.sessions)
-    writers.write_parquet(cleaning.purchase_lines(raw_hits, raw_sessions, spec), paths.purchases)
-    writers.write_parquet(cleaning.event_log(raw_hits, raw_sessions, spec), paths.events)
-    writers.write_json_document(cleaning.quality_report(raw_sessions, raw_hits), paths.quality)
+    #    checkpoint folder) so upstream work is not repeated per output;
+    #    released once the outputs are written
+    with Scratch(spark) as scratch:
+        raw_sessions = materialize(raw_sessions, "batch-raw-sessions", scratch)
+        raw_hits = materialize(raw_hits, "batch-raw-hits", scratch)
+        # 1. clean / transform (one shuffle on session_id for the flags)
+        writers.write_sessions_layout(cleaning.clean_sessions(raw_sessions, raw_hits, spec), paths.sessions)
+        writers.write_parquet(cleaning.purchase_lines(raw_hits, raw_sessions, spec), paths.purchases)
+        writers.write_parquet(cleaning.event_log(raw_hits, raw_sessions, spec), paths.events)
+        writers.write_json_document(cleaning.quality_report(raw_sessions, raw_hits), paths.quality)
     # 2. analysis over the written tables
     sessions = spark.read.parquet(paths.sessions)
     purchases = spark.read.parquet(paths.purchases)

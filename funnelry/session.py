@@ -60,13 +60,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, scratch: "Scratch | None" = None):
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
     Cuts the lineage at a stage boundary: later jobs (and retries after a lost
     executor) start from the written files instead of recomputing upstream.
+    With ``scratch`` the table is released when that scope ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    if scratch is not None:
+        scratch.track(path, df.schema)
     return spark.read.parquet(path)
+
+
+class Scratch:
+    """Scope for intermediate tables: released when the step succeeds.
+
+    Release overwrites each table with an empty frame of the same schema,
+    which deletes its data files through Spark's own writer (any storage the
+    cluster's checkpoint folder lives on). On failure the tables are kept, so
+    a rerun can inspect or reuse them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[str, object]] = []
+
+    def track(self, path: str, schema) -> None:
+        self.tables.append((path, schema))
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, exc_type, exc, tb) -> None:
+        if exc_type is not None:
+            return
+        for path, schema in self.tables:
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+        self.tables.clear()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from ..operators import funnel, reports
-from ..session import scratch_path
+from ..session import Scratch, materialize
 from ..spec import DEFAULT_SPEC, FunnelSpec
 
 
@@ -138,15 +138,14 @@ def publish_extracts(spark: SparkSession, sessions: DataFrame, purchases: DataFr
     checkpoint folder first: each extract then reads that small table instead
     of re-scanning sessions, and a lost executor only recomputes from it.
     """
-    cube_path = scratch_path(spark, "metric-cube")
-    reports.metric_cube(sessions, spec).write.mode("overwrite").parquet(cube_path)
-    cube = spark.read.parquet(cube_path)
     written = {}
-    for name, df in dashboard_tables(cube, purchases, spec).items():
-        path = f"{out_dir.rstrip('/')}/{name}"
-        if fmt == "csv":
-            write_csv(df, path, single_file=True)   # aggregates: segments x stages rows
-        else:
-            df.write.mode("overwrite").parquet(path)
-        written[name] = path
+    with Scratch(spark) as scratch:
+        cube = materialize(reports.metric_cube(sessions, spec), "metric-cube", scratch)
+        for name, df in dashboard_tables(cube, purchases, spec).items():
+            path = f"{out_dir.rstrip('/')}/{name}"
+            if fmt == "csv":
+                write_csv(df, path, single_file=True)   # aggregates: segments x stages rows
+            else:
+                df.write.mode("overwrite").parquet(path)
+            written[name] = path
     return written

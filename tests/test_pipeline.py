@@ -131,3 +131,20 @@ def test_relational_tables_answer_the_sql_texts(spark):
     cat = sql.run_on_tables(spark, sql.CATEGORY_REVENUE, purchases=names["purchases"]).collect()
     assert cat[0].category == "Apparel" and cat[0].revenue == 55.07
     spark.sql("DROP DATABASE funnel_db CASCADE")
+
+
+def test_batch_releases_its_scratch_tables(spark, raw_dir):
+    import os
+    ckpt = spark.conf.get("spark.checkpoint.dir")
+
+    def scratch_dirs():
+        return set(glob.glob(f"{ckpt}/batch-raw-*") + glob.glob(f"{ckpt}/metric-cube-*"))
+
+    before = scratch_dirs()
+    s = files.read_raw_sessions(spark, f"{raw_dir}/sessions.csv")
+    h = files.read_raw_hits(spark, f"{raw_dir}/hits.csv")
+    run_batch(spark, s, h, tempfile.mkdtemp(prefix="batch-"))
+    dirs = scratch_dirs() - before
+    assert len(dirs) == 3                     # raw sessions, raw hits, metric cube
+    rows = {os.path.basename(d): spark.read.parquet(d).count() for d in dirs}
+    assert set(rows.values()) == {0}, (ckpt, rows)
