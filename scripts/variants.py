@@ -59,9 +59,9 @@ def main():
 
     nest = nested.to_nested_sessions(m.raw_sessions(), m.hits(with_sequence=True, columns=["session_id",
                                                                                            cleaning.CODE]))
-    path = f"{spark.conf.get('spark.checkpoint.dir')}/variants-nested"
-    nest.write.mode("overwrite").parquet(path)
-    n = spark.read.parquet(path)
+    from funnelry.session import Scratch, materialize
+    scratch = Scratch(spark)
+    n = materialize(nest, "variants-nested", scratch)
     res["nested_exists"] = best(lambda: noop(n.select("fullVisitorId", "visitId", *nested.exists_flags(n))))
     ex = n.select("fullVisitorId", "visitId", F.explode_outer("hits").alias("h"))
     res["nested_explode_groupby"] = best(lambda: noop(ex.groupBy("fullVisitorId", "visitId").agg(
@@ -74,6 +74,7 @@ def main():
                                                                     strategy="range")))
     w = Window.partitionBy("user_id", "event_day").orderBy("ts", "event_id")
     res["sequence_window"] = best(lambda: noop(seq_in.withColumn("n", F.row_number().over(w))))
+    scratch.__exit__(None, None, None)      # release the nested copy
     print(json.dumps({"sf": Path(sf).name, "cpus": cpus, "spark": spark.version, "best_of": 3, "sec": res}))
 
 
