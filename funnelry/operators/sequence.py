@@ -9,14 +9,15 @@ splits it instead (``strategy="auto"`` decides from the largest group):
    global sort order into P contiguous ranges; a hot key spans many ranges.
 2. ``mapInPandas`` numbers rows inside each range (vectorised run counting,
    carried across Arrow batches of the same partition).
-3. A key that continues from earlier ranges needs the row count of those
+3. The numbered rows (with their range id as a column) are checkpointed to
+   the shared checkpoint folder, so the offsets below and the final join read
+   the same split. Spark samples range bounds afresh for each computation of
+   an exchange, so recomputing it for two branches could split differently.
+4. A key that continues from earlier ranges needs the row count of those
    ranges as an offset. Only the *last* key of each range can continue into
    the next one, so the offset table has at most P rows: it is built from one
    ``max(struct(key, pos))`` per range and broadcast (size bounded by P, not by
    the data).
-
-The explicit partition count keeps AQE from coalescing the ranges, so the
-partition ids seen by both branches agree; the range exchange is reused.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from ..session import ensure_checkpoint_dir
+
 # The per-partition function ships by value with the task, so executors need
 # only pandas/pyarrow, not this package on their Python path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -102,7 +105,11 @@ def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     ranged = df.repartitionByRange(parts, *sort_cols).sortWithinPartitions(*sort_cols)
     schema = StructType(list(df.schema.fields) + [StructField(_PID, IntegerType(), False),
                                                   StructField(_POS, LongType(), False)])
-    local = ranged.mapInPandas(partial(_number_runs, keys=keys), schema)
+    # Checkpoint the numbered rows (shared checkpoint folder): the offsets and
+    # the final join must see exactly the same range split, and Spark's range
+    # sampling is not repeatable across separate computations of the exchange.
+    ensure_checkpoint_dir(spark)
+    local = ranged.mapInPandas(partial(_number_runs, keys=keys), schema).checkpoint(eager=True)
 
     # One row per range: its last key and how many rows of that key it holds.
     last = local.groupBy(_PID).agg(F.max(F.struct(*[F.col(k) for k in keys], F.col(_POS))).alias("e"))
