@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from .operators import cleaning, funnel, nested, reports, stats
+from .session import materialize
 from .spec import DEFAULT_SPEC, FunnelSpec
 
 
@@ -42,6 +43,16 @@ class FunnelAnalysis:
             raise ValueError("needs flat raw sessions and hits")
         return self.raw_sessions, self.hits
 
+    def materialize(self) -> "FunnelAnalysis":
+        """Write the clean sessions once (shared checkpoint folder) and reuse them.
+
+        Every later metric scans that session-grain Parquet table instead of
+        re-aggregating the hits: one pass over raw data for any number of
+        questions.
+        """
+        self._sessions = materialize(self.sessions(), "funnel-sessions")
+        return self
+
     # --- clean / transform ----------------------------------------------------
     def sessions(self) -> DataFrame:
         if self._sessions is None:

@@ -60,3 +60,12 @@ def test_cli_nested(spark):
     out = tempfile.mkdtemp(prefix="cli-nested-")
     res = cli.main(["--nested", src, "--date-from", "20240101", "--date-to", "20240110", "--out", out])
     assert spark.read.parquet(res["sessions"]).count() > 0 and "funnel_stage" in res["extracts"]
+
+
+def test_materialized_sessions_serve_every_metric(spark):
+    s, h, p = frames(spark)
+    fa = FunnelAnalysis(s, h, p).materialize()
+    plan = fa.funnel()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "funnel-sessions" in plan     # one scan: the written sessions
+    assert [r["count"] for r in fa.funnel().orderBy("stage_order").collect()] == [6, 3, 3, 2, 2]
+    assert fa.ztest().first().z == pytest.approx(-0.372678, abs=1e-6)
