@@ -40,7 +40,8 @@ def _sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _purchases(spark: SparkSession, sf: str) -> DataFrame:
     m = _model(spark, sf)
-    return cleaning.purchase_lines(m.hits(), m.raw_sessions())
+    buy = [m.spec.purchase.code]      # read only purchase events (pushed to the scan)
+    return cleaning.purchase_lines(m.hits(codes=buy), m.raw_sessions())
 
 
 def _nested(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,7 +249,8 @@ def q_daily_trend_head(spark, sf):
 @query("category_revenue")
 def q_category_revenue(spark, sf):
     m = _model(spark, sf)
-    return funnel.category_revenue_from_hits(testdata.raw_hits(spark, sf), m.products())
+    buy = [m.spec.purchase.code]
+    return funnel.category_revenue_from_hits(testdata.raw_hits(spark, sf, codes=buy), m.products())
 
 
 @query("category_revenue_orders")

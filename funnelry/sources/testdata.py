@@ -71,13 +71,23 @@ def events(spark: SparkSession, sf_dir: str, date_from: str | None = None,
     return ev
 
 
-def raw_hits(spark: SparkSession, sf_dir: str, **range_kw) -> DataFrame:
+def raw_hits(spark: SparkSession, sf_dir: str, codes: list[int] | None = None, **range_kw) -> DataFrame:
     """GA-shaped hits without product attributes (plus helper columns).
 
     Helper columns user_id, event_day, ts, event_id, value are kept for the
     session rollup and ordering; unused ones are pruned by the optimizer.
+    ``codes`` keeps only hits with those action codes, as a predicate on the
+    raw ``event_type`` column, so it reaches the Parquet scan as a pushed
+    filter (a filter on the derived code would not).
     """
-    return project_hits(events(spark, sf_dir, **range_kw))
+    ev = events(spark, sf_dir, **range_kw)
+    if codes is not None:
+        names = [n for n, c in EVENT_CODES.items() if c in codes]
+        cond = F.col("event_type").isin(*names)
+        if UNMAPPED_CODE in codes:
+            cond = cond | ~F.col("event_type").isin(*EVENT_CODES) | F.col("event_type").isNull()
+        ev = ev.where(cond)
+    return project_hits(ev)
 
 
 def hits_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -117,14 +127,14 @@ SEQUENCE_KEYS, SEQUENCE_ORDER = ("user_id", "event_day"), ("ts", "event_id")
 
 
 def hits(spark: SparkSession, sf_dir: str, with_sequence: bool = False,
-         columns: list[str] | None = None, **range_kw) -> DataFrame:
+         columns: list[str] | None = None, codes: list[int] | None = None, **range_kw) -> DataFrame:
     """Hits with product attributes (J6); ``hitNumber`` when asked.
 
     ``columns`` narrows the hits *before* the sequencing pass: the Python
     step passes every input column through, so the optimizer cannot prune
     columns (or the product join) beneath it.
     """
-    h = attach_products(raw_hits(spark, sf_dir, **range_kw), products(spark, sf_dir))
+    h = attach_products(raw_hits(spark, sf_dir, codes=codes, **range_kw), products(spark, sf_dir))
     if columns is not None:
         keep = list(dict.fromkeys([*columns, *SEQUENCE_KEYS, *SEQUENCE_ORDER])) if with_sequence else columns
         h = h.select(*keep)
@@ -189,8 +199,10 @@ class Model:
     def _kw(self) -> dict:
         return {"date_from": self.date_from, "date_to": self.date_to}
 
-    def hits(self, with_sequence: bool = False, columns: list[str] | None = None) -> DataFrame:
-        return hits(self.spark, self.sf_dir, with_sequence=with_sequence, columns=columns, **self._kw)
+    def hits(self, with_sequence: bool = False, columns: list[str] | None = None,
+             codes: list[int] | None = None) -> DataFrame:
+        return hits(self.spark, self.sf_dir, with_sequence=with_sequence, columns=columns, codes=codes,
+                    **self._kw)
 
     def raw_sessions(self, with_flags: bool = False) -> DataFrame:
         return raw_sessions(self.spark, self.sf_dir, self.spec, with_flags=with_flags, **self._kw)

@@ -88,3 +88,17 @@ def test_hot_session_join_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_purchase_queries_push_event_type_to_scan(spark):
+    for name in ["purchase_lines", "category_revenue"]:
+        plan = _plan(entry.queries()[name](spark, SF_SMALL))
+        assert "EqualTo(event_type,purchase)" in plan, name
+
+
+def test_code_filter_matches_derived_code(spark):
+    from pyspark.sql import functions as F
+    for codes in ([6], [2, 3], [0], [0, 5]):
+        pushed = testdata.raw_hits(spark, SF_SMALL, codes=codes)
+        derived = testdata.raw_hits(spark, SF_SMALL).where(F.col("eCommerceAction_action_type").isin(*codes))
+        assert pushed.exceptAll(derived).count() == 0 and derived.exceptAll(pushed).count() == 0, codes
