@@ -103,7 +103,7 @@ def q_join_hits_sessions(spark, sf):
 @query("sessions_without_hits")
 def q_sessions_without_hits(spark, sf):
     m = _model(spark, sf)
-    mapped = m.hits().where(F.col(cleaning.CODE).isin(*m.spec.codes))
+    mapped = m.hits(codes=m.spec.codes)          # mapped stages only, pushed to the scan
     return cleaning.sessions_without_hits(m.raw_sessions(), mapped).select(
         "session_id", "fullVisitorId", "date", "deviceCategory")
 
@@ -117,7 +117,8 @@ def q_hits_products(spark, sf):
 
 @query("stage_sets")
 def q_stage_sets(spark, sf):
-    s = cleaning.stage_sets(_model(spark, sf).hits())
+    m = _model(spark, sf)
+    s = cleaning.stage_sets(m.hits(codes=m.spec.codes))
     return s.select("session_id", F.array_join("stages", ",").alias("stages"))
 
 
