@@ -323,3 +323,16 @@ def q_metric_cube(spark, sf):
 @query("findings")
 def q_findings(spark, sf):
     return reports.findings(_sessions(spark, sf))
+
+
+@query("findings_scalars")
+def q_findings_scalars(spark, sf):
+    """The scalar content of the findings document, flattened (SQL-checkable)."""
+    d = reports.findings(_sessions(spark, sf))
+    return d.select("overall_conversion", "total_sessions", "total_orders", "total_revenue",
+                    "biggest_leak_stage", "biggest_leak_step_conv",
+                    F.col("desktop_vs_mobile.desktop_rate").alias("desktop_rate"),
+                    F.col("desktop_vs_mobile.mobile_rate").alias("mobile_rate"),
+                    F.col("desktop_vs_mobile.z").alias("z"), F.col("desktop_vs_mobile.p_value").alias("p_value"),
+                    "aov", "recovery_extra_orders_period", "recovery_extra_revenue_period",
+                    "recovery_extra_revenue_annualized")

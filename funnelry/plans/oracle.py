@@ -160,7 +160,12 @@ def _erfc(x: str) -> str:
     return f"({t} * exp(-(({x}) * ({x})) + {poly}))"
 
 
-_P_VALUE = f"CASE WHEN z IS NOT NULL THEN least({_erfc('abs(z) / sqrt(2.0)')}, 1.0) END"
+def _p_value(z: str) -> str:
+    """Two-sided p from z (NULL z gives NULL), same form as the Spark column."""
+    return f"CASE WHEN {z} IS NOT NULL THEN least({_erfc(f'abs({z}) / sqrt(2.0)')}, 1.0) END"
+
+
+_P_VALUE = _p_value("z")
 
 
 def _ratio(a: str, b: str) -> str:
@@ -410,6 +415,21 @@ FROM flags
 GROUP BY GROUPING SETS ((), (device), (channel), (device, channel), (date))""",
 }
 
+BODIES["findings_scalars"] = f"""
+SELECT {_ratio('w.c4', 'w.c0')} AS overall_conversion, w.c0 AS total_sessions, w.c4 AS total_orders,
+  (SELECT CAST(CAST(COALESCE(SUM(revenue_micros), 0) AS BIGINT) AS DOUBLE) / 1000000.0 FROM sessions) AS total_revenue,
+  l.stage AS biggest_leak_stage, l.step_conv AS biggest_leak_step_conv,
+  z.rate_a AS desktop_rate, z.rate_b AS mobile_rate, z.z AS z, {_p_value('z.z')} AS p_value,
+  (CAST(z.buyer_micros AS DOUBLE) / NULLIF(CAST(z.buyers AS DOUBLE), 0)) / 1000000.0 AS aov,
+  ((z.rate_b + 0.5 * (z.rate_a - z.rate_b)) - z.rate_b) * z.n_b AS recovery_extra_orders_period,
+  ((z.rate_b + 0.5 * (z.rate_a - z.rate_b)) - z.rate_b) * z.n_b
+    * ((CAST(z.buyer_micros AS DOUBLE) / NULLIF(CAST(z.buyers AS DOUBLE), 0)) / 1000000.0)
+    AS recovery_extra_revenue_period,
+  ((z.rate_b + 0.5 * (z.rate_a - z.rate_b)) - z.rate_b) * z.n_b
+    * ((CAST(z.buyer_micros AS DOUBLE) / NULLIF(CAST(z.buyers AS DOUBLE), 0)) / 1000000.0) * 4.0
+    AS recovery_extra_revenue_annualized
+FROM wide w, zz z,
+  (SELECT stage, step_conv FROM frame WHERE step_conv IS NOT NULL ORDER BY step_conv, stage_order LIMIT 1) l"""
 # Same daily trend over a pushed-down date range.
 BODIES["date_range_scan"] = BODIES["daily_trend"]
 BODIES["category_revenue_orders"] = f"""
