@@ -70,10 +70,26 @@ def _number_runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterat
         yield pdf.assign(**{_PID: pid, _POS: pos})
 
 
+_LARGEST: dict[tuple[int, tuple[str, ...]], int] = {}
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest ``keys`` group (one partial aggregate, one scalar)."""
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(top or 0)
+    """Row count of the biggest ``keys`` group (one partial aggregate, one scalar).
+
+    Memoised per logical plan (``semanticHash``) for the session: the value
+    only chooses between two strategies that return identical rows, so a
+    stale value can cost speed, never correctness.
+    """
+    memo_key = (df.semanticHash(), tuple(keys))
+    if memo_key not in _LARGEST:
+        top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+        _LARGEST[memo_key] = int(top or 0)
+    return _LARGEST[memo_key]
+
+
+def choose_strategy(df: DataFrame, keys: Sequence[str], max_group_rows: int = 1_000_000) -> str:
+    """"window" when the largest ``keys`` group fits a task, else "range"."""
+    return "window" if largest_group(df, keys) <= max_group_rows else "range"
 
 
 def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -93,7 +109,7 @@ def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keys, order = list(keys), list(order)
     if strategy == "auto":
-        strategy = "window" if largest_group(df, keys) <= max_group_rows else "range"
+        strategy = choose_strategy(df, keys, max_group_rows)
     if strategy == "window":
         seq = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumn(name, seq.cast("int") if as_int else seq)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import attach_products, clean_sessions, session_rollup
-from ..operators.sequence import sequence_within
+from ..operators.sequence import choose_strategy, sequence_within
 from ..spec import DEFAULT_SPEC, FunnelSpec
 
 # --- Fixed values of the adapter ---------------------------------------------
@@ -32,8 +32,24 @@ DEVICE_REST = "tablet"
 SKU_PATTERN = "([0-9]+)"
 
 
+# Declared schemas of the test tables the adapter reads (no footer inference
+# on every read; identical at every scale of the test data).
+TABLE_SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "lineitem": ("l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                 "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                 "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _code_expr():
@@ -95,8 +111,7 @@ def hits_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | N
 
     ``ts`` becomes a TIMESTAMP (event-time watermarks need one).
     """
-    schema = table(spark, sf_dir, "events").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    reader = spark.readStream.schema(TABLE_SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     ev = reader.parquet(sf_dir.rstrip("/"))
@@ -135,11 +150,13 @@ def hits(spark: SparkSession, sf_dir: str, with_sequence: bool = False,
     columns (or the product join) beneath it.
     """
     h = attach_products(raw_hits(spark, sf_dir, codes=codes, **range_kw), products(spark, sf_dir))
+    # decided on the full hits plan, so every narrowing below shares one check
+    strategy = choose_strategy(h, SEQUENCE_KEYS) if with_sequence else None
     if columns is not None:
         keep = list(dict.fromkeys([*columns, *SEQUENCE_KEYS, *SEQUENCE_ORDER])) if with_sequence else columns
         h = h.select(*keep)
     if with_sequence:
-        h = sequence_within(h, SEQUENCE_KEYS, SEQUENCE_ORDER, name="hitNumber")
+        h = sequence_within(h, SEQUENCE_KEYS, SEQUENCE_ORDER, name="hitNumber", strategy=strategy)
         if columns is not None:
             h = h.select(*columns, "hitNumber")
     return h
