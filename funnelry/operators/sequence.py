@@ -82,6 +82,8 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """
     memo_key = (df.semanticHash(), tuple(keys))
     if memo_key not in _LARGEST:
+        if len(_LARGEST) >= 1024:          # long-lived sessions: keep the memo small
+            _LARGEST.clear()
         top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
         _LARGEST[memo_key] = int(top or 0)
     return _LARGEST[memo_key]
