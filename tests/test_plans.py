@@ -102,3 +102,22 @@ def test_code_filter_matches_derived_code(spark):
         pushed = testdata.raw_hits(spark, SF_SMALL, codes=codes)
         derived = testdata.raw_hits(spark, SF_SMALL).where(F.col("eCommerceAction_action_type").isin(*codes))
         assert pushed.exceptAll(derived).count() == 0 and derived.exceptAll(pushed).count() == 0, codes
+
+
+def test_dimension_joins_fall_back_to_shuffle_joins(spark):
+    """Above the broadcast threshold the same queries plan sort-merge joins, same rows."""
+    names = ["channel_performance", "category_revenue", "hits_products"]
+    before = {n: sorted(map(tuple, entry.queries()[n](spark, SF_SMALL).collect()), key=str) for n in names}
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        for n in names:
+            df = entry.queries()[n](spark, SF_SMALL)
+            assert sorted(map(tuple, df.collect()), key=str) == before[n], n
+            plan = _plan(df)
+            assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, n
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
