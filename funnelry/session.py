@@ -28,7 +28,11 @@ DEFAULT_CONF = {
 
 def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
               app_name: str = "funnelry", extra: dict | None = None) -> SparkSession:
-    """Build (or return) a session with the library defaults."""
+    """Build (or return) a session with the library defaults.
+
+    On an already running session only runtime settings are applied; static
+    ones (call-site capture, driver memory) keep that session's values.
+    """
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
