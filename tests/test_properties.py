@@ -59,3 +59,35 @@ def test_percent_label_is_exact_half_up(spark, pairs, decimals):
     want = [None if d == 0 else f"{(Decimal(n) * 100 / Decimal(d)).quantize(q, rounding=ROUND_HALF_UP)}%"
             for n, d in pairs]
     assert got == want
+
+
+session_rows = st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.sampled_from(["x", "y", None]),
+                                  st.sampled_from(["2024-01-01", "2024-01-02", "2024-01-03"]),
+                                  st.booleans(), st.booleans(), st.booleans(), st.booleans(),
+                                  st.one_of(st.none(), st.integers(0, 10**9))), min_size=0, max_size=60)
+
+
+@SETTINGS
+@given(rows=session_rows)
+def test_cube_marginals_add_up(spark, rows):
+    from funnelry.operators import reports
+    df = spark.createDataFrame(
+        [(f"s{i}", *r) for i, r in enumerate(rows)],
+        "session_id string, device string, channel string, date string, reached_product_view boolean, "
+        "reached_cart boolean, reached_checkout boolean, purchased boolean, revenue_micros long"
+    ).withColumn("date", F.to_date("date"))
+    cube = reports.metric_cube(df).collect()
+    measures = ("sessions", "product_view", "cart", "checkout", "orders", "revenue_micros")
+
+    def total(level, key=None, value=None):
+        sel = [r for r in cube if r.level == level and (key is None or r[key] == value)]
+        return tuple(sum(r[m] for r in sel) for m in measures)
+
+    top = total(7) if any(r.level == 7 for r in cube) else (0,) * 6
+    assert top[0] == len(rows)
+    for level in (3, 5, 6, 1):                       # device, channel, date, device x channel
+        assert total(level) == top
+    for dev in ("a", "b", None):                     # the matrix rolls up to each device
+        assert total(1, "device", dev) == total(3, "device", dev)
+    for ch in ("x", "y", None):
+        assert total(1, "channel", ch) == total(5, "channel", ch)
