@@ -60,13 +60,13 @@ def main():
     nest = nested.to_nested_sessions(m.raw_sessions(), m.hits(with_sequence=True, columns=["session_id",
                                                                                            cleaning.CODE]))
     from funnelry.session import Scratch, materialize
-    scratch = Scratch(spark)
-    n = materialize(nest, "variants-nested", scratch)
-    res["nested_exists"] = best(lambda: noop(n.select("fullVisitorId", "visitId", *nested.exists_flags(n))))
-    ex = n.select("fullVisitorId", "visitId", F.explode_outer("hits").alias("h"))
-    res["nested_explode_groupby"] = best(lambda: noop(ex.groupBy("fullVisitorId", "visitId").agg(
-        *[F.coalesce(F.max(F.col("h.eCommerceAction.action_type") == str(c)), F.lit(False)).alias(f"f{c}")
-          for c in (2, 3, 5)])))
+    with Scratch(spark) as scratch:                 # the nested copy is released afterwards
+        n = materialize(nest, "variants-nested", scratch)
+        res["nested_exists"] = best(lambda: noop(n.select("fullVisitorId", "visitId", *nested.exists_flags(n))))
+        ex = n.select("fullVisitorId", "visitId", F.explode_outer("hits").alias("h"))
+        res["nested_explode_groupby"] = best(lambda: noop(ex.groupBy("fullVisitorId", "visitId").agg(
+            *[F.coalesce(F.max(F.col("h.eCommerceAction.action_type") == str(c)), F.lit(False)).alias(f"f{c}")
+              for c in (2, 3, 5)])))
 
     seq_in = h.select("session_id", "user_id", "event_day", "ts", "event_id")
     res["sequence_range_split"] = best(lambda: noop(sequence_within(seq_in, ["user_id", "event_day"],
@@ -74,7 +74,6 @@ def main():
                                                                     strategy="range")))
     w = Window.partitionBy("user_id", "event_day").orderBy("ts", "event_id")
     res["sequence_window"] = best(lambda: noop(seq_in.withColumn("n", F.row_number().over(w))))
-    scratch.__exit__(None, None, None)      # release the nested copy
     print(json.dumps({"sf": Path(sf).name, "cpus": cpus, "spark": spark.version, "best_of": 3, "sec": res}))
 
 
