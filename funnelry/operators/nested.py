@@ -19,30 +19,48 @@ from ..spec import DEFAULT_SPEC, FunnelSpec
 FRAGMENT = "hit_fragment"
 
 
+SESSION_FIELDS = ("fullVisitorId", "visitId", "date", "channelGrouping", "deviceCategory", "country",
+                  "totals_pageviews", "totals_transactions", "totals_transactionRevenue")
+
+
 def to_nested_sessions(raw_sessions: DataFrame, hits: DataFrame, max_hits: int = 1000) -> DataFrame:
     """Raw flat sessions + hits (with hitNumber) -> nested records.
 
     Arrays are sorted by hitNumber. A session with more than ``max_hits``
     hits becomes several records (``hit_fragment`` 0, 1, ...) that repeat the
-    session fields. Sessions without hits get an empty array.
+    session fields. Sessions without hits get an empty array; hits without a
+    session are dropped; duplicate session ids collapse to one record.
+
+    One aggregation builds everything: hit elements and one row per session
+    (its fields, in fragment 0) are grouped by (session, fragment), so the
+    arrays are shuffled once and never re-shuffled for a join. Only fragments
+    after the first (sessions longer than ``max_hits``) look up their session
+    fields with a join, which AQE may split for a hot session.
     """
     frag = F.floor((F.col("hitNumber") - 1) / F.lit(max_hits)).cast("int")
     element = F.struct(F.col("hitNumber").cast("int").alias("hitNumber"),
                        F.struct(F.col("eCommerceAction_action_type").cast("string").alias("action_type"))
                        .alias("eCommerceAction"))
+    types = dict(raw_sessions.dtypes)
     elements = hits.select("session_id", frag.alias(FRAGMENT), element.alias("h"))
-    # One NULL marker per session in fragment 0: collect_list skips it, so a
-    # session without hits still gets a record (with an empty array) and the
-    # hits are read only once.
-    markers = raw_sessions.select("session_id", F.lit(0).alias(FRAGMENT),
-                                  F.lit(None).cast(elements.schema["h"].dataType).alias("h"))
-    arrays = (elements.unionByName(markers).groupBy("session_id", FRAGMENT)
-              .agg(F.sort_array(F.collect_list("h")).alias("hits")))
-    # Inner join: AQE may split a hot session's fragments on either side;
-    # fragments of hits without a session are dropped.
-    s = arrays.join(raw_sessions, "session_id", "inner")
+    h_type = elements.schema["h"].dataType
+    # Session fields travel as separate columns (not one struct) so that the
+    # optimizer still prunes the ones a query never reads, and the dimension
+    # joins behind them.
+    rows = (elements.select("session_id", FRAGMENT, "h", F.lit(None).cast("boolean").alias("_has"),
+                            *[F.lit(None).cast(types[c]).alias(c) for c in SESSION_FIELDS])
+            .unionByName(raw_sessions.select("session_id", F.lit(0).alias(FRAGMENT),
+                                             F.lit(None).cast(h_type).alias("h"), F.lit(True).alias("_has"),
+                                             *SESSION_FIELDS)))
+    agg = rows.groupBy("session_id", FRAGMENT).agg(F.sort_array(F.collect_list("h")).alias("hits"),
+                                                   F.max("_has").alias("_has"),
+                                                   *[F.max(c).alias(c) for c in SESSION_FIELDS])
+    first = agg.where((F.col(FRAGMENT) == 0) & F.col("_has"))
+    later = (agg.where(F.col(FRAGMENT) > 0).select("session_id", FRAGMENT, "hits")
+             .join(first.select("session_id", *SESSION_FIELDS), "session_id", "inner"))
+    s = first.drop("_has").unionByName(later)
     return s.select(
-        F.col("fullVisitorId"), F.col("visitId"), F.col("date"), F.col("channelGrouping"),
+        "fullVisitorId", "visitId", "date", "channelGrouping",
         F.struct(F.col("deviceCategory").alias("deviceCategory")).alias("device"),
         F.struct(F.col("country").alias("country")).alias("geoNetwork"),
         F.struct(F.col("totals_pageviews").alias("pageviews"),
