@@ -23,7 +23,8 @@ SESSION_FIELDS = ("fullVisitorId", "visitId", "date", "channelGrouping", "device
                   "totals_pageviews", "totals_transactions", "totals_transactionRevenue")
 
 
-def to_nested_sessions(raw_sessions: DataFrame, hits: DataFrame, max_hits: int = 1000) -> DataFrame:
+def to_nested_sessions(raw_sessions: DataFrame, hits: DataFrame, max_hits: int = 1000,
+                       all_fit: bool = False) -> DataFrame:
     """Raw flat sessions + hits (with hitNumber) -> nested records.
 
     Arrays are sorted by hitNumber. A session with more than ``max_hits``
@@ -36,6 +37,8 @@ def to_nested_sessions(raw_sessions: DataFrame, hits: DataFrame, max_hits: int =
     arrays are shuffled once and never re-shuffled for a join. Only fragments
     after the first (sessions longer than ``max_hits``) look up their session
     fields with a join, which AQE may split for a hot session.
+    ``all_fit=True`` states that no session has more than ``max_hits`` hits
+    (e.g. known from the sequencing check) and skips that join.
     """
     frag = F.floor((F.col("hitNumber") - 1) / F.lit(max_hits)).cast("int")
     element = F.struct(F.col("hitNumber").cast("int").alias("hitNumber"),
@@ -56,9 +59,11 @@ def to_nested_sessions(raw_sessions: DataFrame, hits: DataFrame, max_hits: int =
                                                    F.max("_has").alias("_has"),
                                                    *[F.max(c).alias(c) for c in SESSION_FIELDS])
     first = agg.where((F.col(FRAGMENT) == 0) & F.col("_has"))
-    later = (agg.where(F.col(FRAGMENT) > 0).select("session_id", FRAGMENT, "hits")
-             .join(first.select("session_id", *SESSION_FIELDS), "session_id", "inner"))
-    s = first.drop("_has").unionByName(later)
+    s = first.drop("_has")
+    if not all_fit:
+        later = (agg.where(F.col(FRAGMENT) > 0).select("session_id", FRAGMENT, "hits")
+                 .join(first.select("session_id", *SESSION_FIELDS), "session_id", "inner"))
+        s = s.unionByName(later)
     return s.select(
         "fullVisitorId", "visitId", "date", "channelGrouping",
         F.struct(F.col("deviceCategory").alias("deviceCategory")).alias("device"),

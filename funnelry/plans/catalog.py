@@ -47,7 +47,8 @@ def _purchases(spark: SparkSession, sf: str) -> DataFrame:
 def _nested(spark: SparkSession, sf: str) -> DataFrame:
     m = _model(spark, sf)
     h = m.hits(with_sequence=True, columns=["session_id", cleaning.CODE])
-    return nested.to_nested_sessions(m.raw_sessions(), h)
+    fit = m.largest_session() <= 1000           # same memoised check as the sequencing
+    return nested.to_nested_sessions(m.raw_sessions(), h, max_hits=1000, all_fit=fit)
 
 
 # --- cleaning / transform -----------------------------------------------------

@@ -227,6 +227,12 @@ class Model:
     def products(self) -> DataFrame:
         return products(self.spark, self.sf_dir)
 
+    def largest_session(self) -> int:
+        """Hits in the biggest session (memoised with the sequencing check)."""
+        from ..operators.sequence import largest_group
+        h = attach_products(raw_hits(self.spark, self.sf_dir, **self._kw), products(self.spark, self.sf_dir))
+        return largest_group(h, SEQUENCE_KEYS)
+
     def sessions(self) -> DataFrame:
         """Clean sessions via the fused rollup (totals + flags in one pass)."""
         return clean_sessions(self.raw_sessions(with_flags=True), None, self.spec)

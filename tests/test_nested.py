@@ -74,3 +74,12 @@ def test_nested_json_source_with_declared_schema(spark):
     a = nested.flatten_nested(back).select("session_id", *FLAGS, "purchased")
     b = nested.flatten_nested(nest).select("session_id", *FLAGS, "purchased")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_all_fit_skips_only_the_later_join(spark):
+    m = testdata.load(spark, SF_SMALL)
+    h = m.hits(with_sequence=True, columns=["session_id", "eCommerceAction_action_type"])
+    assert m.largest_session() <= 1000
+    a = nested.to_nested_sessions(m.raw_sessions(), h, all_fit=True)
+    b = nested.to_nested_sessions(m.raw_sessions(), h, all_fit=False)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
