@@ -16,8 +16,10 @@ spec = importlib.util.spec_from_file_location("entry_under_test", {str(ENTRY)!r}
 m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 df = m.entry(spark)
+from funnelry.plans.catalog import REGISTRY
 out = {{"entry_rows": df.count(), "entry_cols": df.columns,
-       "n_queries": len(m.queries()), "n_oracle": len(m.oracle_sql())}}
+       "n_queries": len(REGISTRY), "n_oracle": len(REGISTRY.keys() & m.oracle_sql().keys()),
+       "all_listed": REGISTRY.keys() <= m.queries().keys() and m.oracle_sql().keys() <= m.queries().keys()}}
 for name in ["hit_sequence", "nested_funnel", "findings", "metric_cube"]:
     q = m.queries()[name](spark, "/root/testdata/sf0.001")
     out[name] = [q.count(), q.schema.simpleString() == m.queries()[name](spark, "/root/testdata/sf0.001").schema.simpleString()]
@@ -39,7 +41,7 @@ def test_entry_loaded_by_path_in_fresh_process():
     out = json.loads(line[0][len("RESULT "):])
     assert out["entry_rows"] == 5
     assert out["entry_cols"] == ["stage", "stage_order", "count", "pct_of_sessions", "step_conv"]
-    assert out["n_queries"] == out["n_oracle"] + 1
+    assert out["n_queries"] == out["n_oracle"] + 1 and out["all_listed"]
     assert out["hit_sequence"] == [1000, True] and out["nested_funnel"] == [1, True]
     assert out["findings"] == [1, True] and out["metric_cube"][1] is True
     assert out["range_split"] == [1000, 0, 0]      # Python step shipped by value, checkpoint in a bare session

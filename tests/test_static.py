@@ -6,7 +6,7 @@ import re
 from pathlib import Path
 
 PKG = Path(__file__).resolve().parents[1] / "funnelry"
-SOURCES = {p: p.read_text() for p in PKG.rglob("*.py")}
+SOURCES = {p: p.read_text() for p in PKG.rglob("*.py") if p.parent.name != "llm"}
 
 FORBIDDEN = [r"\.collect\(", r"\.toPandas\(", r"localCheckpoint", r"crossJoin", r"\bF\.udf\(", r"@udf\b",
              r"pandas_udf", r"\.rdd\b"]
