@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, url_filter
+from . import chat_format, decontaminate, line_dedup, packing, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,3 +78,41 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(decontaminate.find_leaks(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op1_line_dedup", r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), trimmed AS (
+  SELECT doc_id, pos, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS said FROM lines
+), places AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place, said FROM trimmed WHERE said <> ''
+), runs AS (
+  SELECT a.doc_id, a.place, a.said || chr(10) || b.said AS run
+  FROM places a JOIN places b ON a.doc_id = b.doc_id AND b.place = a.place + 1
+), later AS (
+  SELECT doc_id, place FROM (
+    SELECT doc_id, place, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS n FROM runs) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT p.doc_id, p.pos FROM places p JOIN later l
+    ON p.doc_id = l.doc_id AND p.place BETWEEN l.place AND l.place + 1
+)
+SELECT t.doc_id, count(*) FILTER (t.said <> '') AS n_lines, count(g.pos) AS n_removed,
+       sha256(coalesce(string_agg(t.line, chr(10) ORDER BY t.pos) FILTER (g.pos IS NULL), '')) AS kept_sha256
+FROM trimmed t LEFT JOIN gone g ON t.doc_id = g.doc_id AND t.pos = g.pos
+GROUP BY t.doc_id
+""")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))

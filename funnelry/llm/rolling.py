@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+_MASK = (1 << 64) - 1
 _SHIFT = U64(33)
 _MIX_A, _MIX_B = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 GRAM_BASE, WINDOW_BASE, SECOND_BASE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
@@ -115,20 +116,18 @@ def gram_hashes(units: np.ndarray, k: int, base: U64) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, U64)
     total, taken, power = None, 0, units
-    width, factor = 1, base
-    one = U64(1)
-    scale = one
+    width, factor, scale = 1, int(base), 1
     while True:
         if k & width:
-            part = power[taken:taken + n]
-            total = part * scale if total is None else total + part * scale
+            part = power[taken:taken + n] * U64(scale)
+            total = part if total is None else total + part
             taken += width
-            scale = scale * factor
+            scale = scale * factor & _MASK
         width *= 2
         if width > k:
             return total
-        power = power[:-(width // 2)] + power[width // 2:] * factor
-        factor = factor * factor
+        power = power[:-(width // 2)] + power[width // 2:] * U64(factor)
+        factor = factor * factor & _MASK
 
 
 def sliding_minimum(values: np.ndarray, w: int) -> np.ndarray:
@@ -174,10 +173,10 @@ def hash_at(units: np.ndarray, places: np.ndarray, k: int, base: U64) -> np.ndar
     """Mixed hash of the k units from each of a few places on."""
     if not len(places):
         return np.zeros(0, U64)
-    total, scale = np.zeros(len(places), U64), U64(1)
+    total, scale = np.zeros(len(places), U64), 1
     for j in range(k):
-        total += units[places + j] * scale
-        scale = scale * base
+        total += units[places + j] * U64(scale)
+        scale = scale * int(base) & _MASK
     return mix(total)
 
 
