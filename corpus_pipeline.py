@@ -1,15 +1,76 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``: quality, line dedup, near-dedup,
+decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its
+predecessor kept. All but the last return the columns of ``documents``, with
+``n_chars`` of the text as it is then; the last returns pieces of sequences. An
+empty table passes through every stage. Rows are told apart by doc_id and text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from funnelry.llm import decontaminate, line_dedup, near_dedup, packing, quality
+from funnelry.llm.tasks import stored
+
+#: The tokenizer's vocabulary file; every executor has it.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier rejects go."""
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, accept=quality.ACCEPT, name="quality_score").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of lines go, and documents of which they leave nothing."""
+    done = line_dedup.dedup_lines(docs)
+    blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
+    return done.where(~(blank & (F.col("n_removed") > 0))) \
+        .withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
+    found = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id"), "version").distinct()
+    rows = docs.withColumn("version", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(found["id"]) & (rows["version"] == found["version"])
+    return rows.join(found, same, "left_semi").dropDuplicates(["doc_id", "version"]).select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    found = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"), whole_rows=True)
+    return found.where("n_hit = 0").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 4096, as pieces of documents."""
+    return packing.pack_documents(docs, TOKENIZER)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
+#: The first stage is a trained model, so no SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``, each one's result written to the shared folder and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,7 +25,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,38 +102,43 @@ def _merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH,
-               block_bytes: int = BLOCK_BYTES, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+               block_bytes: int = BLOCK_BYTES, item_key: str = "item_id", item_text: str = "text",
+               whole_rows: bool = False) -> DataFrame:
     """One row per document: key, n_words, n_hit, hit_spans (bytes of the text, end
-    exclusive), items (ids of the items with occurring windows, distinct)."""
+    exclusive), items (ids of the items with occurring windows, distinct). With
+    ``whole_rows`` all other columns of the row and its text come along, without a join."""
     spark = docs.sparkSession
     small_batches(spark)
     items = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text")).dropna()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     none = F.array().cast("array<int>")
-    rows = docs.select(F.col(key).cast("long").alias("row"), F.col(text).alias("text"),
+    rest = [c for c in docs.columns if whole_rows and c not in (key, text, "n_words", "n_hit", "hit_spans", "items")]
+    others = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("string")
+    rows = docs.select(F.col(key).cast("long").alias("row"), F.col(text).alias("text"), others.alias("others"),
                        none.alias("first"), none.alias("past"), none.cast("array<long>").alias("items"))
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        rows = _scan(rows, [tuple(r) for r in part.distinct().collect()], length, block == blocks - 1)
+        rows = _scan(rows, [tuple(r) for r in part.distinct().collect()], length, block == blocks - 1, whole_rows)
     n_hit = F.aggregate(F.arrays_zip("first", "past"), F.lit(0).cast("long"), lambda n, r: n + r["past"] - r["first"])
-    return rows.select(F.col("row").alias(key), "n_words", n_hit.alias("n_hit"),
+    back = [F.col(f"others.`{c}`").alias(c) for c in rest] + [F.col("text").alias(text)] * whole_rows
+    return rows.select(F.col("row").alias(key), *back, "n_words", n_hit.alias("n_hit"),
                        F.arrays_zip(F.col("begin").alias("start"), F.col("end")).alias("hit_spans"), "items")
 
 
-def _scan(rows: DataFrame, items: list[tuple], length: int, last: bool) -> DataFrame:
-    """The rows with the hits of one block of items added; the last block drops the text."""
+def _scan(rows: DataFrame, items: list[tuple], length: int, last: bool, with_text: bool) -> DataFrame:
+    """The rows with the hits of one block of items added; the last block drops the text unless it is wanted."""
     shared, name = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(name, shared.value, length)
         for batch in batches:
             for part in rolling.text_slices(batch, "text"):
-                texts = pc.fill_null(part.column("text"), "").to_pylist()
+                texts = part.column("text").to_pylist()
                 known = zip(*(part.column(c).to_pylist() for c in ("first", "past", "items")))
                 out = []
                 for text, (first, past, owners) in zip(texts, known):
-                    data = text.encode().translate(NORMAL)
+                    data = (text or "").encode().translate(NORMAL)
                     words = data.split()
                     ranges, ids = _hits(words, automaton) if automaton and words else ([], set())
                     ranges = _merged([*zip(first, past), *ranges])
@@ -143,10 +147,12 @@ def _scan(rows: DataFrame, items: list[tuple], length: int, last: bool) -> DataF
                         codes = np.frombuffer(data, np.uint8)
                         starts, ends, _ = rolling.word_spans(codes, np.array([0, len(codes)]), _SPACE)
                         begin, end = starts[first].tolist(), ends[[p - 1 for p in past]].tolist()
-                    out.append((None if last else text, len(words), first, past, begin, end, sorted(ids.union(owners))))
-                yield record_batch(_OUT, part.column("row"), *zip(*out))
+                    out.append((None if last and not with_text else text, len(words), first, past, begin, end, sorted(ids.union(owners))))
+                found = record_batch(_OUT, part.column("row"), *zip(*out))
+                yield pa.RecordBatch.from_arrays([part.column("others"), *found.columns], names=["others", *_OUT.names])
 
-    return rows.mapInArrow(scan, "row long, text string, n_words long, first array<int>, past array<int>, "
+    kind = rows.schema["others"].dataType.simpleString()
+    return rows.mapInArrow(scan, f"others {kind}, row long, text string, n_words long, first array<int>, past array<int>, "
                                  "begin array<long>, end array<long>, items array<long>")
 
 
