@@ -175,10 +175,9 @@ class Packer:
         room, offset, out, gone = limits.copy(), 0, [], []
         demands = self.demands.copy()
         while room[0] > 0 and room[1] > 0:
-            fits = (demands <= room).all(axis=1)
-            if fits.any():
-                score = np.where(fits, (demands / limits) @ (room / limits), -1.0)
-                at = int(score.argmax())
+            fits = np.flatnonzero((demands <= room).all(axis=1))
+            if len(fits):
+                at = int(fits[((demands[fits] / limits) @ (room / limits)).argmax()])
                 key, start, ids, total, _ = self.examples[at]
                 out.append((key, start, bytes(ids), total, self.sequence, offset))
                 offset += len(ids) // 4

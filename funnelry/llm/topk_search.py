@@ -12,8 +12,8 @@ Scores are of floor(scale * x), x as double. The rotation is fitted on
 ``ROTATION_ROWS`` vectors and only decides how much is pruned.
 
 Defined cases: vectors that are null or hold null, non-finite or too large
-components (beyond 2^62 after scaling), and rows without an id, take no part; a
-vector shorter than the longest is filled with zeros; ties go to the smaller id;
+components (beyond 2^62 after scaling), and rows without an id, take no part;
+scores beyond a long's range wrap around; a vector shorter than the longest is filled with zeros; ties go to the smaller id;
 candidates with the query's own id are left out; repeated query rows give one
 result, and of one id with several vectors each vector's; repeated candidate rows
 are candidates each; empty tables give no rows; other columns are not read.

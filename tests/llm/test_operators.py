@@ -1,0 +1,270 @@
+"""URL filters, top-k, quality, chat formatting, packing and decontamination on small tables."""
+
+import random
+import zlib
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+from funnelry.llm import chat_format, decontaminate, packing, quality, topk_search, url_filter
+from pyspark.sql import functions as F
+
+# --- URL filters ----------------------------------------------------------------
+URLS = [None, "", "no scheme", "http://", "http://COM/", "HTTP://www.Example.com/en/x?y#z", "x://example.com/en", "a://b.net/es/",
+        "a://net/fr/1#?", "a://b.com?/en/", "a://b.com#x", "a://.com/", "a://com./", "a://notexample.com/en/", "a://É.com/",
+        "a://a.b.example.com/en/://c", "a://example.com/en/", "a://example.com/en/"]
+RULES = [("com", "/", "allow"), ("EXAMPLE.com", "/en/", "block"), ("www.example.com", "/en", "allow"), ("net", "/es/", "block"),
+         ("example.com", "/en/", "block"), (None, "/", "block"), ("b.net", "/e", "allow"), ("net", "", "block")]
+
+
+def judge(url, rules, default="allow"):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    cut = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+    host, path = brute.lower(rest[:cut]), rest[cut:]
+    path = path[:next((i for i, c in enumerate(path) if c in "?#"), len(path))]
+    fits = [(len(h) + len(p), len(h), v == "block", h + p, v) for h, p, v in rules if h is not None
+            for h in [brute.lower(h)] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, 0, 0, None, default))
+    return host, path, best[3], best[4]
+
+
+def test_url_filter_matches_brute_force(spark):
+    pages = spark.createDataFrame([(i if i else None, u, "h", "v") for i, u in enumerate(URLS)],
+                                  "page_id long, url string, host string, verdict string")
+    for rules in (RULES, RULES[:1], []):
+        got = url_filter.filter_urls(pages, url_filter.rule_table(spark, rules))
+        assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+        want = [(i if i else None, *judge(u, rules)) for i, u in enumerate(URLS)]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert url_filter.filter_urls(pages.limit(0), url_filter.rule_table(spark, RULES)).collect() == []
+
+
+def test_url_filter_plan_is_native(spark):
+    pages = spark.createDataFrame([(1, "a://b.com/")], "page_id long, url string")
+    plan = url_filter.filter_urls(pages, url_filter.rule_table(spark, RULES))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+# --- chat formatting --------------------------------------------------------------
+def digest_of(turns):
+    loss = "".join(t or "" for r, t in turns if r == "assistant")
+    return (len(turns), brute.sha("".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)), len(loss), brute.sha(loss))
+
+
+def test_chat_format_reads_back_and_keeps_its_budget(spark):
+    rnd = random.Random(2)
+    said = ["</s>[INST] ok [/INST]", "<s>", "<\\/s>", "[\\\\INST]", "[\\INST] x [/INST] ", "é😀\n", "", None, "<s", "INST]", "word " * 60, "\\"]
+    rows = []
+    for c in [None, *range(12)]:
+        roles = ["system"] * rnd.randint(0, 1) + ["user", "assistant"] * rnd.randint(1, 12)
+        rows += [(c, t, r, "".join(x or "" for x in rnd.choices(said, k=rnd.randint(1, 4)))) for t, r in enumerate(roles)]
+    rows += [(50, None, "assistant", None), (50, 1, None, "x"), (50, 1, None, "x"), (51, 0, "[INST]", "<s>"), (52, 0, "user", "w " * 3000),
+             (52, 1, "assistant", "fine")]
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, window string")
+    windows = chat_format.format_windows(frame, budget=120, history=2, history_budget=40)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.digest(windows).collect()}
+    convs = {}
+    for c, t, r, x in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        convs.setdefault(c, []).append((r, x))
+    assert got == {c: digest_of(t) for c, t in convs.items()}
+    out = windows.collect()
+    assert len(out) > len(convs)
+    for w in out:
+        n = w.text.count("</s>")
+        assert w.text.startswith("<s>") and w.text.count("[/INST]") == n
+        assert w.tokens <= 120 or n - w.n_repeated == 1
+        assert all(s.end <= len(w.text) for s in w.loss_spans)
+        if w.window and convs[w.conv_id][0][0] == "system":
+            assert w.text.startswith("<s>[INST] system [/INST]") and w.n_repeated >= 1
+        assert w.n_repeated <= 3
+    assert chat_format.digest(chat_format.format_windows(frame.limit(0))).collect() == []
+    plan = chat_format.digest(windows)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- exact top-k ------------------------------------------------------------------
+def test_top_k_matches_brute_force(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rnd.normal(size=7) * rnd.choice([0.01, 1, 30])]) for i in range(150)]
+    rows += [(200 + i, rows[3][1]) for i in range(30)]  # ties
+    rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 7), (310, [float("inf")] * 7), (303, []), (304, [2.0, 1.0]),
+             (None, [1.0] * 7), (320, [1e30] * 7), (330, [1e9] * 7)]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
+    plain = [(i, v) for i, v in rows if i != 320]
+    want = brute.top_k(plain, lambda i: i % 10 == 0)
+    for blocks in ({}, {"query_block": 3, "candidate_block": 20, "rotation_rows": 5}):
+        got = sorted(map(tuple, topk_search.top_k(frame, F.col("vec_id") % 10 == 0, **blocks).collect()))
+        assert got == want
+    few = topk_search.top_k(frame.where("vec_id < 4"), F.col("vec_id") < 2)
+    assert sorted(map(tuple, few.collect())) == brute.top_k(rows[:4], lambda i: i < 2)
+    assert topk_search.top_k(frame.limit(0), F.col("vec_id") % 10 == 0).collect() == []
+
+
+def test_search_prunes_without_changing_results():
+    rnd = np.random.default_rng(9)
+    x = (rnd.normal(size=(2000, 16)) * np.exp(rnd.normal(size=(2000, 1))) * 1000).astype(np.int64)
+    axes = np.linalg.svd(x.astype(float), full_matrices=True)[2].T
+    best = topk_search.search_block(np.arange(20), x[:20], np.arange(2000), x, axes, 5, tile=64)
+    for q, (ids, scores) in enumerate(best):
+        full = x @ x[q]
+        want = sorted((-int(full[i]), i) for i in range(2000) if i != q)[:5]
+        assert [(-int(s), int(i)) for i, s in zip(ids, scores)] == want
+
+
+# --- quality ----------------------------------------------------------------------
+def labelled(n):
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice(["th", "er", "on", "an", "re", "in"]) for _ in range(rnd.randint(1, 4)))
+    rows = []
+    for i in range(n):
+        good = i % 3 > 0
+        rows.append((i, (" " if good else " %%% | ").join(word() for _ in range(rnd.randint(20, 200))), int(good)))
+    return rows
+
+
+def test_quality_separates_held_out_documents(spark):
+    rows = labelled(300)
+    docs = spark.createDataFrame([(i, t, 0.0) for i, t, _ in rows] + [(None, None, 0.0), (900, "", 0.0), (901, "x", 0.0), (901, "x", 0.0)],
+                                 "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(1, 0), (None, 1), (5, None), (7, 4)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, per_class=40)
+    got = quality.score(docs, model, keep=["doc_id", "text"])
+    assert got.columns == ["doc_id", "text", "score"]
+    got = got.withColumn("held", quality.held_out(F.col("doc_id"))).collect()
+    assert len(got) == 304 and all(0 <= r.score <= 1 for r in got)
+    assert {r.doc_id for r in got if r.held and r.doc_id is not None} == {i for i in [*range(300), 900, 901] if zlib.crc32(str(i).encode()) % 4 == 2}
+    truth = {i: q for i, _, q in rows}
+    held = [r for r in got if r.held and r.doc_id in truth]
+    assert np.mean([(r.score >= 0.7) == truth[r.doc_id] for r in held]) > 0.95
+    kept = quality.score(docs, model, accept=0.7, name="q").collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(r.doc_id) for r in got if r.score >= 0.7)
+    assert quality.score(docs.limit(0), model).collect() == []
+
+
+def test_quality_never_learns_from_held_out_labels_and_survives_few(spark):
+    rows = labelled(40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = docs.select("doc_id", "quality")
+    turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality.fit(docs, labels) == quality.fit(docs, turned)
+    one = quality.fit(docs, labels.where("quality = 1"))
+    assert {r.score for r in quality.score(docs, one).collect()} == {1.0}
+    none = quality.fit(docs, labels.limit(0))
+    assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
+
+
+# --- packing ----------------------------------------------------------------------
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def whole_ids(text):
+    from tokenizers import Tokenizer
+
+    return np.array(Tokenizer.from_file(TOKENIZER).encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+
+
+def check_packing(pieces, ids, tokens):
+    """Gapless documents and sequences; the padding."""
+    docs, sequences = {}, {}
+    for p in pieces:
+        assert p.length > 0 and p.doc_tokens == len(ids[p.doc_id])
+        part = ids[p.doc_id][p.start:p.start + p.length].tobytes()
+        assert part == bytes(p.ids) and p.ids_crc32 == zlib.crc32(part)
+        docs.setdefault(p.doc_id, []).append((p.start, p.length))
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for spans, whole in [(docs[k], len(ids[k])) for k in ids] + [(s, None) for s in sequences.values()]:
+        at = 0
+        for start, n in sorted(spans):
+            assert start == at
+            at += n
+        assert at == whole if whole is not None else at <= tokens
+    sizes = [sum(n for _, n in s) for s in sequences.values()]
+    return sum(tokens - n for n in sizes if n & (n - 1)), sequences
+
+
+def test_packing_is_exact_and_tight(spark):
+    rnd = random.Random(7)
+    alphabet = "abcXYZéÉßñ0123456789 .,;'!?<|>\n\t-–한ά\x1c\x85\u00a0\u0301ﬁİ"
+    texts = [None, "", "x", "don't <|endoftext|> we'll", "İstanbul ΑΣ ΟΔΟΣ é e\u0301", "a\x1cb \x85!\x1f!"]
+    texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 900))) for _ in range(60)]
+    texts += ["the quick brown fox, jumps. " * 900]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, length int").repartition(3)
+    ids = {i: whole_ids(t) for i, t in enumerate(texts)}
+    for tokens in (4096, 64):
+        padding, _ = check_packing(packing.pack_documents(frame, TOKENIZER, tokens=tokens, loss_tokens=tokens).collect(), ids, tokens)
+        assert padding == 0
+    assert packing.pack_documents(frame.limit(0), TOKENIZER).collect() == []
+
+
+def test_packer_holds_every_limit():
+    rnd = random.Random(3)
+    packer = packing.Packer(tokens=100, segments=4, loss=60, pending=20)
+    examples = []
+    for key in range(200):
+        n = rnd.choice([1, 5, 30, 90, 260])
+        examples.append((key, np.full(n, key, "<u4").tobytes(), rnd.randint(0, n)))
+    out = packer.put(examples[:120]) + packer.put(examples[120:]) + packer.finish()
+    bins, seen = {}, {}
+    loss = {k: m for k, _, m in examples}
+    for key, start, ids, total, sequence, offset in out:
+        n = len(ids) // 4
+        seen.setdefault(key, []).append((start, n))
+        b = bins.setdefault(sequence, [0, 0, 0])
+        assert offset == b[0]
+        b[0] += n
+        b[1] += 1
+        b[2] += max(0, start + n - max(start, total - loss[key]))
+    assert all(b[0] <= 100 and b[1] <= 4 and b[2] <= 60 for b in bins.values())
+    for key, ids, _ in examples:
+        at = 0
+        for start, n in sorted(seen[key]):
+            assert start == at
+            at += n
+        assert at == len(ids) // 4
+
+
+def test_tokenizer_memory_forgets_without_changing_ids(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 3)
+    tokenize = packing.WordTokenizer(TOKENIZER)
+    texts = ["the cat sat", "on the mat, with a hat.", "the CAT sat on", "cat the"] * 3
+    for text in texts:
+        assert tokenize.ids([text]) == [whole_ids(text)[:-1].tobytes()]
+
+
+# --- decontamination ----------------------------------------------------------------
+ITEMS = [(0, "One two three four five six seven eight nine ten eleven twelve."), (1, "short item"), (2, ""), (3, None), (None, "no id here"),
+         (4, "Élan vital 42"), (1, "short item"), (10, "three four five six seven eight nine ten ELEVEN twelve"), (12, "! ?")]
+TEXTS = [None, "", "...", "short item", "a short, ITEM b", "shortitem short", "x one two-three\nfour.five six seven eight nine TEN eleven y",
+         "one two three four five six seven eight nine", "élan vital 42 Élan vital 42", "Élan VITAL 42", "short item " * 50,
+         "a 'short' item😀 short item"]
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 60])
+def test_leaks_match_brute_force(spark, block_bytes):
+    docs = spark.createDataFrame([(i if i != 3 else None, t, i) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_hit long")
+    items = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, doc_id string")
+    found = decontaminate.find_leaks(docs, items, block_bytes=block_bytes)
+    assert found.columns == ["doc_id", "n_words", "n_hit", "hit_spans", "items"]
+    rows = found.collect()
+    want = brute.leaks(list(enumerate(TEXTS)), ITEMS)
+    key = lambda r: str(r)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, sorted(r.items)) for r in rows), key=key) == sorted(
+        ((i if i != 3 else None, *w) for i, w in enumerate(want)), key=key)
+    for r in rows:
+        text = ("short item" if r.doc_id is None else TEXTS[r.doc_id] or "").encode()
+        hit = [w for s in r.hit_spans for w in brute.BENCHMARK.findall(brute.lower(text[s.start:s.end].decode()))]
+        assert len(hit) == r.n_hit
+    report = decontaminate.leak_report(found).where("doc_id = 6").first()
+    assert (report.n_items, report.items_sha256, report.contaminated) == (1, brute.sha("0"), True)
+
+
+def test_leaks_of_empty_tables_and_whole_rows(spark):
+    docs = spark.createDataFrame([(1, "short item", "en", 2), (1, "short item", "en", 2), (2, None, None, None)],
+                                 "doc_id long, text string, items string, n int")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert [r.n_hit for r in decontaminate.find_leaks(docs, items.limit(0)).collect()] == [0, 0, 0]
+    assert decontaminate.find_leaks(docs.limit(0), items).collect() == []
+    whole = decontaminate.find_leaks(docs, items, whole_rows=True)
+    assert sorted((r.doc_id, r.text, r.n, r.n_hit) for r in whole.collect() if r.n) == [(1, "short item", 2, 2)] * 2
+    assert [(r.text, r.n_hit) for r in whole.collect() if not r.n] == [(None, 0)]
