@@ -43,10 +43,6 @@ def parse_yyyymmdd(c: str | Column) -> Column:
     return F.to_date(col_(c).cast("string"), "yyyyMMdd")
 
 
-def format_yyyymmdd(c: str | Column) -> Column:
-    return F.date_format(col_(c), "yyyyMMdd")
-
-
 def clamp(c: str | Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(col_(c), F.lit(lo)), F.lit(hi))
 

@@ -25,23 +25,31 @@ def _code() -> Column:
 
 
 # --- J6: hits with product attributes ----------------------------------------
+def unique_products(products: DataFrame) -> DataFrame:
+    """One row per SKU: of repeated SKUs the largest (category, price), whole."""
+    return (products.groupBy("productSKU")
+            .agg(F.max(F.struct("v2ProductCategory", F.col("productPrice").alias("_price"))).alias("_p"))
+            .select("productSKU", "_p.v2ProductCategory", "_p._price"))
+
+
 def attach_products(hits: DataFrame, products: DataFrame) -> DataFrame:
-    """Left join hits to the product dimension by SKU.
-
-    Unknown SKUs keep a NULL category and a 0.0 price. The dimension is
-    reduced to one row per SKU (a lookup has one value per key), so hits never
-    fan out and the optimizer drops the join when no product column is read.
-    No broadcast hint: the optimizer broadcasts the dimension when its
-    estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE
-    re-checks at run time) and falls back to a shuffle join beyond it; AQE
-    splits skewed SKUs on the hit side.
+    """Left join hits to the product dimension by SKU; hits never fan out.
+
+    Unknown SKUs keep a NULL category and a 0.0 price. The join runs on a hash
+    of the SKU and compares the SKU besides. Both sides therefore get an
+    exchange of their own, which is what lets adaptive execution split a hot
+    SKU (it cannot where an aggregate sits between exchange and join). A hit
+    without a SKU, which most real hits are, gets the hash of its session id:
+    such rows spread evenly and match nothing. No broadcast hint: Spark
+    broadcasts the dimension while it is under its size threshold.
     """
-    p = products.groupBy("productSKU").agg(F.max("v2ProductCategory").alias("v2ProductCategory"),
-                                           F.max("productPrice").alias("_price"))
-    h = hits.drop("v2ProductCategory", "productPrice")
-    return (h.join(p, "productSKU", "left")
+    p = unique_products(products).select(F.xxhash64("productSKU").alias("_at"), F.col("productSKU").alias("_sku"),
+                                         "v2ProductCategory", "_price")
+    h = hits.drop("v2ProductCategory", "productPrice").withColumn(
+        "_at", F.when(F.col("productSKU").isNull(), F.xxhash64("session_id")).otherwise(F.xxhash64("productSKU")))
+    return (h.join(p, (h["_at"] == p["_at"]) & (h["productSKU"] == p["_sku"]), "left")
              .withColumn("productPrice", F.coalesce(F.col("_price"), F.lit(0.0)))
-             .drop("_price"))
+             .drop("_price", "_at", "_sku"))
 
 
 # --- A8: stage flags / stage sets per session ---------------------------------

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import flag_count, ratio, sum_micros, usd_to_micros
 from ..spec import DEFAULT_SPEC, MICROS, FunnelSpec
+from .cleaning import unique_products
 
 
 def _counts(spec: FunnelSpec) -> list[Column]:
-    """c0 = sessions, c1..cn = sessions reaching each stage."""
-    return [F.count(F.lit(1)).alias("c0")] + [flag_count(f).alias(f"c{i + 1}")
+    """c0 = sessions (those with an id), c1..cn = sessions reaching each stage."""
+    return [F.count("session_id").alias("c0")] + [flag_count(f).alias(f"c{i + 1}")
                                               for i, f in enumerate(spec.flags)]
 
 
@@ -56,14 +57,16 @@ def funnel_frame(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
 
 
 # --- W1 / W2: window form over a long stage table -----------------------------
-def step_ratios(long_counts: DataFrame, count_col: str = "count", order_col: str = "stage_order",
-                by: Sequence[str] = ()) -> DataFrame:
+def step_ratios(long_counts: DataFrame, by: Sequence[str], count_col: str = "count",
+                order_col: str = "stage_order") -> DataFrame:
     """Add pct_of_sessions (count / first stage) and step_conv (count / previous).
 
     Windows are partitioned by the segment columns and run over aggregated
     stage rows only (stages x segments), never over raw rows.
     """
-    w = Window.partitionBy(*by).orderBy(order_col) if by else Window.orderBy(order_col)
+    if not by:
+        raise ValueError("step_ratios needs segment columns; funnel_frame gives the ratios of a whole table")
+    w = Window.partitionBy(*by).orderBy(order_col)
     first = F.first(F.col(count_col)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     prev = F.lag(F.col(count_col)).over(w)
     return long_counts.select("*", ratio(count_col, first).alias("pct_of_sessions"),
@@ -74,7 +77,7 @@ def funnel_frame_windowed(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
                           by: Sequence[str] = ("device",)) -> DataFrame:
     """M8 per segment through the window form: agg -> stack -> lag / first."""
     long = funnel_stage(sessions, spec, by=by).withColumnRenamed("sessions", "count")
-    return step_ratios(long, "count", "stage_order", by)
+    return step_ratios(long, by)
 
 
 # --- M9 / U1: long stage counts -----------------------------------------------
@@ -105,7 +108,7 @@ def segment_rates(sessions: DataFrame, by: str = "device",
 def funnel_by_segment(sessions: DataFrame, by: str = "device",
                       spec: FunnelSpec = DEFAULT_SPEC, dropna: bool = False) -> DataFrame:
     """segment, sessions, product_view, cart, checkout, purchase, revenue."""
-    aggs = [F.count(F.lit(1)).alias("sessions")]
+    aggs = [F.count("session_id").alias("sessions")]
     aggs += [flag_count(f).alias(n) for f, n in zip(spec.flags, spec.count_names)]
     aggs += [(sum_micros("revenue_micros").cast("double") / MICROS).alias("revenue")]
     return drop_null_keys(sessions, [by], dropna).groupBy(by).agg(*aggs).orderBy(F.asc_nulls_last(by))
@@ -126,7 +129,7 @@ def drop_null_keys(df: DataFrame, keys: Sequence[str], dropna: bool) -> DataFram
 def _performance(sessions: DataFrame, keys: Sequence[str], spec: FunnelSpec,
                  keep_micros: bool = False, dropna: bool = False) -> DataFrame:
     agg = drop_null_keys(sessions, keys, dropna).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sessions"),
+        F.count("session_id").alias("sessions"),
         flag_count(spec.purchase.flag).alias("orders"),
         sum_micros("revenue_micros").alias("revenue_micros"))
     cols = [*keys, "sessions", "orders",
@@ -177,14 +180,6 @@ def daily_trend(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
             .orderBy("date", *by))
 
 
-def daily_trend_head(sessions: DataFrame, n: int = 15, spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
-    """First n days, SQL-parity rounding (rate 4 places, revenue 2)."""
-    d = _performance(sessions, ["date"], spec)
-    return (d.orderBy(F.asc_nulls_last("date")).limit(n)
-             .select("date", "sessions", "orders", F.round("conversion_rate", 4).alias("conversion_rate"),
-                     F.round("revenue", 2).alias("revenue")))
-
-
 # --- M19: category revenue ----------------------------------------------------
 def category_revenue(purchases: DataFrame, by: str = "category") -> DataFrame:
     """category, orders, revenue, avg_item_value; by revenue descending.
@@ -215,8 +210,7 @@ def category_revenue_from_hits(hits: DataFrame, products: DataFrame, by: str = "
     code = F.col("eCommerceAction_action_type")
     per_sku = (hits.where(code == spec.purchase.code).groupBy("productSKU")
                .agg(F.count("session_id").alias("_orders"), F.count(F.lit(1)).alias("_lines")))
-    dim = products.groupBy("productSKU").agg(F.max("v2ProductCategory").alias(by),
-                                             F.max("productPrice").alias("_price"))
+    dim = unique_products(products).withColumnRenamed("v2ProductCategory", by)
     j = per_sku.join(dim, "productSKU", "left")
     micros = F.col("_lines") * usd_to_micros(F.coalesce(F.col("_price"), F.lit(0.0)))
     agg = j.groupBy(by).agg(F.sum("_orders").alias("orders"), sum_micros(micros).alias("_micros"),

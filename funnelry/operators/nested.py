@@ -1,69 +1,54 @@
 """Nested session records (one row per session with a repeated ``hits`` array).
 
 ``flatten_nested`` (M5) is the nested counterpart of ``clean_sessions``: stage
-flags come from the higher-order ``exists`` over the array (J7), so no explode
-and no shuffle. ``to_nested_sessions`` builds the nested shape from flat
-tables; it caps the array length per record (``max_hits``) and splits longer
-sessions into several records, so that no row or task holds an unbounded
-array. ``flatten_nested`` merges such fragments with one aggregation.
+flags come from the higher-order ``exists`` over the array (J7), without an
+explode. ``to_nested_sessions`` builds the nested shape from flat tables. It
+cuts a session into records by a bucket of its hits, so that no array holds
+more than the hits of a bucket; such records share a ``record_id`` and
+``flatten_nested`` puts them together again. Records without a ``record_id``
+(a plain export) are sessions of their own and are never merged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import micros_to_usd
+from ..functions.columns import micros_to_usd, parse_yyyymmdd
 from ..spec import DEFAULT_SPEC, FunnelSpec
 
-FRAGMENT = "hit_fragment"
-
+FRAGMENT, RECORD = "hit_fragment", "record_id"
 
 SESSION_FIELDS = ("fullVisitorId", "visitId", "date", "channelGrouping", "deviceCategory", "country",
                   "totals_pageviews", "totals_transactions", "totals_transactionRevenue")
 
 
-def to_nested_sessions(raw_sessions: DataFrame, hits: DataFrame, max_hits: int = 1000,
-                       all_fit: bool = False) -> DataFrame:
-    """Raw flat sessions + hits (with hitNumber) -> nested records.
+def to_nested_sessions(raw_sessions: DataFrame, hits: DataFrame, bucket: Column,
+                       order: Sequence[str] = ("hitNumber",)) -> DataFrame:
+    """Raw flat sessions + hits -> nested records, one per session and bucket.
 
-    Arrays are sorted by hitNumber. A session with more than ``max_hits``
-    hits becomes several records (``hit_fragment`` 0, 1, ...) that repeat the
-    session fields. Sessions without hits get an empty array; hits without a
-    session are dropped; duplicate session ids collapse to one record.
+    ``bucket`` is an integer that never decreases along ``order`` within a
+    session, e.g. the hour of the hit; it bounds the arrays. Arrays follow
+    ``order``. Sessions without hits get one record with an empty array, hits
+    without a session are dropped, and each row of a repeated session id keeps
+    its own record with its own fields.
 
-    One aggregation builds everything: hit elements and one row per session
-    (its fields, in fragment 0) are grouped by (session, fragment), so the
-    arrays are shuffled once and never re-shuffled for a join. Only fragments
-    after the first (sessions longer than ``max_hits``) look up their session
-    fields with a join, which AQE may split for a hot session.
-    ``all_fit=True`` states that no session has more than ``max_hits`` hits
-    (e.g. known from the sequencing check) and skips that join.
+    Two shuffles: arrays are gathered per (session, bucket), and joined to the
+    sessions, a join that adaptive execution can split for a hot session.
     """
-    frag = F.floor((F.col("hitNumber") - 1) / F.lit(max_hits)).cast("int")
-    element = F.struct(F.col("hitNumber").cast("int").alias("hitNumber"),
+    number = F.col("hitNumber") if "hitNumber" in hits.columns else F.lit(None)
+    element = F.struct(number.cast("int").alias("hitNumber"),
                        F.struct(F.col("eCommerceAction_action_type").cast("string").alias("action_type"))
                        .alias("eCommerceAction"))
-    types = dict(raw_sessions.dtypes)
-    elements = hits.select("session_id", frag.alias(FRAGMENT), element.alias("h"))
-    h_type = elements.schema["h"].dataType
-    # Session fields travel as separate columns (not one struct) so that the
-    # optimizer still prunes the ones a query never reads, and the dimension
-    # joins behind them.
-    rows = (elements.select("session_id", FRAGMENT, "h", F.lit(None).cast("boolean").alias("_has"),
-                            *[F.lit(None).cast(types[c]).alias(c) for c in SESSION_FIELDS])
-            .unionByName(raw_sessions.select("session_id", F.lit(0).alias(FRAGMENT),
-                                             F.lit(None).cast(h_type).alias("h"), F.lit(True).alias("_has"),
-                                             *SESSION_FIELDS)))
-    agg = rows.groupBy("session_id", FRAGMENT).agg(F.sort_array(F.collect_list("h")).alias("hits"),
-                                                   F.max("_has").alias("_has"),
-                                                   *[F.max(c).alias(c) for c in SESSION_FIELDS])
-    first = agg.where((F.col(FRAGMENT) == 0) & F.col("_has"))
-    s = first.drop("_has")
-    if not all_fit:
-        later = (agg.where(F.col(FRAGMENT) > 0).select("session_id", FRAGMENT, "hits")
-                 .join(first.select("session_id", *SESSION_FIELDS), "session_id", "inner"))
-        s = s.unionByName(later)
+    placed = F.struct(*[F.col(c) for c in order], element.alias("_hit"))
+    arrays = (hits.select("session_id", bucket.cast("int").alias(FRAGMENT), placed.alias("h"))
+              .groupBy("session_id", FRAGMENT)
+              .agg(F.transform(F.sort_array(F.collect_list("h")), lambda h: h["_hit"]).alias("hits")))
+    fields = F.struct(*[F.col(c) for c in SESSION_FIELDS])
+    s = raw_sessions.select("session_id", F.concat_ws("/", "session_id", F.xxhash64(fields).cast("string")).alias(RECORD),
+                            *SESSION_FIELDS).join(arrays, "session_id", "left")
     return s.select(
         "fullVisitorId", "visitId", "date", "channelGrouping",
         F.struct(F.col("deviceCategory").alias("deviceCategory")).alias("device"),
@@ -71,14 +56,16 @@ def to_nested_sessions(raw_sessions: DataFrame, hits: DataFrame, max_hits: int =
         F.struct(F.col("totals_pageviews").alias("pageviews"),
                  F.col("totals_transactions").alias("transactions"),
                  F.col("totals_transactionRevenue").alias("transactionRevenue")).alias("totals"),
-        F.col("hits"), F.col(FRAGMENT).cast("int").alias(FRAGMENT))
+        F.coalesce("hits", F.array().cast(arrays.schema["hits"].dataType)).alias("hits"),
+        F.coalesce(FRAGMENT, F.lit(0)).alias(FRAGMENT), RECORD)
 
 
 def exists_flags(nested: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> list:
     """One boolean per hit stage: any array element with the stage's code.
 
     Codes are strings in the nested export. An empty or NULL array, or a NULL
-    element, gives false (``coalesce`` over ``exists``).
+    element, gives false (``coalesce`` over ``exists``). These are flags of a
+    record; ``flatten_nested`` gives those of a session.
     """
     return [F.coalesce(F.exists("hits", _has_code(str(st.code))), F.lit(False)).alias(st.flag)
             for st in spec.hit_stages]
@@ -89,33 +76,37 @@ def _has_code(code: str):
 
 
 def flatten_nested(nested: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, date_from: str | None = None,
-                   date_to: str | None = None, merge_fragments: bool | None = None) -> DataFrame:
+                   date_to: str | None = None) -> DataFrame:
     """M5: one flagged row per nested session, keyed ``fullVisitorId-visitId``.
 
     ``date_from``/``date_to`` (yyyyMMdd, inclusive) filter the ``date``
-    column; on a date-partitioned layout this prunes partitions. Fragmented
-    records (``hit_fragment`` present) are merged per session with bool_or.
+    column; on a date-partitioned layout this prunes partitions. Records that
+    share a ``record_id`` are one session: its fields come from one record
+    whole, its flags are true if they are in any. All other records stay rows
+    of their own, whether ids repeat or not.
     """
     n = nested
     if date_from is not None or date_to is not None:
         n = n.where(F.col("date").between(F.lit(date_from or "00000000"), F.lit(date_to or "99999999")))
-    row = n.select(
-        F.concat(F.col("fullVisitorId"), F.lit("-"), F.col("visitId").cast("string")).alias("session_id"),
-        F.col("channelGrouping").alias("channel"),
-        F.col("device.deviceCategory").alias("device"),
-        F.col("geoNetwork.country").alias("country"),
-        F.col("totals.pageviews").alias("pageviews"),
-        (F.coalesce(F.col("totals.transactions"), F.lit(0)) > 0).alias(spec.purchase.flag),
-        micros_to_usd("totals.transactionRevenue").alias("revenue"),
-        F.col("totals.transactionRevenue").alias("revenue_micros"),
-        *exists_flags(n, spec))
-    if merge_fragments is None:
-        merge_fragments = FRAGMENT in nested.columns
+    fields = {
+        "session_id": F.concat(F.col("fullVisitorId"), F.lit("-"), F.col("visitId").cast("string")),
+        "fullVisitorId": F.col("fullVisitorId"),
+        "date": parse_yyyymmdd("date"),
+        "channel": F.col("channelGrouping"),
+        "device": F.col("device.deviceCategory"),
+        "country": F.col("geoNetwork.country"),
+        "pageviews": F.col("totals.pageviews"),
+        spec.purchase.flag: F.coalesce(F.col("totals.transactions"), F.lit(0)) > 0,
+        "revenue": micros_to_usd("totals.transactionRevenue"),
+        "revenue_micros": F.col("totals.transactionRevenue"),
+    }
     hit_flags = [st.flag for st in spec.hit_stages]
-    cols = ["session_id", "channel", "device", "country", "pageviews", *hit_flags,
+    cols = ["session_id", "fullVisitorId", "date", "channel", "device", "country", "pageviews", *hit_flags,
             spec.purchase.flag, "revenue", "revenue_micros"]
-    if merge_fragments:
-        same = ["channel", "device", "country", "pageviews", spec.purchase.flag, "revenue", "revenue_micros"]
-        row = row.groupBy("session_id").agg(*[F.max(c).alias(c) for c in same],
-                                            *[F.bool_or(f).alias(f) for f in hit_flags])
-    return row.select(*cols)
+    named = [c.alias(k) for k, c in fields.items()]
+    if RECORD not in nested.columns:
+        return n.select(*named, *exists_flags(n, spec)).select(*cols)
+    own = F.coalesce(F.col(RECORD), F.concat(F.lit("?"), F.uuid())).alias(RECORD)
+    whole = n.select(own, F.struct(*named).alias("s"), *exists_flags(n, spec)).groupBy(RECORD).agg(
+        F.max("s").alias("s"), *[F.bool_or(f).alias(f) for f in hit_flags])
+    return whole.select(*[F.col(f"s.{k}").alias(k) for k in fields], *hit_flags).select(*cols)

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import flag_count, percent_label, ratio, sum_micros, thousands
@@ -18,7 +18,7 @@ from .stats import opportunity_columns, ztest_columns
 # --- M25: totals block --------------------------------------------------------
 def totals(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
     """total_sessions, total_orders, total_revenue, overall_conversion."""
-    c = sessions.agg(F.count(F.lit(1)).alias("total_sessions"),
+    c = sessions.agg(F.count("session_id").alias("total_sessions"),
                      flag_count(spec.purchase.flag).alias("total_orders"),
                      sum_micros("revenue_micros").alias("_m"))
     return c.select("total_sessions", "total_orders",
@@ -59,7 +59,7 @@ def funnel_labels(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
 def segment_rate_labels(sessions: DataFrame, by: str = "device",
                         spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
     """segment, sessions, orders, overall_conversion, label like '1.72%'."""
-    c = sessions.groupBy(by).agg(F.count(F.lit(1)).alias("sessions"),
+    c = sessions.groupBy(by).agg(F.count("session_id").alias("sessions"),
                                  flag_count(spec.purchase.flag).alias("orders"))
     return c.select(by, "sessions", "orders", ratio("orders", "sessions").alias("overall_conversion"),
                     percent_label("orders", "sessions", 2).alias("label"))
@@ -74,18 +74,22 @@ LEVEL_TOTAL, LEVEL_DEVICE, LEVEL_CHANNEL, LEVEL_MATRIX, LEVEL_DATE = 7, 3, 5, 1,
 def metric_cube(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
                 sets: Sequence[Sequence[str]] = CUBE_SETS,
                 dims: Sequence[str] = ("device", "channel", "date")) -> DataFrame:
-    """Every dashboard grain in one pass: GROUPING SETS over one scan.
+    """Every dashboard grain in one pass over sessions.
 
-    Rows of each grain are identified by ``level`` (grouping bitmask over
-    ``dims``), so NULL segment values stay distinct from rolled-up columns.
+    All measures add up, so sessions are first counted by all ``dims``, and
+    GROUPING SETS expand that small table rather than the sessions. Rows of
+    each grain are identified by ``level`` (grouping bitmask over ``dims``),
+    so NULL segment values stay distinct from rolled-up columns.
     """
-    g = sessions.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(d) for d in dims])
+    names = ["sessions", *spec.count_names[:-1], "orders", "revenue_micros"]
+    base = sessions.groupBy(*dims).agg(
+        F.count("session_id").alias("sessions"),
+        *[flag_count(f).alias(n) for f, n in zip(spec.flags[:-1], spec.count_names[:-1])],
+        flag_count(spec.purchase.flag).alias("orders"), sum_micros("revenue_micros").alias("revenue_micros"))
+    g = base.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(d) for d in dims])
     level = sum((F.grouping(d) * (2 ** (len(dims) - 1 - i)) for i, d in enumerate(dims)), F.lit(0))
     agg = g.agg(level.cast("int").alias("level"),
-                F.count(F.lit(1)).alias("sessions"),
-                *[flag_count(f).alias(n) for f, n in zip(spec.flags[:-1], spec.count_names[:-1])],
-                flag_count(spec.purchase.flag).alias("orders"),
-                sum_micros("revenue_micros").alias("revenue_micros"))
+                *[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])
     return agg.select("level", *dims, "sessions", *spec.count_names[:-1], "orders",
                       (F.col("revenue_micros").cast("double") / MICROS).alias("revenue"),
                       ratio("orders", "sessions").alias("conversion_rate"), "revenue_micros")
@@ -98,25 +102,37 @@ def cube_grain(cube: DataFrame, level: int, keys: Sequence[str]) -> DataFrame:
 
 
 # --- M26: findings document ---------------------------------------------------
+#: Values of a segment column that one findings document lists at most.
+MAX_SEGMENTS = 10_000
+
+
 def findings(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, seg: str = "device",
              hi: str = "desktop", lo: str = "mobile", channel: str = "channel",
              share: float = 0.5, periods_per_year: float = 12 / 3) -> DataFrame:
     """One row holding every headline result as scalars, structs and arrays.
 
-    One scan of sessions: GROUPING SETS ((), (seg), (channel)) gives a small
-    table (1 + segments + channels rows); one global aggregate over it builds
-    the document. No cross join, no collect.
+    One scan of sessions, counted by (seg, channel); GROUPING SETS ((), (seg),
+    (channel)) over that small table, and one global aggregate builds the
+    document. No cross join, no collect. The document lists every value of
+    ``seg`` and ``channel``, so choose columns with few of them: more than
+    ``MAX_SEGMENTS`` values of either raise an error instead of filling a task.
     """
     flags = spec.flags
     n = len(flags)
-    g = sessions.groupingSets([[], [F.col(seg)], [F.col(channel)]], F.col(seg), F.col(channel))
+    base = sessions.groupBy(seg, channel).agg(
+        F.count("session_id").alias("c0"), *[flag_count(f).alias(f"c{i + 1}") for i, f in enumerate(flags)],
+        sum_micros("revenue_micros").alias("m"),
+        F.coalesce(F.sum(F.when(F.col(spec.purchase.flag), F.coalesce(F.col("revenue_micros"), F.lit(0)))), F.lit(0))
+        .alias("bm"))
+    g = base.groupingSets([[], [F.col(seg)], [F.col(channel)]], F.col(seg), F.col(channel))
     small = g.agg((F.grouping(seg) * 2 + F.grouping(channel)).cast("int").alias("lvl"),
-                  F.count(F.lit(1)).alias("c0"),
-                  *[flag_count(f).alias(f"c{i + 1}") for i, f in enumerate(flags)],
-                  sum_micros("revenue_micros").alias("m"),
-                  F.coalesce(F.sum(F.when(F.col(spec.purchase.flag),
-                                          F.coalesce(F.col("revenue_micros"), F.lit(0)))), F.lit(0))
-                  .alias("bm"))
+                  *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+                    for c in ["c0", *[f"c{i + 1}" for i in range(n)], "m", "bm"]])
+    place = F.row_number().over(Window.partitionBy("lvl").orderBy(F.desc("c0"), F.asc_nulls_last(seg),
+                                                                  F.asc_nulls_last(channel)))
+    small = small.withColumn("_place", place).withColumn("lvl", F.when(
+        F.col("_place") > MAX_SEGMENTS, F.raise_error(F.lit(
+            f"{seg} or {channel} has more than {MAX_SEGMENTS} values"))).otherwise(F.col("lvl"))).drop("_place")
     total, by_seg, by_ch = F.col("lvl") == 3, F.col("lvl") == 1, F.col("lvl") == 2
 
     def tot(c: str):
@@ -166,3 +182,19 @@ def findings(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, seg: str = "d
         op["extra_orders_period"].alias("recovery_extra_orders_period"),
         op["extra_revenue_period"].alias("recovery_extra_revenue_period"),
         op["extra_revenue_annualized"].alias("recovery_extra_revenue_annualized"))
+
+
+def findings_rows(document: DataFrame, sections: Sequence[str] = ("overall_funnel", "by_device", "by_channel")) -> DataFrame:
+    """E19 turned back: section, position (from 1), name and the numbers of each
+    element of the document's arrays, as (measure, value) rows."""
+    fields = {s: [f.name for f in document.schema[s].dataType.elementType.fields] for s in sections}
+
+    def values(section: str):
+        name, *measures = fields[section]
+        return F.transform(section, lambda e, i: F.struct(
+            F.lit(section).alias("section"), (i + 1).alias("position"), e[name].alias("name"),
+            F.array(*[F.struct(F.lit(m).alias("measure"), e[m].cast("double").alias("value")) for m in measures])
+            .alias("values")))
+
+    rows = document.select(F.inline(F.concat(*[values(s) for s in sections])))
+    return rows.select("section", "position", "name", F.inline("values"))

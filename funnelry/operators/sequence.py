@@ -1,145 +1,47 @@
 """1-based position of each row within its group (e.g. hitNumber per session).
 
-``row_number() OVER (PARTITION BY key ORDER BY ...)`` sends every row of a key
-to one task; a single hot key (a bot session holding a third of all hits)
-then runs in one task. When a group is too big for one task this operator
-splits it instead (``strategy="auto"`` decides from the largest group):
+``row_number() OVER (PARTITION BY key ORDER BY ...)`` alone would put a whole
+group into one task. Here a group is cut into buckets that follow its order:
 
-1. ``repartitionByRange(P, key, order...)`` + ``sortWithinPartitions`` puts the
-   global sort order into P contiguous ranges; a hot key spans many ranges.
-2. ``mapInPandas`` numbers rows inside each range (vectorised run counting,
-   carried across Arrow batches of the same partition).
-3. The numbered rows (with their range id as a column) are checkpointed to
-   the shared checkpoint folder, so the offsets below and the final join read
-   the same split. Spark samples range bounds afresh for each computation of
-   an exchange, so recomputing it for two branches could split differently.
-4. A key that continues from earlier ranges needs the row count of those
-   ranges as an offset. Only the *last* key of each range can continue into
-   the next one, so the offset table has at most P rows: it is built from one
-   ``max(struct(key, pos))`` per range and broadcast (size bounded by P, not by
-   the data).
+1. rows are numbered within (key, bucket);
+2. buckets are counted with a map-side combined aggregate, and a running sum
+   per key over the counts gives each bucket its offset;
+3. offset and number are added in a join on (key, bucket), which both sides
+   are already partitioned by.
+
+The same plan runs at every size. A task holds the rows of a bucket, and the
+counts of one key's buckets, never a whole group's rows.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
-from functools import partial
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
-
-from ..session import ensure_checkpoint_dir
-
-# The per-partition function ships by value with the task, so executors need
-# only pandas/pyarrow, not this package on their Python path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_PID, _POS, _OFF = "_seq_pid", "_seq_pos", "_seq_off"
-
-
-def _same_key(a: tuple | None, b: tuple | None) -> bool:
-    if a is None or b is None:
-        return False
-    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
-
-
-def _number_runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
-    ctx = TaskContext.get()
-    pid = ctx.partitionId() if ctx is not None else 0
-    last_key: tuple | None = None
-    last_count = 0
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        pos = pdf.groupby(list(keys), sort=False, dropna=False).cumcount().astype("int64") + 1
-        first_key = tuple(pdf.iloc[0][list(keys)])
-        if _same_key(first_key, last_key):
-            # First run of this batch continues the previous batch's last run.
-            key_frame = pdf[list(keys)]
-            same = pd.Series(True, index=pdf.index)
-            for k, v in zip(keys, first_key):
-                same &= key_frame[k].isna() if pd.isna(v) else key_frame[k].eq(v)
-            pos = pos + same.astype("int64") * last_count
-        new_last = tuple(pdf.iloc[-1][list(keys)])
-        last_count = int(pos.iloc[-1])
-        last_key = new_last
-        yield pdf.assign(**{_PID: pid, _POS: pos})
-
 
-_LARGEST: dict[tuple[int, tuple[str, ...]], int] = {}
+_AT, _POS, _N, _OFF = "_seq_at", "_seq_pos", "_seq_n", "_seq_off"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest ``keys`` group (one partial aggregate, one scalar).
-
-    Memoised per logical plan (``semanticHash``) for the session: the value
-    only chooses between two strategies that return identical rows, so a
-    stale value can cost speed, never correctness.
-    """
-    memo_key = (df.semanticHash(), tuple(keys))
-    if memo_key not in _LARGEST:
-        if len(_LARGEST) >= 1024:          # long-lived sessions: keep the memo small
-            _LARGEST.clear()
-        top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-        _LARGEST[memo_key] = int(top or 0)
-    return _LARGEST[memo_key]
-
-
-def choose_strategy(df: DataFrame, keys: Sequence[str], max_group_rows: int = 1_000_000) -> str:
-    """"window" when the largest ``keys`` group fits a task, else "range"."""
-    return "window" if largest_group(df, keys) <= max_group_rows else "range"
-
-
-def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                    name: str = "seq", num_partitions: int | None = None,
-                    as_int: bool = True, strategy: str = "auto",
-                    max_group_rows: int = 1_000_000) -> DataFrame:
+def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
+                    name: str = "seq", as_int: bool = True) -> DataFrame:
     """Add ``name`` = 1-based row position within ``keys`` ordered by ``order``.
 
-    ``order`` must make rows unique within a key (add a unique id as the last
-    tie-breaker) so that numbering is deterministic across task retries.
-
-    strategy: ``"window"`` = ``row_number`` per key (one shuffle, fastest when
-    every group fits a task); ``"range"`` = the range split above (no group
-    is ever held by one task); ``"auto"`` measures the largest group first
-    (map-side combined count, one scalar to the driver) and uses the window
-    only when that group has at most ``max_group_rows`` rows.
+    ``order`` must make rows unique within a key (end it with a unique id).
+    ``bucket`` must never decrease along the order within a key, NULL counting
+    as smallest. It bounds what one task holds: the minute of a timestamp
+    bounds it by a key's rows in a minute. Where one key can have too many
+    rows in one instant, end the bucket with a range of the unique id, as in
+    ``struct(ts, floor(id / 1000000))``.
     """
-    keys, order = list(keys), list(order)
-    if strategy == "auto":
-        strategy = choose_strategy(df, keys, max_group_rows)
-    if strategy == "window":
-        seq = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(name, seq.cast("int") if as_int else seq)
-    if strategy != "range":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = keys + order
-    ranged = df.repartitionByRange(parts, *sort_cols).sortWithinPartitions(*sort_cols)
-    schema = StructType(list(df.schema.fields) + [StructField(_PID, IntegerType(), False),
-                                                  StructField(_POS, LongType(), False)])
-    # Checkpoint the numbered rows (shared checkpoint folder): the offsets and
-    # the final join must see exactly the same range split, and Spark's range
-    # sampling is not repeatable across separate computations of the exchange.
-    ensure_checkpoint_dir(spark)
-    local = ranged.mapInPandas(partial(_number_runs, keys=keys), schema).checkpoint(eager=True)
-
-    # One row per range: its last key and how many rows of that key it holds.
-    last = local.groupBy(_PID).agg(F.max(F.struct(*[F.col(k) for k in keys], F.col(_POS))).alias("e"))
-    last = last.select(F.col(_PID), *[F.col("e")[k].alias(k) for k in keys], F.col("e")[_POS].alias("_n"))
-    # Rows of key K in range p+1 continue after all K rows in ranges <= p.
-    w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = last.select((F.col(_PID) + 1).alias(_PID), *keys, F.sum("_n").over(w).alias(_OFF))
-
-    o = offsets.alias("o")
-    cond = [F.col(f"l.{_PID}") == F.col(f"o.{_PID}")] + [F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
-    joined = local.alias("l").join(F.broadcast(o), cond, "left")  # offsets: <= parts rows
-    seq = F.col(f"l.{_POS}") + F.coalesce(F.col(f"o.{_OFF}"), F.lit(0))
-    if as_int:
-        seq = seq.cast("int")
-    return joined.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], seq.alias(name))
+    # One struct: equal keys compare equal also where they hold NULL, and the
+    # window, the aggregate and the join share one partitioning.
+    at = df.withColumn(_AT, F.struct(*[F.col(k) for k in keys], bucket.alias("_bucket")))
+    numbered = at.withColumn(_POS, F.row_number().over(Window.partitionBy(_AT).orderBy(*order)))
+    counts = at.groupBy(_AT).agg(F.count(F.lit(1)).alias(_N))
+    earlier = Window.partitionBy(F.struct(*[F.col(f"{_AT}.{k}") for k in keys])) \
+        .orderBy(f"{_AT}._bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(_AT, F.coalesce(F.sum(_N).over(earlier), F.lit(0)).alias(_OFF))
+    seq = F.col(_POS) + F.col(_OFF)
+    return (numbered.join(offsets, _AT)
+            .select(*df.columns, (seq.cast("int") if as_int else seq).alias(name)))

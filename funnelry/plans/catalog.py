@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, funnel, nested, reports, stats
 from ..sources import testdata
+from ..spec import DEFAULT_SPEC
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,17 +46,34 @@ def _purchases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested records cut by the hour of the hit: no hit numbers and no probe of sizes."""
     m = _model(spark, sf)
-    h = m.hits(with_sequence=True, columns=["session_id", cleaning.CODE])
-    fit = m.largest_session() <= 1000           # same memoised check as the sequencing
-    return nested.to_nested_sessions(m.raw_sessions(), h, max_hits=1000, all_fit=fit)
+    h = m.hits(columns=["session_id", cleaning.CODE, "ts", "event_id"])
+    return nested.to_nested_sessions(m.raw_sessions(), h, bucket=F.hour("ts"), order=testdata.SEQUENCE_ORDER)
+
+
+def _sparse_sessions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as sessions and their events as hits: ids that have no hit, that
+    have many, and (by the customer's name, on the other side) that repeat."""
+    c = testdata.table(spark, sf, "customer")
+    e = testdata.table(spark, sf, "events")
+    return (c.select(F.col("c_custkey").cast("string").alias("session_id"), "c_mktsegment", "c_nationkey"),
+            e.select(F.col("user_id").cast("string").alias("session_id")))
 
 
 # --- cleaning / transform -----------------------------------------------------
 @query("quality_report")
 def q_quality_report(spark, sf):
     m = _model(spark, sf)
-    return cleaning.quality_report(m.raw_sessions(), m.hits())
+    return cleaning.quality_report(m.raw_sessions(), m.hits(columns=["session_id"]))
+
+
+@query("quality_report_customers")
+def q_quality_report_customers(spark, sf):
+    """The report where its checks find something: events as sessions (ids repeat),
+    customers as hits (some sessions have none)."""
+    customers, events = _sparse_sessions(spark, sf)
+    return cleaning.quality_report(events, customers.where(F.col("c_nationkey") % 2 == 0))
 
 
 @query("clean_sessions")
@@ -63,6 +81,13 @@ def q_clean_sessions(spark, sf):
     return _sessions(spark, sf)
 
 
+@query("clean_sessions_joined")
+def q_clean_sessions_joined(spark, sf):
+    """Flags aggregated from the hits and joined to the sessions."""
+    m = _model(spark, sf)
+    return cleaning.clean_sessions(m.raw_sessions(), m.hits(columns=["session_id", cleaning.CODE]))
+
+
 @query("purchase_lines")
 def q_purchase_lines(spark, sf):
     return _purchases(spark, sf)
@@ -83,32 +108,41 @@ def q_nested_sessions(spark, sf):
 @query("pipeline_summary")
 def q_pipeline_summary(spark, sf):
     m = _model(spark, sf)
-    h, raw = m.hits(), m.raw_sessions()
+    h, raw = m.hits(columns=["session_id", cleaning.CODE, "productSKU", *testdata.PRODUCT_COLUMNS]), m.raw_sessions()
     return cleaning.pipeline_summary(m.sessions(), cleaning.purchase_lines(h, raw),
                                      cleaning.event_log(h, raw))
 
 
 @query("action_counts")
 def q_action_counts(spark, sf):
-    return cleaning.action_counts(_model(spark, sf).hits())
+    return cleaning.action_counts(_model(spark, sf).hits(columns=[cleaning.CODE]))
 
 
 @query("join_hits_sessions")
 def q_join_hits_sessions(spark, sf):
     m = _model(spark, sf)
-    j = cleaning.join_hits_sessions(m.hits(), m.raw_sessions())
+    cols = ["event_id", "session_id", "eCommerceAction_action_type", "productSKU"]
+    j = cleaning.join_hits_sessions(m.hits(columns=cols), m.raw_sessions())
     return j.select("event_id", "session_id", "eCommerceAction_action_type", "productSKU",
                     "channel", "device", "date")
 
 
 @query("sessions_without_hits")
 def q_sessions_without_hits(spark, sf):
+    """Sessions without a hit of a mapped stage (each session here has some hit)."""
     m = _model(spark, sf)
-    mapped = m.hits(codes=m.spec.codes)          # mapped stages only, pushed to the scan
+    mapped = m.hits(codes=m.spec.codes, columns=["session_id"])          # pushed to the scan
     return cleaning.sessions_without_hits(m.raw_sessions(), mapped).select(
         "session_id", "fullVisitorId", "date", "deviceCategory")
 
 
+@query("customers_without_events")
+def q_customers_without_events(spark, sf):
+    """J5 over ids that may have no row at all on the other side."""
+    customers, events = _sparse_sessions(spark, sf)
+    return cleaning.sessions_without_hits(customers, events)
+
+
 @query("hits_products")
 def q_hits_products(spark, sf):
     m = _model(spark, sf)
@@ -119,7 +153,7 @@ def q_hits_products(spark, sf):
 @query("stage_sets")
 def q_stage_sets(spark, sf):
     m = _model(spark, sf)
-    s = cleaning.stage_sets(m.hits(codes=m.spec.codes))
+    s = cleaning.stage_sets(m.hits(codes=m.spec.codes, columns=["session_id", cleaning.CODE]))
     return s.select("session_id", F.array_join("stages", ",").alias("stages"))
 
 
@@ -138,6 +172,12 @@ def q_duplicate_sessions(spark, sf):
     return cleaning.duplicate_keys(_model(spark, sf).raw_sessions(), "session_id")
 
 
+@query("duplicate_order_keys")
+def q_duplicate_order_keys(spark, sf):
+    """A10 on a key that repeats: the order of each order line."""
+    return cleaning.duplicate_keys(testdata.table(spark, sf, "lineitem"), "l_orderkey")
+
+
 @query("date_range_scan")
 def q_date_range_scan(spark, sf):
     s = _model(spark, sf, date_from=RANGE_FROM, date_to=RANGE_TO).sessions()
@@ -147,9 +187,18 @@ def q_date_range_scan(spark, sf):
 # --- nested source --------------------------------------------------------------
 @query("exists_flags")
 def q_exists_flags(spark, sf):
-    n = _nested(spark, sf)
-    sid = F.concat(F.col("fullVisitorId"), F.lit("-"), F.col("visitId").cast("string"))
-    return n.select(sid.alias("session_id"), nested.FRAGMENT, *nested.exists_flags(n))
+    flat = nested.flatten_nested(_nested(spark, sf))
+    return flat.select("session_id", *[st.flag for st in DEFAULT_SPEC.hit_stages])
+
+
+@query("nested_daily")
+def q_nested_daily(spark, sf):
+    return funnel.daily_trend(nested.flatten_nested(_nested(spark, sf)))
+
+
+@query("nested_cube")
+def q_nested_cube(spark, sf):
+    return reports.metric_cube(nested.flatten_nested(_nested(spark, sf))).drop("revenue_micros")
 
 
 @query("nested_funnel")
@@ -233,6 +282,29 @@ def q_worst_pockets(spark, sf):
     return funnel.worst_pockets(_sessions(spark, sf), k=10)
 
 
+@query("worst_pockets_sql")
+def q_worst_pockets_sql(spark, sf):
+    return sql.run(spark, sql.WORST_POCKETS, sessions=sql.sessions_view(_sessions(spark, sf)), k=10)
+
+
+def _ranked(frame: DataFrame, by: list) -> DataFrame:
+    """The place of each row in the report's own order, over a few rows per segment."""
+    return frame.withColumn("place", F.row_number().over(Window.orderBy(*by)))
+
+
+@query("device_rates_ranked")
+def q_device_rates_ranked(spark, sf):
+    """O1: best conversion first, as a column that can be compared."""
+    rates = funnel.segment_rates(_sessions(spark, sf), "device")
+    return _ranked(rates, [F.desc_nulls_last("overall_conversion"), F.asc_nulls_last("device")])
+
+
+@query("funnel_by_device_ranked")
+def q_funnel_by_device_ranked(spark, sf):
+    """Segments in the order of their name, as a column that can be compared."""
+    return _ranked(funnel.funnel_by_segment(_sessions(spark, sf), "device"), [F.asc_nulls_last("device")])
+
+
 @query("daily_trend")
 def q_daily_trend(spark, sf):
     return funnel.daily_trend(_sessions(spark, sf))
@@ -337,3 +409,9 @@ def q_findings_scalars(spark, sf):
                     F.col("desktop_vs_mobile.z").alias("z"), F.col("desktop_vs_mobile.p_value").alias("p_value"),
                     "aov", "recovery_extra_orders_period", "recovery_extra_revenue_period",
                     "recovery_extra_revenue_annualized")
+
+
+@query("findings_rows")
+def q_findings_rows(spark, sf):
+    """The arrays of the findings document, a row per element and value."""
+    return reports.findings_rows(reports.findings(_sessions(spark, sf)))

@@ -9,11 +9,13 @@ so floating-point results agree exactly with Spark.
 
 from __future__ import annotations
 
-from ..sources.testdata import EVENT_CODES, SKU_PATTERN
-from .catalog import RANGE_FROM, RANGE_TO
-
-_CODE_CASE = "CASE e.event_type " + " ".join(
-    f"WHEN '{k}' THEN {v}" for k, v in EVENT_CODES.items()) + " ELSE 0 END"
+# Written out here and not taken from the library, so that a slip there shows.
+# Action codes, SKU pattern, date window, erfc coefficients.
+_CODE_CASE = "CASE e.event_type WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'signup' THEN 5 WHEN 'purchase' THEN 6 ELSE 0 END"
+SKU_PATTERN = "([0-9]+)"
+RANGE_FROM, RANGE_TO = "20240105", "20240111"
+_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
+         0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
 def _prelude(where: str = "") -> str:
@@ -150,8 +152,8 @@ zz AS (SELECT *, (rate_a - rate_b) / NULLIF(se, 0.0) AS z FROM zt)
 
 
 def _erfc(x: str) -> str:
-    """Same Numerical Recipes closed form as functions.columns.erfc_col."""
-    from ..functions.columns import ERFC_COEFFS as c
+    """Complementary error function, the closed form that the library uses too."""
+    c = _ERFC
     t = f"(1.0 / (1.0 + 0.5 * ({x})))"
     poly = f"{c[-1]!r}"
     for k in reversed(c[1:-1]):
@@ -204,12 +206,24 @@ SELECT CAST(SUM(ns) AS BIGINT) AS sessions, CAST(SUM(nh) AS BIGINT) AS hits,
 FROM (SELECT session_id, SUM(s) AS ns, SUM(h) AS nh FROM (
   SELECT session_id, 1 AS s, 0 AS h FROM raw_sessions UNION ALL SELECT session_id, 0, 1 FROM hits)
   GROUP BY session_id)""",
+    "quality_report_customers": """
+SELECT (SELECT count(*) FROM events) AS sessions, (SELECT count(*) FROM customer WHERE c_nationkey % 2 = 0) AS hits,
+  (SELECT count(*) - count(DISTINCT user_id) FROM events) AS duplicate_session_ids,
+  (SELECT count(*) FROM events e WHERE NOT EXISTS (
+     SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id AND c.c_nationkey % 2 = 0)) AS sessions_without_hits""",
     "clean_sessions": "SELECT * FROM sessions",
+    "clean_sessions_joined": "SELECT * FROM sessions",
+    "customers_without_events": """
+SELECT CAST(c_custkey AS VARCHAR) AS session_id, c_mktsegment, c_nationkey FROM customer
+WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)""",
+    "duplicate_order_keys": """
+SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS distinct_keys, count(*) - count(DISTINCT l_orderkey) AS duplicate_rows
+FROM lineitem""",
     "purchase_lines": "SELECT * FROM purchases",
     "event_log": "SELECT * FROM events_clean",
     "nested_sessions": """
-SELECT session_id, channel, device, country, pageviews, reached_product_view, reached_cart, reached_checkout,
-  purchased, revenue, revenue_micros FROM sessions""",
+SELECT session_id, fullVisitorId, date, channel, device, country, pageviews, reached_product_view, reached_cart,
+  reached_checkout, purchased, revenue, revenue_micros FROM sessions""",
     "pipeline_summary": f"""
 SELECT (SELECT count(*) FROM sessions) AS sessions_rows, (SELECT count(*) FROM purchases) AS purchases_rows,
   (SELECT count(*) FROM events_clean) AS events_rows,
@@ -244,7 +258,7 @@ FROM raw_hits GROUP BY session_id""",
 SELECT CAST(SUM(n) AS BIGINT) AS rows, count(*) AS distinct_keys, CAST(SUM(n - 1) AS BIGINT) AS duplicate_rows
 FROM (SELECT session_id, count(*) AS n FROM raw_sessions GROUP BY session_id)""",
     "exists_flags": """
-SELECT session_id, 0 AS hit_fragment, reached_product_view, reached_cart, reached_checkout FROM sessions""",
+SELECT session_id, reached_product_view, reached_cart, reached_checkout FROM sessions""",
     "nested_funnel": f"""
 SELECT count(*) AS sessions, CAST(SUM(reached_product_view) AS BIGINT) AS product_views,
   CAST(SUM(reached_cart) AS BIGINT) AS add_to_carts, CAST(SUM(reached_checkout) AS BIGINT) AS checkouts,
@@ -430,6 +444,36 @@ SELECT {_ratio('w.c4', 'w.c0')} AS overall_conversion, w.c0 AS total_sessions, w
     AS recovery_extra_revenue_annualized
 FROM wide w, zz z,
   (SELECT stage, step_conv FROM frame WHERE step_conv IS NOT NULL ORDER BY step_conv, stage_order LIMIT 1) l"""
+BODIES["worst_pockets_sql"] = BODIES["worst_pockets"]
+BODIES["nested_daily"] = BODIES["daily_trend"]
+BODIES["nested_cube"] = BODIES["metric_cube"]
+BODIES["device_rates_ranked"] = f"""
+SELECT *, CAST(row_number() OVER (ORDER BY overall_conversion DESC NULLS LAST, device ASC NULLS LAST) AS INTEGER) AS place
+FROM ({BODIES['device_rates']})"""
+BODIES["funnel_by_device_ranked"] = f"""
+SELECT *, CAST(row_number() OVER (ORDER BY device ASC NULLS LAST) AS INTEGER) AS place FROM ({BODIES['funnel_by_device']})"""
+
+
+def _values(section: str, source: str, position: str, name: str, measures: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, CAST({position} AS INTEGER) AS position, {name} AS name, '{m}' AS measure, "
+        f"CAST({e} AS DOUBLE) AS value FROM ({source})" for m, e in measures.items())
+
+
+_BY_DEVICE = f"SELECT *, row_number() OVER (ORDER BY overall_conversion DESC NULLS LAST, device DESC NULLS LAST) AS n " \
+             f"FROM ({BODIES['device_rates']})"
+_BY_CHANNEL = f"SELECT *, row_number() OVER (ORDER BY conversion_rate DESC NULLS LAST, channel DESC NULLS LAST) AS n " \
+              f"FROM ({BODIES['channel_performance']})"
+BODIES["findings_rows"] = " UNION ALL ".join([
+    _values("overall_funnel", "SELECT * FROM frame", "stage_order + 1", "stage",
+            {"count": "count", "pct_of_sessions": "pct_of_sessions", "step_conv": "step_conv"}),
+    _values("by_device", _BY_DEVICE, "n", "device",
+            {c: c for c in ("sessions", "view_to_cart", "cart_to_checkout", "checkout_to_purchase")}
+            | {"overall_conv": "overall_conversion"}),
+    _values("by_channel", _BY_CHANNEL, "n", "channel",
+            {"sessions": "sessions", "conv": "conversion_rate", "revenue": "revenue",
+             "rev_per_session": "revenue_per_session"}),
+])
 # Same daily trend over a pushed-down date range.
 BODIES["date_range_scan"] = BODIES["daily_trend"]
 BODIES["category_revenue_orders"] = f"""

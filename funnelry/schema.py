@@ -39,8 +39,8 @@ PRODUCTS = StructType([
 ])
 
 # Nested export: one row per session with a repeated hits record. Our nested
-# writer may split a very long session into several records (``hit_fragment``)
-# so that no single array grows without bound.
+# writer cuts a session into several records (``hit_fragment``) of one
+# ``record_id``, so that no single array grows without bound.
 NESTED_HIT = StructType([
     StructField("hitNumber", IntegerType()),
     StructField("eCommerceAction", StructType([StructField("action_type", StringType())])),
@@ -87,15 +87,3 @@ PURCHASES = StructType([
     StructField("device", StringType()),
     StructField("item_value", DoubleType()),
 ])
-
-EVENTS_CLEAN = StructType([
-    StructField("session_id", StringType()),
-    StructField("hitNumber", IntegerType()),
-    StructField("event_type", StringType()),
-    StructField("eCommerceAction_action_type", IntegerType()),
-    StructField("productSKU", StringType()),
-    StructField("v2ProductCategory", StringType()),
-    StructField("channel", StringType()),
-    StructField("device", StringType()),
-    StructField("event_date", DateType()),
-])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import attach_products, clean_sessions, session_rollup
-from ..operators.sequence import choose_strategy, sequence_within
+from ..operators.sequence import sequence_within
 from ..spec import DEFAULT_SPEC, FunnelSpec
 
 # --- Fixed values of the adapter ---------------------------------------------
@@ -139,27 +139,30 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEQUENCE_KEYS, SEQUENCE_ORDER = ("user_id", "event_day"), ("ts", "event_id")
+PRODUCT_COLUMNS = ("v2ProductCategory", "productPrice")
+
+
+def minute_of_day():
+    """Sequence bucket: a session (a visitor's day) has 1440 at most."""
+    return F.hour("ts") * 60 + F.minute("ts")
 
 
 def hits(spark: SparkSession, sf_dir: str, with_sequence: bool = False,
          columns: list[str] | None = None, codes: list[int] | None = None, **range_kw) -> DataFrame:
-    """Hits with product attributes (J6); ``hitNumber`` when asked.
+    """Hits with product attributes (J6), with ``hitNumber`` when asked.
 
-    ``columns`` narrows the hits *before* the sequencing pass: the Python
-    step passes every input column through, so the optimizer cannot prune
-    columns (or the product join) beneath it.
+    ``columns`` narrows the hits; without a product column among them the
+    product join is left out. Numbers count all of a session's hits, so
+    ``codes`` and ``with_sequence`` don't go together.
     """
-    h = attach_products(raw_hits(spark, sf_dir, codes=codes, **range_kw), products(spark, sf_dir))
-    # decided on the full hits plan, so every narrowing below shares one check
-    strategy = choose_strategy(h, SEQUENCE_KEYS) if with_sequence else None
-    if columns is not None:
-        keep = list(dict.fromkeys([*columns, *SEQUENCE_KEYS, *SEQUENCE_ORDER])) if with_sequence else columns
-        h = h.select(*keep)
+    if with_sequence and codes is not None:
+        raise ValueError("hit numbers count every hit of a session; filter by code afterwards")
+    h = raw_hits(spark, sf_dir, codes=codes, **range_kw)
     if with_sequence:
-        h = sequence_within(h, SEQUENCE_KEYS, SEQUENCE_ORDER, name="hitNumber", strategy=strategy)
-        if columns is not None:
-            h = h.select(*columns, "hitNumber")
-    return h
+        h = sequence_within(h, SEQUENCE_KEYS, SEQUENCE_ORDER, minute_of_day(), name="hitNumber")
+    if columns is None or set(columns) & set(PRODUCT_COLUMNS):
+        h = attach_products(h, products(spark, sf_dir))
+    return h if columns is None else h.select(*columns, *["hitNumber"] * with_sequence)
 
 
 def raw_sessions(spark: SparkSession, sf_dir: str, spec: FunnelSpec = DEFAULT_SPEC,
@@ -173,7 +176,8 @@ def raw_sessions(spark: SparkSession, sf_dir: str, spec: FunnelSpec = DEFAULT_SP
     # Dimensions keyed uniquely (one row per key): no fan-out, and the
     # optimizer drops a left join whose columns a query never reads.
     cust = (table(spark, sf_dir, "customer").groupBy(F.col("c_custkey").alias("user_id"))
-            .agg(F.max("c_mktsegment").alias("c_mktsegment"), F.max("c_nationkey").alias("c_nationkey")))
+            .agg(F.max(F.struct("c_mktsegment", "c_nationkey")).alias("_c"))
+            .select("user_id", "_c.c_mktsegment", "_c.c_nationkey"))
     nat = (table(spark, sf_dir, "nation").groupBy(F.col("n_nationkey").alias("c_nationkey"))
            .agg(F.max("n_name").alias("n_name")))
     ymd = F.date_format("event_day", "yyyyMMdd")
@@ -227,12 +231,6 @@ class Model:
     def products(self) -> DataFrame:
         return products(self.spark, self.sf_dir)
 
-    def largest_session(self) -> int:
-        """Hits in the biggest session (memoised with the sequencing check)."""
-        from ..operators.sequence import largest_group
-        h = attach_products(raw_hits(self.spark, self.sf_dir, **self._kw), products(self.spark, self.sf_dir))
-        return largest_group(h, SEQUENCE_KEYS)
-
     def sessions(self) -> DataFrame:
         """Clean sessions via the fused rollup (totals + flags in one pass)."""
         return clean_sessions(self.raw_sessions(with_flags=True), None, self.spec)

@@ -45,9 +45,6 @@ class FunnelSpec:
     def codes(self) -> list[int]:
         return [s.code for s in self.stages]
 
-    def stage_by_event(self, event: str) -> Stage:
-        return next(s for s in self.stages if s.event == event)
-
     @property
     def purchase(self) -> Stage:
         return self.stages[-1]

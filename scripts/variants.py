@@ -57,8 +57,8 @@ def main():
     res["flags_collect_set"] = best(lambda: noop(sets.select(
         "session_id", *[F.array_contains("s", c).alias(f"f{c}") for c in (2, 3, 5)])))
 
-    nest = nested.to_nested_sessions(m.raw_sessions(), m.hits(with_sequence=True, columns=["session_id",
-                                                                                           cleaning.CODE]))
+    nest = nested.to_nested_sessions(m.raw_sessions(), m.hits(columns=["session_id", cleaning.CODE, "ts", "event_id"]),
+                                     bucket=F.hour("ts"), order=testdata.SEQUENCE_ORDER)
     from funnelry.session import Scratch, materialize
     with Scratch(spark) as scratch:                 # the nested copy is released afterwards
         n = materialize(nest, "variants-nested", scratch)
@@ -69,9 +69,8 @@ def main():
               for c in (2, 3, 5)])))
 
     seq_in = h.select("session_id", "user_id", "event_day", "ts", "event_id")
-    res["sequence_range_split"] = best(lambda: noop(sequence_within(seq_in, ["user_id", "event_day"],
-                                                                    ["ts", "event_id"], name="n",
-                                                                    strategy="range")))
+    res["sequence_by_bucket"] = best(lambda: noop(sequence_within(
+        seq_in, testdata.SEQUENCE_KEYS, testdata.SEQUENCE_ORDER, testdata.minute_of_day(), name="n")))
     w = Window.partitionBy("user_id", "event_day").orderBy("ts", "event_id")
     res["sequence_window"] = best(lambda: noop(seq_in.withColumn("n", F.row_number().over(w))))
     print(json.dumps({"sf": Path(sf).name, "cpus": cpus, "spark": spark.version, "best_of": 3, "sec": res}))

@@ -24,11 +24,6 @@ for name in ["hit_sequence", "nested_funnel", "findings", "metric_cube"]:
     q = m.queries()[name](spark, "/root/testdata/sf0.001")
     out[name] = [q.count(), q.schema.simpleString() == m.queries()[name](spark, "/root/testdata/sf0.001").schema.simpleString()]
 from funnelry.operators.sequence import sequence_within   # importable: the entry put its folder on sys.path
-from funnelry.sources import testdata
-h = testdata.hits(spark, "/root/testdata/sf0.001")
-r = sequence_within(h, ["user_id", "event_day"], ["ts", "event_id"], name="n", strategy="range", num_partitions=4)
-w = sequence_within(h, ["user_id", "event_day"], ["ts", "event_id"], name="n", strategy="window")
-out["range_split"] = [r.count(), r.exceptAll(w).count(), w.exceptAll(r).count()]
 print("RESULT " + json.dumps(out))
 """
 
@@ -44,4 +39,3 @@ def test_entry_loaded_by_path_in_fresh_process():
     assert out["n_queries"] == out["n_oracle"] + 1 and out["all_listed"]
     assert out["hit_sequence"] == [1000, True] and out["nested_funnel"] == [1, True]
     assert out["findings"] == [1, True] and out["metric_cube"][1] is True
-    assert out["range_split"] == [1000, 0, 0]      # Python step shipped by value, checkpoint in a bare session

@@ -58,8 +58,8 @@ def test_published_z_and_opportunity(spark):
 
 def test_published_stage_steps(spark):
     counts = [150000, 71456, 7342, 4306, 2068]
-    long = spark.createDataFrame([(i, c) for i, c in enumerate(counts)], "stage_order int, count long")
-    rows = funnel.step_ratios(long).orderBy("stage_order").collect()
+    long = spark.createDataFrame([("all", i, c) for i, c in enumerate(counts)], "seg string, stage_order int, count long")
+    rows = funnel.step_ratios(long, ["seg"]).orderBy("stage_order").collect()
     assert [round(r.step_conv, 6) if r.step_conv else None for r in rows] == [None, 0.476373, 0.102749,
                                                                              0.586489, 0.480260]
     assert rows[-1].pct_of_sessions == pytest.approx(0.013787, abs=1e-6)

@@ -1,78 +1,66 @@
-"""The skew-safe sequence number equals row_number() on any key layout."""
+"""The sequence number equals row_number() whatever the keys and the buckets."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
 from funnelry.operators.sequence import sequence_within
+from funnelry.sources import testdata
 
 
 def _expected(df):
-    w = Window.partitionBy("k").orderBy("t", "id")
-    return df.withColumn("seq", F.row_number().over(w))
+    return df.withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")))
 
 
 def _rows(df):
     return sorted((r.id, r.seq) for r in df.select("id", "seq").collect())
 
 
-def test_hot_key_spans_partitions(spark):
+def test_hot_key_is_spread_over_tasks(spark):
     hot = spark.range(20000).select(F.lit("hot").alias("k"), (F.col("id") % 97).alias("t"), "id")
-    cold = spark.range(20000, 20600).select((F.col("id") % 150).cast("string").alias("k"),
-                                            (F.col("id") % 7).alias("t"), "id")
+    cold = spark.range(20000, 20600).select((F.col("id") % 150).cast("string").alias("k"), (F.col("id") % 7).alias("t"), "id")
     nulls = spark.range(30000, 30050).select(F.lit(None).cast("string").alias("k"), F.lit(1).alias("t"), "id")
     df = hot.unionByName(cold).unionByName(nulls)
-    got = sequence_within(df, ["k"], ["t", "id"], name="seq", num_partitions=16, strategy="range")
+    got = sequence_within(df, ["k"], ["t", "id"], F.col("t"), name="seq")
     assert _rows(got) == _rows(_expected(df))
-    # the hot key really was split over several range partitions
-    spread = (df.repartitionByRange(16, "k", "t", "id").where("k = 'hot'")
-                .select(F.spark_partition_id().alias("p")).distinct().count())
-    assert spread > 4
-
-
-def test_small_batches_carry_runs(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        df = spark.range(500).select((F.col("id") % 3).cast("string").alias("k"), F.col("id").alias("t"), "id")
-        got = sequence_within(df, ["k"], ["t", "id"], name="seq", num_partitions=4, strategy="range")
-        assert _rows(got) == _rows(_expected(df))
+        tasks = got.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
     finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-
-
-def test_plan_broadcasts_only_offsets(spark):
-    df = spark.range(100).select((F.col("id") % 5).cast("string").alias("k"), F.col("id").alias("t"), "id")
-    got = sequence_within(df, ["k"], ["t", "id"], num_partitions=4, strategy="range")
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "ExistingRDD" in plan                # reads the checkpointed, numbered rows
-    assert "BroadcastExchange" in plan          # the per-range offset table (<= 4 rows)
-    assert "Window" in plan.split("BroadcastExchange")[1]   # window only over the offset rows
-    assert sorted(r.seq for r in got.where("k = '0'").collect()) == list(range(1, 21))
-
-
-def test_auto_strategy_picks_by_largest_group(spark):
-    df = spark.range(300).select((F.col("id") % 3).cast("string").alias("k"), F.col("id").alias("t"), "id")
-    small = sequence_within(df, ["k"], ["t", "id"], name="seq", max_group_rows=1000)
-    big = sequence_within(df, ["k"], ["t", "id"], name="seq", max_group_rows=50, num_partitions=4)
-    small_plan = small._jdf.queryExecution().executedPlan().toString()
-    big_plan = big._jdf.queryExecution().executedPlan().toString()
-    assert "ExistingRDD" not in small_plan and "Window" in small_plan
-    assert "ExistingRDD" in big_plan
-    assert _rows(small) == _rows(big) == _rows(_expected(df))
-
-
-def test_range_split_on_real_hits_round_trips_every_type(spark):
-    """timestamp_ntz, date, double and string columns pass through pandas intact."""
-    from conftest import SF_SMALL
-    from funnelry.sources import testdata
-    h = testdata.hits(spark, SF_SMALL)
-    keys, order = ["user_id", "event_day"], ["ts", "event_id"]
-    ranged = sequence_within(h, keys, order, name="hitNumber", strategy="range", num_partitions=5)
-    window = sequence_within(h, keys, order, name="hitNumber", strategy="window")
-    assert ranged.schema == window.schema
-    assert ranged.exceptAll(window).count() == 0 and window.exceptAll(ranged).count() == 0
-
-
-def test_range_split_is_repeatable_within_one_plan(spark):
-    df = spark.range(3000).select((F.col("id") % 4).cast("string").alias("k"), (F.col("id") % 11).alias("t"), "id")
-    r = sequence_within(df, ["k"], ["t", "id"], name="seq", strategy="range", num_partitions=6)
-    assert r.exceptAll(r).count() == 0        # two uses of r in one plan agree
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < 10000
+
+
+def test_keys_with_null_and_beyond_doubles(spark):
+    big = 2 ** 53
+    rows = [(k, t, i) for i, (k, t) in enumerate([(big, 1), (big + 1, 1), (None, 2), (big, None), (None, None), (big + 1, 0),
+                                                  (big, 1), (None, 2)])]
+    df = spark.createDataFrame(rows, "k long, t int, id long")
+    got = sequence_within(df, ["k"], ["t", "id"], F.col("t"), name="seq")
+    assert _rows(got) == _rows(_expected(df))
+    assert sorted(map(str, (r.k for r in got.collect()))) == sorted(map(str, (r[0] for r in rows)))
+
+
+def test_bucket_of_one_instant_by_id_range(spark):
+    df = spark.range(1000).select(F.lit("bot").alias("k"), F.lit(5).alias("t"), "id")
+    got = sequence_within(df, ["k"], ["t", "id"], F.struct("t", F.floor(F.col("id") / 10)), name="seq")
+    assert _rows(got) == [(i, i + 1) for i in range(1000)]
+
+
+def test_real_hits_by_minute_equal_the_plain_window(spark):
+    h = testdata.raw_hits(spark, SF_SMALL)
+    got = sequence_within(h, testdata.SEQUENCE_KEYS, testdata.SEQUENCE_ORDER, testdata.minute_of_day(), name="n")
+    plain = h.withColumn("n", F.row_number().over(
+        Window.partitionBy(*testdata.SEQUENCE_KEYS).orderBy(*testdata.SEQUENCE_ORDER)))
+    assert got.columns == plain.columns
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+
+
+def test_files_appended_between_two_calls_are_seen(spark, tmp_path):
+    path = str(tmp_path / "hits")
+    schema = "k string, t int, id long"
+    spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("b", 2, 3)], schema).write.parquet(path)
+    number = lambda: _rows(sequence_within(spark.read.parquet(path), ["k"], ["t", "id"], F.col("t"), name="seq"))
+    assert number() == [(1, 1), (2, 2), (3, 1)]
+    spark.range(10, 5010).select(F.lit("a").alias("k"), F.lit(1).alias("t"), "id").write.mode("append").parquet(path)
+    assert number() == [(1, 1), (2, 2), (3, 1)] + [(i, i - 7) for i in range(10, 5010)]
