@@ -1,12 +1,13 @@
 """Command line: run the batch funnel pipeline on raw session/hit files.
 
     python -m funnelry --sessions data/raw/sessions.csv --hits data/raw/hits.csv --out out/
-    python -m funnelry --nested gs_sessions/ --date-from 20161101 --date-to 20170131 --out out/
+    python -m funnelry --nested ga_sessions/ --date-from 20161101 --date-to 20170131 --out out/
 
 Flat input: writes processed tables, the quality report, the findings
 document and the six dashboard extracts (see ``plans.pipeline``). Nested
 input: flattens the records (optionally a date range) and writes the clean
-sessions, the findings document and the stage/device/channel/matrix extracts.
+sessions, the findings document and the stage/device/channel/matrix/daily
+extracts. A date range holds for the hits too: those of sessions outside it go.
 """
 
 from __future__ import annotations
@@ -46,14 +47,13 @@ def main(argv: list[str] | None = None) -> dict:
         writers.write_parquet(nested.flatten_nested(n), f"{out}/processed/sessions")
         s = spark.read.parquet(f"{out}/processed/sessions")
         writers.write_json_document(reports.findings(s), f"{out}/findings")
-        # nested records carry no per-session date column: no daily extract
         tables = {"funnel_stage": funnel.funnel_stage(s), "funnel_by_device": funnel.funnel_by_segment(s),
                   "channel_performance": funnel.channel_performance(s),
-                  "device_channel_matrix": funnel.segment_matrix(s)}
+                  "device_channel_matrix": funnel.segment_matrix(s), "daily_trend": funnel.daily_trend(s)}
         result = {"sessions": f"{out}/processed/sessions", "findings": f"{out}/findings", "extracts": {}}
         for name, df in tables.items():
             path = f"{out}/extracts/{name}"
-            (writers.write_csv(df, path, single_file=True) if args.extract_format == "csv"
+            (writers.write_csv(df, path, single_file=name in writers.ONE_FILE) if args.extract_format == "csv"
              else df.write.mode("overwrite").parquet(path))
             result["extracts"][name] = path
     else:
@@ -62,6 +62,8 @@ def main(argv: list[str] | None = None) -> dict:
         fmt = "parquet" if args.format == "parquet" else "csv"
         raw_s = files.date_range(files.read_raw_sessions(spark, args.sessions, fmt), args.date_from, args.date_to)
         raw_h = files.read_raw_hits(spark, args.hits, fmt)
+        if args.date_from or args.date_to:
+            raw_h = raw_h.join(raw_s.select("session_id").distinct(), "session_id", "left_semi")
         paths = run_batch(spark, raw_s, raw_h, out, extract_format=args.extract_format,
                           database=args.database, buckets=args.buckets)
         result = {"sessions": paths.sessions, "purchases": paths.purchases, "events": paths.events,

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from .operators import cleaning, funnel, nested, reports, stats
-from .session import materialize
+from .session import Scratch, materialize
 from .spec import DEFAULT_SPEC, FunnelSpec
 
 
@@ -23,6 +23,7 @@ class FunnelAnalysis:
     products: DataFrame | None = None
     spec: FunnelSpec = DEFAULT_SPEC
     _sessions: DataFrame | None = field(default=None, repr=False)
+    _scratch: Scratch | None = field(default=None, repr=False)
 
     @classmethod
     def from_nested(cls, nested_sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
@@ -48,11 +49,18 @@ class FunnelAnalysis:
 
         Every later metric scans that session-grain Parquet table instead of
         re-aggregating the hits: one pass over raw data for any number of
-        questions.
+        questions. ``release`` empties the table again.
         """
-        self._sessions = materialize(self.sessions(), "funnel-sessions")
+        self._scratch = Scratch(self.sessions().sparkSession)
+        self._sessions = materialize(self.sessions(), "funnel-sessions", self._scratch)
         return self
 
+    def release(self) -> None:
+        """Empty the table that ``materialize`` wrote; this object can't be used afterwards."""
+        if self._scratch is not None:
+            self._scratch.__exit__(None, None, None)
+            self._scratch = self._sessions = None
+
     # --- clean / transform ----------------------------------------------------
     def sessions(self) -> DataFrame:
         if self._sessions is None:

@@ -1,8 +1,8 @@
 """End-to-end batch: raw sessions + hits -> processed tables -> extracts + findings.
 
-Stage boundaries are written tables (not cached lineage): the inputs and the
-processed tables are written once and read back, so every later step starts
-from Parquet and a lost executor never replays the raw-hit enrichment.
+Stage boundaries are written tables (not cached lineage): the processed tables
+are written once and read back, so every later step starts from Parquet and a
+lost executor never replays the raw-hit enrichment.
 """
 
 from __future__ import annotations
@@ -30,17 +30,21 @@ class BatchOutputs:
 
 def run_batch(spark: SparkSession, raw_sessions: DataFrame, raw_hits: DataFrame, out_dir: str,
               spec: FunnelSpec = DEFAULT_SPEC, extract_format: str = "csv",
-              database: str | None = None, buckets: int = 0) -> BatchOutputs:
+              database: str | None = None, buckets: int = 0, copy_inputs: bool = False) -> BatchOutputs:
+    """Writes the processed tables, the quality report, the findings and the extracts.
+
+    The inputs are read by four outputs. ``copy_inputs`` writes them to the
+    shared checkpoint folder first: worth it where they are the result of costly
+    work, a waste where they are files already.
+    """
     out = out_dir.rstrip("/")
     paths = BatchOutputs(sessions=f"{out}/processed/sessions", purchases=f"{out}/processed/purchases",
                          events=f"{out}/processed/events_clean", quality=f"{out}/quality",
                          findings=f"{out}/findings")
-    # 0. inputs are read by four outputs below: write them once (shared
-    #    checkpoint folder) so upstream work is not repeated per output;
-    #    released once the outputs are written
     with Scratch(spark) as scratch:
-        raw_sessions = materialize(raw_sessions, "batch-raw-sessions", scratch)
-        raw_hits = materialize(raw_hits, "batch-raw-hits", scratch)
+        if copy_inputs:
+            raw_sessions = materialize(raw_sessions, "batch-raw-sessions", scratch)
+            raw_hits = materialize(raw_hits, "batch-raw-hits", scratch)
         # 1. clean / transform (one shuffle on session_id for the flags)
         writers.write_sessions_layout(cleaning.clean_sessions(raw_sessions, raw_hits, spec), paths.sessions)
         writers.write_parquet(cleaning.purchase_lines(raw_hits, raw_sessions, spec), paths.purchases)

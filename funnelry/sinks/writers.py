@@ -33,7 +33,9 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (),
         # a hot value (one huge day) across tasks and merges small ones.
         out = out.hint("rebalance", *partition_by)
     if sort_within:
-        out = out.sortWithinPartitions(*sort_within)
+        # Partition columns first: the writer needs that order, and would
+        # otherwise sort again by them alone.
+        out = out.sortWithinPartitions(*partition_by, *sort_within)
     w = out.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -60,7 +62,7 @@ def save_table(df: DataFrame, name: str, path: str | None = None, partition_by:
     bucket count join and aggregate on that key without a shuffle (e.g.
     sessions, purchases and the event log on ``session_id``).
     """
-    out = df.sortWithinPartitions(*sort_within) if sort_within and not bucket_by else df
+    out = df.sortWithinPartitions(*partition_by, *sort_within) if sort_within and not bucket_by else df
     w = out.write.mode("overwrite").format("parquet")
     if bucket_by:
         w = w.bucketBy(buckets, *bucket_by)
@@ -106,6 +108,8 @@ def write_sessions_layout(sessions: DataFrame, path: str) -> None:
 # --- K5: dashboard extracts ---------------------------------------------------
 EXTRACTS = ("funnel_stage", "funnel_by_device", "channel_performance", "device_channel_matrix",
             "daily_trend", "category_revenue")
+#: Extracts of a fixed few rows; the others have a row per day or category and are written in parallel.
+ONE_FILE = ("funnel_stage", "funnel_by_device", "channel_performance", "device_channel_matrix")
 
 
 def dashboard_tables(cube: DataFrame, purchases: DataFrame,
@@ -144,7 +148,7 @@ def publish_extracts(spark: SparkSession, sessions: DataFrame, purchases: DataFr
         for name, df in dashboard_tables(cube, purchases, spec).items():
             path = f"{out_dir.rstrip('/')}/{name}"
             if fmt == "csv":
-                write_csv(df, path, single_file=True)   # aggregates: segments x stages rows
+                write_csv(df, path, single_file=name in ONE_FILE)
             else:
                 df.write.mode("overwrite").parquet(path)
             written[name] = path

@@ -10,34 +10,71 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from .. import schema as S
 from ..functions.columns import usd_to_micros
 
 
-def _read(spark: SparkSession, path: str, schema: StructType, fmt: str) -> DataFrame:
-    reader = spark.read.schema(schema)
+class BadInput(ValueError):
+    """A file that does not have the columns it should have."""
+
+
+def _typed(name: str, kind: DataType, strict: bool):
+    """A text column as ``kind``. An empty cell is NULL; any other cell that does
+    not fit raises, or is NULL if not ``strict``. Whole numbers may be written
+    as ``1.0``."""
+    text = F.nullif(F.trim(F.col(f"`{name}`")), F.lit(""))
+    if isinstance(kind, StringType):
+        return F.col(f"`{name}`").alias(name)
+    if isinstance(kind, (IntegerType, LongType)):
+        plain = text.try_cast(kind)
+        number = text.try_cast("decimal(38,6)")
+        value = F.coalesce(plain, F.when(number == F.floor(number), number.try_cast(kind)))
+    else:
+        value = text.try_cast(kind)
+    if strict:
+        value = F.when(text.isNotNull() & value.isNull(), F.raise_error(F.concat(
+            F.lit(f"column {name}: not a {kind.simpleString()}: "), text)).cast(kind)).otherwise(value)
+    return value.alias(name)
+
+
+def _read_csv(spark: SparkSession, path: str, schema: StructType, strict: bool) -> DataFrame:
+    """Columns are found by their name in the header, in whatever order they come;
+    further columns are left out. A file whose header differs from the first
+    one's, and a missing column, is an error."""
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise BadInput(f"{path}: no column {', '.join(missing)}")
+    rows = (spark.read.schema(StructType([StructField(c, StringType()) for c in header]))
+            .option("header", True).option("enforceSchema", False).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+            .csv(path))
+    return rows.select(*[_typed(f.name, f.dataType, strict) for f in schema.fields])
+
+
+def _read(spark: SparkSession, path: str, schema: StructType, fmt: str, strict: bool = True) -> DataFrame:
     if fmt == "csv":
-        return reader.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        return _read_csv(spark, path, schema, strict)
+    reader = spark.read.schema(schema)
     if fmt == "json":
-        return reader.json(path)
+        return reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
     if fmt == "parquet":
         return reader.parquet(path)
     raise ValueError(f"unsupported format {fmt!r}")
 
 
 # --- S1: raw flat export --------------------------------------------------------
-def read_raw_sessions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return _read(spark, path, S.RAW_SESSIONS, fmt)
+def read_raw_sessions(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = True) -> DataFrame:
+    return _read(spark, path, S.RAW_SESSIONS, fmt, strict)
 
 
-def read_raw_hits(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return _read(spark, path, S.RAW_HITS, fmt)
+def read_raw_hits(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = True) -> DataFrame:
+    return _read(spark, path, S.RAW_HITS, fmt, strict)
 
 
-def read_products(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return _read(spark, path, S.PRODUCTS, fmt)
+def read_products(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = True) -> DataFrame:
+    return _read(spark, path, S.PRODUCTS, fmt, strict)
 
 
 # --- S2: processed tables ---------------------------------------------------------
@@ -61,23 +98,27 @@ def read_purchases(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 # --- S3 / S4: nested export and date-range scan -----------------------------------
-NESTED_WITH_FRAGMENT = StructType(list(S.NESTED_SESSIONS.fields) + [StructField("hit_fragment", IntegerType())])
+NESTED_WITH_FRAGMENT = StructType([*S.NESTED_SESSIONS.fields, StructField("hit_fragment", IntegerType()),
+                                   StructField("record_id", StringType())])
 
 
 def read_nested_sessions(spark: SparkSession, path: str, fmt: str = "parquet",
                          date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Nested sessions from a directory (``date=yyyyMMdd`` partitions allowed).
 
-    For Parquet the schema comes from the files (the ``date`` partition column
-    is discovered from directory names); JSON uses the declared schema.
-    The inclusive ``date`` range is a partition filter when ``date`` is a
-    partition column, so untouched days are never listed or read.
+    Both formats are read with the declared schema. Fields that a file lacks are
+    NULL, and records without a ``record_id`` are never merged, so the same
+    records give the same sessions from JSON and from Parquet. The inclusive
+    ``date`` range is a partition filter when ``date`` is a partition column,
+    so untouched days are never listed or read.
     """
-    if fmt == "parquet":
-        df = (spark.read.option("basePath", path).parquet(path) if date_from or date_to
-              else spark.read.parquet(path))
+    reader = spark.read.schema(NESTED_WITH_FRAGMENT).option("basePath", path)
+    if fmt == "json":
+        df = reader.option("mode", "FAILFAST").json(path)
+    elif fmt == "parquet":
+        df = reader.parquet(path)
     else:
-        df = _read(spark, path, NESTED_WITH_FRAGMENT, fmt)
+        raise ValueError(f"unsupported format {fmt!r}")
     return date_range(df, date_from, date_to)
 
 

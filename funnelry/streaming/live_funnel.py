@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import flag_count, ratio, sum_micros, usd_to_micros
-from ..session import scratch_path
 from ..spec import DEFAULT_SPEC, MICROS, FunnelSpec
 
 CODE = "eCommerceAction_action_type"
@@ -54,13 +53,13 @@ def daily_trend_stream(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC) ->
                       ratio("orders", "sessions").alias("conversion_rate"))
 
 
-def start(df: DataFrame, name: str, output_mode: str = "append", sink: str = "memory",
-          path: str | None = None, available_now: bool = True,
-          checkpoint_location: str | None = None) -> StreamingQuery:
-    """Start a query with its checkpoint in the shared checkpoint folder."""
-    ckpt = checkpoint_location or scratch_path(df.sparkSession, f"stream-{name}")
+def start(df: DataFrame, name: str, checkpoint_location: str, sink: str, output_mode: str = "append",
+          path: str | None = None, available_now: bool = True) -> StreamingQuery:
+    """Start a query. ``checkpoint_location`` is where a restart goes on, so it
+    must stay the same and lie on shared storage; ``sink`` names a format (the
+    ``memory`` sink keeps its whole output in the driver and is for tests)."""
     w = (df.writeStream.queryName(name).outputMode(output_mode).format(sink)
-         .option("checkpointLocation", ckpt))
+         .option("checkpointLocation", checkpoint_location))
     if path:
         w = w.option("path", path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

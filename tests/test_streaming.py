@@ -1,3 +1,5 @@
+import tempfile
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -14,7 +16,7 @@ def _rows(df):
 
 def test_stream_sessions_equal_batch(spark):
     stream = lf.sessionize_stream(testdata.hits_stream(spark, SF_SMALL))
-    q = lf.start(stream, "sess_complete", output_mode="complete")
+    q = lf.start(stream, "sess_complete", tempfile.mkdtemp(prefix="stream-"), "memory", output_mode="complete")
     q.awaitTermination()
     got = spark.table("sess_complete")
     batch_hits = testdata.raw_hits(spark, SF_SMALL).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -25,7 +27,7 @@ def test_stream_sessions_equal_batch(spark):
 
 def test_stream_daily_trend_emits_closed_days(spark):
     sessions = lf.sessionize_stream(testdata.hits_stream(spark, SF_SMALL))
-    q = lf.start(lf.daily_trend_stream(sessions), "daily_append", output_mode="append")
+    q = lf.start(lf.daily_trend_stream(sessions), "daily_append", tempfile.mkdtemp(prefix="stream-"), "memory")
     q.awaitTermination()
     got = {r.date: (r.sessions, r.orders) for r in spark.table("daily_append").collect()}
     batch_hits = testdata.raw_hits(spark, SF_SMALL).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -37,14 +39,12 @@ def test_stream_daily_trend_emits_closed_days(spark):
 
 
 def test_stream_to_parquet_sink_is_durable(spark):
-    import tempfile
     base = tempfile.mkdtemp(prefix="daily-")
     out, ckpt = f"{base}/daily", f"{base}/ckpt"
 
     def run(name):
         sessions = lf.sessionize_stream(testdata.hits_stream(spark, SF_SMALL))
-        q = lf.start(lf.daily_trend_stream(sessions), name, output_mode="append", sink="parquet", path=out,
-                     checkpoint_location=ckpt)
+        q = lf.start(lf.daily_trend_stream(sessions), name, ckpt, "parquet", path=out)
         q.awaitTermination()
 
     run("daily_parquet_1")
