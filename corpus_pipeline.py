@@ -41,9 +41,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest doc_id."""
     found = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id"), "version").distinct()
-    rows = docs.withColumn("version", F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(found["id"]) & (rows["version"] == found["version"])
-    return rows.join(found, same, "left_semi").dropDuplicates(["doc_id", "version"]).select(*docs.columns)
+    rows = docs.withColumn("__version", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(found["id"]) & (rows["__version"] == found["version"])
+    return rows.join(found, same, "left_semi").dropDuplicates(["doc_id", "__version"]).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

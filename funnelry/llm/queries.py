@@ -74,7 +74,31 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   with_ids=False)
 
 
-@query("op10_decontamination")
+@query("op10_decontamination", r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), asked AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS said
+  FROM (SELECT item_id, w, unnest(CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(1, len(w) - 9) + 1) END) AS i FROM items)
+), found AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS said
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM asked))
+), hits AS (
+  SELECT f.doc_id, f.i, f.n, a.item_id FROM found f JOIN asked a ON a.said = f.said AND a.n = f.n
+), covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id
+), owners AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN covered c ON c.doc_id = w.doc_id LEFT JOIN owners o ON o.doc_id = w.doc_id
+""")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(decontaminate.find_leaks(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -118,19 +142,82 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
-@query("op3_near_dedup")
+@query("op3_near_dedup", r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(CASE WHEN len(w) >= 3 THEN range(1, len(w) - 1) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM words
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle FROM places
+), sizes AS (
+  SELECT w.doc_id, count(s.shingle) AS n FROM words w LEFT JOIN shingles s ON s.doc_id = w.doc_id GROUP BY w.doc_id
+), shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.v FROM reach r JOIN links l ON l.u = r.other
+)
+SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id, s.doc_id = min(r.other) AS kept
+FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
+""")
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-@query("op7_suffix_dedup")
+@query("op7_suffix_dedup", r"""
+WITH bytes AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS data, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT doc_id, i, data[i + 1:i + 50] AS said
+  FROM (SELECT doc_id, data, unnest(range(0, octet_length(data) - 49)) AS i FROM bytes)
+), firsts AS (
+  SELECT said, min(doc_id) AS first FROM starts GROUP BY said
+), later AS (
+  SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -51) AS before
+  FROM starts JOIN firsts USING (said) WHERE first < doc_id
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT *, sum((i - before > 50)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM later) GROUP BY doc_id, span
+), kept AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM spans
+), parts AS (
+  SELECT k.doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head, max(b) AS past,
+         count(*) AS n_spans, sum(b - a) AS n_removed
+  FROM kept k JOIN bytes USING (doc_id) GROUP BY k.doc_id
+)
+SELECT x.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(past, 0) + 1))) AS kept_sha256
+FROM bytes x LEFT JOIN parts p ON p.doc_id = x.doc_id
+""")
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_later_copies(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS said
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words)
+), twice AS (
+  SELECT said FROM windows GROUP BY said HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM windows JOIN twice USING (said)
+), each AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words
+)
+SELECT w.doc_id, any_value(len(w.w)) AS n_words, count(g.i) AS n_removed,
+       sha256(coalesce(string_agg(e.word, ' ' ORDER BY e.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM words w LEFT JOIN each e ON e.doc_id = w.doc_id LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i
+GROUP BY w.doc_id
+""")
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
