@@ -17,15 +17,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 HOT = 20_000
 LAST_ID = (1 << 63) - 1
 U64 = np.uint64
+#: Bits of a seed, and the bytes it is sent in. Seeds only choose candidates.
+SEED_BITS, SEED_BYTES = 48, 6
 #: Gives the bytes and bounds of a chunk's texts their units and the bounds in units.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -55,12 +58,35 @@ def anchor_runs(units: np.ndarray, bounds: np.ndarray, k: int, length: int):
     seeds, firsts, counts = [np.zeros(0, U64)], [none], [none]
     for starts, anchors in rolling.window_anchors(units, bounds, k, length):
         new = np.flatnonzero(np.diff(anchors, prepend=-1))
-        seeds.append(rolling.hash_at(units, anchors[new], k, rolling.GRAM_BASE))
+        seeds.append(rolling.hash_at(units, anchors[new], k, rolling.GRAM_BASE) >> U64(64 - SEED_BITS))
         firsts.append(starts[new])
         counts.append(np.diff(np.append(new, len(starts))))
     return np.concatenate(seeds), np.concatenate(firsts), np.concatenate(counts)
 
 
+def blob(values: np.ndarray, kind: str) -> bytes:
+    """Values as compressed bytes: what is shuffled is a few large cells, not rows."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, dtype=kind).tobytes())
+
+
+def unblob(column, kind: str) -> list[np.ndarray]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [np.frombuffer(expand(b), kind) for b in column.to_pylist()]
+
+
+def packed_seeds(seeds: np.ndarray) -> bytes:
+    return seeds.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SEED_BYTES].tobytes()
+
+
+def unpacked_seeds(column) -> list[np.ndarray]:
+    out = []
+    for cell in column.to_pylist():
+        wide = np.zeros((len(cell) // SEED_BYTES, 8), np.uint8)
+        wide[:, :SEED_BYTES] = np.frombuffer(cell, np.uint8).reshape(-1, SEED_BYTES)
+        out.append(wide.view("<u8").ravel())
+    return out
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (rolling.mix(hashes) % U64(buckets)).astype(np.int64)
 
@@ -74,12 +100,12 @@ def by_bucket(buckets: np.ndarray):
 
 def repeated_seeds(chunks: DataFrame, n: int, units: Units, k: int, length: int, hot: int = HOT) -> DataFrame:
     """(chunk, seeds, hot): for each chunk its seeds that occur twice in the corpus, as
-    bytes of sorted 64-bit hashes, and a byte for each that tells whether it is hot."""
+    bytes of sorted hashes, and a byte for each that tells whether it is hot."""
 
     def seeds(table: pa.Table) -> pa.Table:
         found, _, _ = anchor_runs(*units(*texts_of(table)), k, length)
         found, counts = np.unique(found, return_counts=True)
-        rows = [(b, found[at].tobytes(), np.minimum(counts[at], 1 << 20).astype("<u4").tobytes())
+        rows = [(b, packed_seeds(found[at]), blob(np.minimum(counts[at], 1 << 20), "<u4"))
                 for b, at in by_bucket(bucket_of(found, n))]
         chunk = table.column("chunk")[0].as_py()
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()),
@@ -88,8 +114,7 @@ def repeated_seeds(chunks: DataFrame, n: int, units: Units, k: int, length: int,
                          "counts": pa.array([r[2] for r in rows], pa.binary())})
 
     def twice(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(b, U64) for b in table.column("seeds").to_pylist()]
-        counts = [np.frombuffer(b, "<u4") for b in table.column("counts").to_pylist()]
+        parts, counts = unpacked_seeds(table.column("seeds")), unblob(table.column("counts"), "<u4")
         _, place = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(place, np.concatenate(counts))[place]
         rows, at = [], 0
@@ -98,7 +123,7 @@ def repeated_seeds(chunks: DataFrame, n: int, units: Units, k: int, length: int,
             at += len(own)
             often = sums >= 2
             if often.any():
-                rows.append((chunk, own[often].tobytes(), (sums[often] >= hot).astype(np.uint8).tobytes()))
+                rows.append((chunk, packed_seeds(own[often]), blob(sums[often] >= hot, "u1")))
         return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()),
                          "seeds": pa.array([r[1] for r in rows], pa.binary()),
                          "hot": pa.array([r[2] for r in rows], pa.binary())})
@@ -111,8 +136,8 @@ def chosen_runs(units: np.ndarray, bounds: np.ndarray, k: int, length: int, shar
     """The anchor runs of a chunk whose seed is among those of ``shared``; runs of hot
     seeds are cut into single windows. (seeds, first, n, hot)."""
     seeds, first, n = anchor_runs(units, bounds, k, length)
-    known = np.concatenate([np.zeros(0, U64), *(np.frombuffer(b, U64) for b in shared.column("seeds").to_pylist())])
-    marks = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(b, np.uint8) for b in shared.column("hot").to_pylist())])
+    known = np.concatenate([np.zeros(0, U64), *unpacked_seeds(shared.column("seeds"))])
+    marks = np.concatenate([np.zeros(0, np.uint8), *unblob(shared.column("hot"), "u1")])
     order = np.argsort(known)
     known, marks = known[order], marks[order]
     if not len(known):
@@ -133,11 +158,3 @@ def spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs of n windows each: the run of every window, and its place in the run."""
     run = np.repeat(np.arange(len(n)), n)
     return run, np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-
-
-def blob(values: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(values, dtype=kind).tobytes()
-
-
-def unblob(column, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(b, kind) for b in column.to_pylist()]

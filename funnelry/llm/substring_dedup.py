@@ -10,8 +10,8 @@ duplicate span. At a factor's boundary the windows that reach beyond it are
 looked up on their own, so no duplicate is lost where two factors meet.
 
 Rule: a word goes if a window of ``length`` words that covers it also starts
-anywhere else. Windows are judged on the input. Two windows are equal if 128 bits
-of hash are (64 of the window, 64 of its seed).
+anywhere else. Windows are judged on the input. Two windows are equal if 112 bits
+of hash are (64 of the window, 48 of its seed).
 
 Defined cases: null and empty texts have no words; a repeated row is another
 document with the same words, so both lose them; a null id is kept; an empty table
@@ -68,7 +68,7 @@ def _sender(buckets: int, length: int, k: int):
                 heads = np.flatnonzero(new)
                 one = at[heads]
                 run, step = repeats.spread(n[one])
-                rows.append((bucket, int(chunk.column("chunk")[0].as_py()), blob(seeds[one], "<u8"), blob(n[one], "<u2"),
+                rows.append((bucket, int(chunk.column("chunk")[0].as_py()), repeats.packed_seeds(seeds[one]), blob(n[one], "<u2"),
                              blob(rolling.hash_at(units, first[one][run] + step, length, rolling.WINDOW_BASE), "<u8"),
                              blob(np.diff(np.append(heads, len(at))), "<u4"), blob(document[at], "<i4"),
                              blob(first[at] - bounds[document[at]], "<i8")))
@@ -82,8 +82,9 @@ def _sender(buckets: int, length: int, k: int):
 def _parse_block(table: pa.Table) -> pa.Table:
     """For each chunk, from a whole reference block: (doc, first, mask) of the runs of
     windows, bit j of the mask telling that window first + j also starts elsewhere."""
-    kinds = {"seeds": "<u8", "windows": "<u2", "hashes": "<u8", "times": "<u4", "docs": "<i4", "firsts": "<i8"}
+    kinds = {"windows": "<u2", "hashes": "<u8", "times": "<u4", "docs": "<i4", "firsts": "<i8"}
     parts = {c: unblob(table.column(c), kind) for c, kind in kinds.items()}
+    parts["seeds"] = repeats.unpacked_seeds(table.column("seeds"))
     seeds, n, hashes, times = (np.concatenate(parts[c]) for c in ("seeds", "windows", "hashes", "times"))
     n, times = n.astype(np.int64), times.astype(np.int64)
     run, step = repeats.spread(n)
