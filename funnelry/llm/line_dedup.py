@@ -82,17 +82,17 @@ def _fingerprints(rows: DataFrame, min_lines: int, gram: int) -> DataFrame:
 def later_runs(docs: DataFrame, key: str, text: str, min_lines: int = MIN_LINES, gram: int = GRAM) -> DataFrame:
     """(id, version, starts): the lines from which a later repeat of ``min_lines`` lines starts."""
     rows = docs.select(*row_key(F.col(key), F.col(text)), F.col(text).alias("text"))
-    prints = _fingerprints(rows, min_lines, gram)
-    twice = prints.groupBy("print").count().where("count > 1").select("print")
-    runs = prints.join(twice, "print").select(
-        "print", "id", "version", F.posexplode("runs").alias("at", "run"), "first") \
-        .select("run", "print", "id", "version", (F.col("first") + F.col("at")).alias("line"))
+    prints = stored(_fingerprints(rows, min_lines, gram), "line-prints")
+    # joins on a new key: both sides are exchanged, and adaptive execution can split a very common line or run
+    twice = prints.groupBy("print").count().where("count > 1").select(F.xxhash64("print").alias("at"), F.col("print").alias("p"))
+    runs = prints.withColumn("at", F.xxhash64("print")).join(twice, "at").where("print = p").select(
+        "print", "id", "version", F.posexplode("runs").alias("place", "run"), "first") \
+        .select("run", "print", "id", "version", (F.col("first") + F.col("place")).alias("line"))
     runs = stored(runs, "line-runs")
     place = F.struct("id", "version", "line")
     firsts = runs.groupBy("run", "print").agg(F.min(place).alias("earliest"), F.count("*").alias("n")) \
         .where("n > 1").select(F.xxhash64("run", "print").alias("same"), F.col("run").alias("r"),
                                F.col("print").alias("p"), "earliest")
-    # one new key: both sides are exchanged, and adaptive execution can split a run of very many copies
     later = runs.withColumn("same", F.xxhash64("run", "print")).join(firsts, "same") \
         .where((F.col("run") == F.col("r")) & (F.col("print") == F.col("p")) & (place != F.col("earliest")))
     return later.groupBy("id", "version").agg(F.collect_set("line").alias("starts"))
