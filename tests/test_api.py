@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import glob
 import json
 import tempfile
@@ -25,7 +26,7 @@ def test_facade_over_flat_input(spark):
 
 def test_facade_over_nested_input(spark):
     m = testdata.load(spark, SF_SMALL)
-    n = nested.to_nested_sessions(m.raw_sessions(), m.hits(with_sequence=True))
+    n = nested.to_nested_sessions(m.raw_sessions(), m.hits(), bucket=F.hour("ts"), order=testdata.SEQUENCE_ORDER)
     fa = FunnelAnalysis.from_nested(n)
     assert fa.totals().first().total_sessions == 397
     with pytest.raises(ValueError):
@@ -54,7 +55,7 @@ def test_cli_flat_csv(spark, tmp_path):
 
 def test_cli_nested(spark):
     m = testdata.load(spark, SF_SMALL)
-    n = nested.to_nested_sessions(m.raw_sessions(), m.hits(with_sequence=True))
+    n = nested.to_nested_sessions(m.raw_sessions(), m.hits(), bucket=F.hour("ts"), order=testdata.SEQUENCE_ORDER)
     src = tempfile.mkdtemp(prefix="nested-src-") + "/ga"
     n.write.partitionBy("date").parquet(src)
     out = tempfile.mkdtemp(prefix="cli-nested-")

@@ -143,7 +143,7 @@ def test_batch_releases_its_scratch_tables(spark, raw_dir):
     before = scratch_dirs()
     s = files.read_raw_sessions(spark, f"{raw_dir}/sessions.csv")
     h = files.read_raw_hits(spark, f"{raw_dir}/hits.csv")
-    run_batch(spark, s, h, tempfile.mkdtemp(prefix="batch-"))
+    run_batch(spark, s, h, tempfile.mkdtemp(prefix="batch-"), copy_inputs=True)
     dirs = scratch_dirs() - before
     assert len(dirs) == 3                     # raw sessions, raw hits, metric cube
     rows = {os.path.basename(d): spark.read.parquet(d).count() for d in dirs}
