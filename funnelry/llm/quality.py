@@ -29,7 +29,6 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import rolling
 from .tasks import small_batches
 
 PER_CLASS, SAMPLE_CHARS = 2000, 16_384
