@@ -12,9 +12,10 @@ At similarity 0.8 a pair misses all 38 bands of 5 rows with probability 3e-7, at
 
 No bucket is expanded into pairs. Equal sets are one class first. Then each
 class of a bucket is compared with the bucket's smallest one, and the links
-that hold give components. Only classes of one bucket that are then still in
-different components are compared with one another, so no link between
-different components is lost.
+that hold give components. Of the classes whose bucket then still holds several
+components, those in different components meet by an exact prefix and position
+filter over their rarest shingles and are confirmed too, so no link between
+components is lost.
 
 Defined cases: null and empty texts have no shingles and no links; fewer words
 than ``words`` are one shingle; a null doc_id is the largest (a component of such
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling
@@ -138,6 +139,48 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return rows.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def _across(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of members in different components that can be similar enough.
+
+    Prefix filter: with any one order of all shingles, two sets of similarity p
+    and sizes n >= m share one of the first n - ceil(p * n) + 1 of the larger and
+    the first m - ceil(2p / (1 + p) * m) + 1 of the smaller, and from the first
+    shared one on both have as many left as their overlap needs. Rare shingles
+    come first, so a passage that very many members share pairs nobody unless
+    it is nearly all they have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rolling.text_slices(batch, "text"):
+                sets = shingle_sets(part.column("text"), words)
+                cuts = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                shingles = pa.ListArray.from_arrays(cuts, pa.array(rolling.signed(np.concatenate(sets))))
+                yield pa.RecordBatch.from_arrays([*part.select(["node", "n", "root"]).columns, shingles],
+                                                 names=["node", "n", "root", "shingles"])
+
+    kind = "struct<id:bigint,version:bigint>"
+    sets = stored(members.select("node", "n", "root", "text").mapInArrow(
+        run, f"node {kind}, n long, root {kind}, shingles array<long>"), "sets")
+    rows = sets.select("node", "n", "root", F.explode("shingles").alias("shingle"))
+    common = rows.groupBy("shingle").count().where("count > 1") \
+        .select(F.xxhash64("shingle").alias("at"), F.col("shingle").alias("s"), F.col("count").alias("times"))
+    rows = rows.withColumn("at", F.xxhash64("shingle")).join(common, "at", "left").where("s IS NULL OR s = shingle")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("times", F.lit(1)), "shingle"))
+    up = lambda part, whole: F.floor((part + whole - 1) / whole)
+    first = rows.withColumn("place", place).where(
+        F.col("times").isNotNull() & (F.col("place") <= F.col("n") - up(F.col("n") * percent, 100) + 1))
+    first = stored(first.select("shingle", "node", "n", "root", "place"), "prefixes")
+    small = first.where(F.col("place") <= F.col("n") - up(2 * percent * F.col("n"), 100 + percent) + 1).select(
+        "shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"),
+        F.col("place").alias("at"))
+    needed = up(percent * (F.col("n") + F.col("m")), 100 + percent)
+    left = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
+    return first.join(small, "shingle").where(
+        (F.col("root") != F.col("other_root")) & (F.col("m") <= F.col("n")) & _close_in_size(percent) & (left >= needed)) \
+        .select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
                     percent: int = PERCENT) -> DataFrame:
     """One row per document: key, version (hash of its text), n_shingles, component_id (the
@@ -157,8 +200,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         .select(F.xxhash64("band").alias("at"), F.col("band").alias("b"), "pivot")
     buckets = stored(rows_of_bands.withColumn("at", F.xxhash64("band")).join(shared, "at").where("band = b")
                      .select("band", "node", "n", "pivot"), "buckets")
-    wanted = buckets.select("node").distinct().select("node.id", "node.version")
-    texts = stored(rows.join(wanted, ["id", "version"]).select(node.alias("node"), "text"), "texts")
+    wanted = buckets.select("node.id", "node.version")
+    texts = stored(rows.join(wanted, ["id", "version"], "left_semi").select(node.alias("node"), "text"), "texts")
 
     stars = stored(buckets.select(F.col("node").alias("u"), F.col("pivot.node").alias("v"), "n",
                                   F.col("pivot.n").alias("m"))
@@ -170,14 +213,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     open_bands = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
         .where("low <> high").select(F.xxhash64("band").alias("at"), F.col("band").alias("b"))
     apart = placed.withColumn("at", F.xxhash64("band")).join(open_bands, "at").where("band = b") \
-        .select("band", "node", "n", "root")
-    others = apart.select("band", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-    rest = apart.join(others, "band").where((F.col("root") > F.col("other_root")) & _close_in_size(percent)) \
-        .select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-    rest = rest.join(stars, ["u", "v"], "left_anti")  # these were found too different
+        .select("node", "n", "root").distinct()
+    rest = _across(apart.join(texts, "node"), words, percent)
     more = stored(_confirmed(rest, texts, words, percent), "links")
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
+    if more.limit(1).count():  # few: they join components, so only roots are linked anew
+        own = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        joined = more.join(own("u"), "u", "left").join(own("v"), "v", "left").select(
+            F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+        anew = components(joined).withColumnRenamed("root", "top")
+        moved = roots.join(anew.select(F.col("node").alias("root"), "top"), "root", "left") \
+            .select("node", F.coalesce("top", "root").alias("root"))
+        roots = moved.unionByName(anew.select("node", F.col("top").alias("root")))
 
     found = classes.select(F.xxhash64("set_a", "set_b", "n").alias("at"), F.col("set_a").alias("a"),
                            F.col("set_b").alias("b"), F.col("n").alias("size"), "node") \
