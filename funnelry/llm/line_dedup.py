@@ -8,6 +8,11 @@ match is extended both ways over all runs of ``min_lines`` lines that contain it
 A run that also starts earlier, by (doc_id, line), is a later repeat: each of its
 lines is deleted. Longer repeats are unions of such runs.
 
+With ``passage_bytes`` a single line of at least so many bytes is a run too, whatever
+its neighbours, by the same fingerprints, join and first place; the floor spares
+short stock lines. Without it (the default, and the rule of op1's SQL) a repeated
+line between other neighbours stays.
+
 No pairs are made: equal runs find their first place by a minimum that is
 combined before the shuffle, whatever the number of copies.
 
@@ -54,9 +59,10 @@ _PRINTS = pa.schema([("print", pa.int64()), ("id", pa.int64()), ("version", pa.i
 _KEPT = pa.schema([("kept", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64())])
 
 
-def _fingerprints(rows: DataFrame, min_lines: int, gram: int) -> DataFrame:
+def _fingerprints(rows: DataFrame, min_lines: int, gram: int, floor: int = 0) -> DataFrame:
     """A row per fingerprint: its hash, its document, and the hashes of the runs that
-    contain it (those of which it is the window minimum), the first from line ``first``."""
+    contain it (those of which it is the window minimum), the first from line ``first``.
+    With ``floor``, for runs of one line: those of at least so many bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,6 +72,9 @@ def _fingerprints(rows: DataFrame, min_lines: int, gram: int) -> DataFrame:
                 lines = rolling.span_hashes(data, starts, ends)
                 ids, versions = (part.column(c).to_numpy() for c in ("id", "version"))
                 for runs, anchors in rolling.window_anchors(lines, own, gram, min_lines):
+                    if floor:
+                        long = (ends - starts)[runs] >= floor
+                        runs, anchors = runs[long], anchors[long]
                     hashes = rolling.signed(rolling.hash_at(lines, runs, min_lines, rolling.WINDOW_BASE))
                     # runs of one fingerprint in one document are neighbours
                     new = np.flatnonzero(np.diff(anchors, prepend=-1))
@@ -79,10 +88,11 @@ def _fingerprints(rows: DataFrame, min_lines: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "print long, id long, version long, first int, runs array<long>")
 
 
-def later_runs(docs: DataFrame, key: str, text: str, min_lines: int = MIN_LINES, gram: int = GRAM) -> DataFrame:
+def later_runs(docs: DataFrame, key: str, text: str, min_lines: int = MIN_LINES, gram: int = GRAM,
+               floor: int = 0) -> DataFrame:
     """(id, version, starts): the lines from which a later repeat of ``min_lines`` lines starts."""
     rows = docs.select(*row_key(F.col(key), F.col(text)), F.col(text).alias("text"))
-    prints = stored(_fingerprints(rows, min_lines, gram), "line-prints")
+    prints = stored(_fingerprints(rows, min_lines, gram, floor), "line-prints")
     # joins on a new key: both sides are exchanged, and adaptive execution can split a very common line or run
     twice = prints.groupBy("print").count().where("count > 1").select(F.xxhash64("print").alias("at"), F.col("print").alias("p"))
     runs = prints.withColumn("at", F.xxhash64("print")).join(twice, "at").where("print = p").select(
@@ -99,15 +109,20 @@ def later_runs(docs: DataFrame, key: str, text: str, min_lines: int = MIN_LINES,
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES,
-                gram: int = GRAM) -> DataFrame:
+                gram: int = GRAM, passage_bytes: int | None = None) -> DataFrame:
     """The rows with ``text`` rid of later repeats, and n_lines (not blank), n_removed
     and n_runs (maximal stretches of removed lines)."""
     small_batches(docs.sparkSession)
     found = later_runs(docs, key, text, min_lines, gram)
+    if passage_bytes is None:
+        found = found.withColumn("alone", F.lit(None).cast("array<int>"))
+    else:
+        alone = later_runs(docs, key, text, 1, 1, max(1, passage_bytes)).withColumnRenamed("starts", "alone")
+        found = found.join(alone, ["id", "version"], "full")
     rest = [c for c in docs.columns if c not in (text, "n_lines", "n_removed", "n_runs")]
     others = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("others") if rest else F.lit(None).alias("others")
     rows = docs.select(*row_key(F.col(key), F.col(text)), F.col(text).alias("text"), others) \
-        .join(found, ["id", "version"], "left").select("others", "text", "starts")
+        .join(found, ["id", "version"], "left").select("others", "text", "starts", "alone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,14 +130,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_li
                 data, bounds = rolling.utf8_bytes(part.column("text"))
                 begin, end, own = _lines(data, bounds)
                 kept, counts = [], []
-                for i, (text_, starts) in enumerate(zip(part.column("text"), part.column("starts"))):
+                for i, (text_, *places) in enumerate(zip(*map(part.column, ("text", "starts", "alone")))):
                     n = int(own[i + 1] - own[i])
-                    starts = starts.as_py()
-                    if not starts:
+                    starts, alone = (np.array(p.as_py() or [], np.int64) for p in places)
+                    if not len(starts) + len(alone):
                         kept.append(text_.as_py())
                         counts.append((n, 0, 0))
                         continue
-                    gone = rolling.covered(np.array(starts), min_lines, n)
+                    gone = rolling.covered(starts, min_lines, n) | rolling.covered(alone, 1, n)
                     drop = {int(np.searchsorted(breaks, b)) for breaks in [
                         np.flatnonzero(data[bounds[i]:bounds[i + 1]] == 10) + bounds[i]]
                         for b in begin[own[i]:own[i + 1]][gone]}

@@ -57,6 +57,19 @@ def test_line_dedup_order_of_nulls_repeats_and_clashing_columns(spark):
     assert got == sorted([(None, "x\na\nb", 3, 0), (5, "c", 3, 2), (5, "c", 3, 2), (7, "\nd", 3, 2), (8, None, 0, 0)], key=str)
 
 
+def test_line_dedup_passage_in_one_line(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a\n{passage}\nb"), (2, f"c\n {passage} \nd\ncookies"), (3, passage), (4, "cookies\nx\na\nb"), (5, "y\na\nb"),
+            (6, f"e\n{passage}\n\n{passage}\nf")]
+    run = lambda **kw: {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in line_dedup.dedup_lines(
+        spark.createDataFrame(rows, "doc_id long, text string"), **kw).collect()}
+    assert run(passage_bytes=200) == {
+        1: (f"a\n{passage}\nb", 0, 0), 2: ("c\nd\ncookies", 1, 1), 3: ("", 1, 1), 4: ("cookies\nx\na\nb", 0, 0), 5: ("y", 2, 1),
+        6: ("e\n\nf", 2, 1)}
+    assert run(passage_bytes=len(passage) + 1) == run()
+    assert {k: v[0] for k, v in run().items()} == {**dict(rows), 5: "y"}
+
+
 @pytest.mark.parametrize("hot, chunk", [(repeats.HOT, 8 << 20), (2, 700), (5, 4000)])
 def test_substring_dedup_matches_brute_force(spark, hot, chunk):
     rows = corpus(4) + [(None, "p q " * 30), (3, "one")]
