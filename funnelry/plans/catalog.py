@@ -76,6 +76,14 @@ def q_quality_report_customers(spark, sf):
     return cleaning.quality_report(events, customers.where(F.col("c_nationkey") % 2 == 0))
 
 
+@query("quality_report_orders")
+def q_quality_report_orders(spark, sf):
+    """The report where its checks find something, over whole tables: orders as sessions
+    by their customer (ids repeat), events as hits (some customers have none)."""
+    orders, (_, events) = testdata.table(spark, sf, "orders"), _sparse_sessions(spark, sf)
+    return cleaning.quality_report(orders.select(F.col("o_custkey").cast("string").alias("session_id")), events)
+
+
 @query("clean_sessions")
 def q_clean_sessions(spark, sf):
     return _sessions(spark, sf)

@@ -211,6 +211,11 @@ SELECT (SELECT count(*) FROM events) AS sessions, (SELECT count(*) FROM customer
   (SELECT count(*) - count(DISTINCT user_id) FROM events) AS duplicate_session_ids,
   (SELECT count(*) FROM events e WHERE NOT EXISTS (
      SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id AND c.c_nationkey % 2 = 0)) AS sessions_without_hits""",
+    "quality_report_orders": """
+SELECT (SELECT count(*) FROM orders) AS sessions, (SELECT count(*) FROM events) AS hits,
+  (SELECT count(*) - count(DISTINCT o_custkey) FROM orders) AS duplicate_session_ids,
+  (SELECT count(*) FROM orders o WHERE NOT EXISTS (
+     SELECT 1 FROM events e WHERE e.user_id = o.o_custkey)) AS sessions_without_hits""",
     "clean_sessions": "SELECT * FROM sessions",
     "clean_sessions_joined": "SELECT * FROM sessions",
     "customers_without_events": """

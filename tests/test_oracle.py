@@ -50,3 +50,10 @@ def test_query_matches_oracle(spark, duck, name):
     cols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(cols)
     assert rows_of(df.columns, rows) == rows_of(cols, cur.fetchall())
+
+
+def test_quality_report_orders_finds_something_over_whole_tables(spark, duck):
+    r = entry.queries()["quality_report_orders"](spark, SF_SMALL).first()
+    count = lambda t: duck.execute(f"SELECT count(*) FROM {t}").fetchone()[0]
+    assert (r.sessions, r.hits) == (count("orders"), count("events"))
+    assert r.duplicate_session_ids > 0 and r.sessions_without_hits > 0
