@@ -88,6 +88,29 @@ def test_suffix_dedup_matches_brute_force(spark, hot, chunk):
         assert got == sorted(((k, *v) for (k, _), v in zip(rows, brute.drop_later_copies(rows, length))), key=str)
 
 
+def test_suffix_dedup_compares_bytes_of_strings_that_hash_alike(monkeypatch):
+    """With one hash for all spans, bytes alone tell strings apart."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(rolling, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(suffix_dedup, "COMPARED", 40)
+    length, k = 11, 4
+    rows = [(i, t) for i, t in corpus(5) if t]
+    chunks = [pa.table({"chunk": pa.array([c] * len(rows[c::2]), pa.int64()), "id": [i for i, _ in rows[c::2]],
+                        "version": [0] * len(rows[c::2]), "text": [t for _, t in rows[c::2]]}) for c in (0, 1)]
+    seeds = np.unique(np.concatenate([repeats.anchor_runs(
+        *suffix_dedup._byte_units(*repeats.texts_of(c)), k, length)[0] for c in chunks]))
+    shared = pa.table({"seeds": [repeats.packed_seeds(seeds)], "hot": [repeats.blob(np.zeros(len(seeds)), "u1")]})
+    sent = pa.concat_tables(suffix_dedup._sender(1, length, k)(c, shared) for c in chunks)
+    hits = suffix_dedup._sorter(length)(sent)
+    got = {}
+    for i, chunk in enumerate(chunks):
+        own = hits.filter(pa.compute.equal(hits.column("chunk"), i))
+        for r in suffix_dedup._cutter(length)(chunk, own).to_pylist():
+            got[r["id"]] = (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"])
+    assert got == {i: v for (i, _), v in zip(rows, brute.drop_later_copies(rows, length))}
+
+
 def test_deep_shallow_groups_are_the_equal_windows():
     rnd = np.random.default_rng(1)
     data = np.concatenate([rnd.integers(97, 99, 300), np.full(200, 97), np.tile(rnd.integers(97, 100, 30), 6)]).astype(np.uint8)
