@@ -1,13 +1,13 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by counting windows in reference blocks.
 
 A reference block holds, for its share of the corpus' seeds (see ``repeats``), every
 string around them from every document, the document itself included, and
-indexes their windows of ``length`` words. Each document is parsed against all
-blocks that could hold a match of its words: in every block the windows that
-the index knows from elsewhere too are marked, and the document's greedy factors
-are the maximal chains of marked windows. A factor of at least ``length`` words is a
-duplicate span. At a factor's boundary the windows that reach beyond it are
-looked up on their own, so no duplicate is lost where two factors meet.
+counts their windows of ``length`` words by hash. A window that occurs twice is
+marked in every document, and a document's factors are the maximal chains of
+marked windows: the duplicate spans. This is no relative Lempel-Ziv parse: no
+reference position is kept or followed. The rule asks of each window only whether
+it starts anywhere else; the count judges every window, so none is lost where two
+spans meet and nothing has to be looked up at their boundaries.
 
 Rule: a word goes if a window of ``length`` words that covers it also starts
 anywhere else. Windows are judged on the input. Two windows are equal if 112 bits
@@ -38,7 +38,7 @@ def _words(data: np.ndarray, bounds: np.ndarray):
 
 
 def factors(marked: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """The greedy factors (first word, past the last) of sorted places of marked windows."""
+    """The maximal chains (first word, past the last) of sorted places of marked windows."""
     if not len(marked):
         return []
     heads = np.flatnonzero(np.diff(marked, prepend=marked[0] - 2) > 1)
