@@ -219,20 +219,25 @@ class Packer:
 
 
 _OUT = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
-                  ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+                  ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("n_loss", pa.int64()),
+                  ("ids", pa.binary())])
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", tokens: int = TOKENS,
                    segments: int = SEGMENTS, loss_tokens: int = TOKENS, end_id: int = END_ID,
-                   with_ids: bool = True) -> DataFrame:
+                   with_ids: bool = True, prompt: str | None = None) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset
     and, unless ``with_ids`` is off, the ids (little-endian 32-bit).
 
     ``tokenizer`` is the path of a tokenizer file that every executor has. All
-    tokens of a document bear loss.
+    tokens of a document bear loss. With ``prompt``, the name of a column, an
+    example is the tokens of its prompt, without loss, then those of its text and
+    the end token, with loss; ``n_loss`` follows ``offset`` then and tells how many
+    tokens of the piece, its last ones, bear loss. A null prompt has no tokens.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"),
+                       *([F.col(prompt).alias("prompt")] if prompt else []))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,14 +249,21 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
 
         def batch_of(pieces: list) -> pa.RecordBatch:
             keys, starts, ids, totals, sequences, offsets = zip(*pieces)
+            keys, losses = zip(*keys)
+            # tokens with loss are the example's last
+            n_loss = [max(0, min(len(x) // 4, s + len(x) // 4 - (t - n))) for s, x, t, n in zip(starts, ids, totals, losses)]
             return record_batch(_OUT, keys, starts, [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], totals,
-                                [first + s for s in sequences], offsets, ids if with_ids else [None] * len(ids))
+                                [first + s for s in sequences], offsets, n_loss, ids if with_ids else [None] * len(ids))
 
         for batch in batches:
-            for part in rolling.text_slices(batch, "text", 1 << 20):
-                texts = pc.fill_null(part.column("text"), "").to_pylist()
-                pieces = packer.put([(k, ids + end, len(ids) // 4 + 1)
-                                     for k, ids in zip(part.column("key").to_pylist(), tokenize(texts))])
+            parts = rolling.text_slices(batch, "text", 1 << 20)
+            if prompt:
+                parts = (small for part in parts for small in rolling.text_slices(part, "prompt", 1 << 20))
+            for part in parts:
+                ids = tokenize(pc.fill_null(part.column("text"), "").to_pylist())
+                heads = tokenize(pc.fill_null(part.column("prompt"), "").to_pylist()) if prompt else [b""] * len(ids)
+                pieces = packer.put([((k, len(own) // 4 + 1), head + own + end, len(own) // 4 + 1)
+                                     for k, head, own in zip(part.column("key").to_pylist(), heads, ids)])
                 if pieces:
                     yield batch_of(pieces)
         pieces = packer.finish()
@@ -259,6 +271,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
             yield batch_of(pieces)
 
     packed = rows.mapInArrow(pack, "key long, start long, length long, ids_crc32 long, doc_tokens long, "
-                                   "sequence_id long, offset long, ids binary")
-    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+                                   "sequence_id long, offset long, n_loss long, ids binary")
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["n_loss"] * bool(prompt) + ["ids"] * with_ids
     return packed.select(F.col("key").alias(key), *names)

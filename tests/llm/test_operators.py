@@ -197,6 +197,24 @@ def test_packing_is_exact_and_tight(spark):
     assert packing.pack_documents(frame.limit(0), TOKENIZER).collect() == []
 
 
+def test_packing_of_prompts_without_loss(spark):
+    rnd = random.Random(9)
+    said = lambda n: " ".join(rnd.choice(["the", "cat", "sat", "quick", "fox"]) for _ in range(n))
+    rows = [(i, said(rnd.randint(0, 60)), said(rnd.randint(0, 40))) for i in range(80)] + [(80, None, "x"), (81, "x", None), (82, said(300), said(300))]
+    frame = spark.createDataFrame(rows, "doc_id long, ask string, text string").repartition(2)
+    ids = {i: np.concatenate([whole_ids(p)[:-1], whole_ids(t)]) for i, p, t in rows}
+    free = {i: len(whole_ids(p)) - 1 for i, p, _ in rows}
+    pieces = packing.pack_documents(frame, TOKENIZER, tokens=64, loss_tokens=20, prompt="ask").collect()
+    _, sequences = check_packing(pieces, ids, 64)
+    loss = {}
+    for p in pieces:
+        assert p.n_loss == max(0, p.start + p.length - max(p.start, free[p.doc_id]))
+        loss[p.sequence_id] = loss.get(p.sequence_id, 0) + p.n_loss
+    assert max(loss.values()) == 20 and sum(loss.values()) == sum(len(ids[i]) - free[i] for i in ids)
+    assert max(sum(n for _, n in s) for s in sequences.values()) > 20
+    assert "n_loss" not in packing.pack_documents(frame, TOKENIZER).columns
+
+
 def test_packer_holds_every_limit():
     rnd = random.Random(3)
     packer = packing.Packer(tokens=100, segments=4, loss=60, pending=20)
