@@ -7,8 +7,9 @@ calibration to a score from 0 to 1, higher where label 1 is likelier.
 
 The dictionaries come from one part of a bounded sample of labelled rows, the
 calibration from another. The bounds are parameters: ``per_class`` documents of
-each label for either part, ``sample_chars`` characters of each. Scoring reads
-every text whole.
+each label for either part, ``sample_chars`` characters of each for the
+dictionaries. The calibration measures its texts whole, in tasks, as scoring does;
+only their sizes come to the driver. Of rows that share a sampled id one counts.
 
 Defined cases: null and empty texts get a score like any other (all sizes 0);
 labels that contradict each other for one id, null labels and null ids teach
@@ -63,7 +64,8 @@ def _chunks(data: bytes) -> list[bytes]:
     return [data[i:i + CHUNK] for i in range(0, len(data), CHUNK)]
 
 
-def features(texts: list[bytes], good, bad) -> np.ndarray:
+def sizes(texts: list[bytes], good, bad) -> np.ndarray:
+    """Of each text the bytes by either dictionary, and those it has."""
     rows = np.empty((len(texts), 3))
     for i, text in enumerate(texts):
         a = b = 0
@@ -71,6 +73,10 @@ def features(texts: list[bytes], good, bad) -> np.ndarray:
             a += len(good(chunk))
             b += len(bad(chunk))
         rows[i] = a, b, len(text)
+    return rows
+
+
+def features(rows: np.ndarray) -> np.ndarray:
     a, b, size = rows.T
     difference = (b - a) / np.maximum(a + b, 1)
     ratio = np.log((a + 5) / (size + 20))
@@ -101,12 +107,8 @@ def _training_text(texts: list[str]) -> list[list[bytes]]:
     return [_chunks(text.encode()) for text in own]
 
 
-def train(teach: list[tuple[str, int]], calibrate: list[tuple[str, int]]) -> Model:
-    """A model from two lists of (text, label)."""
-    labels = {label for _, label in teach} & {label for _, label in calibrate}
-    if labels != {0, 1}:
-        known = [label for _, label in teach + calibrate]
-        return Model(constant=float(np.mean(known)) if known else 0.5)
+def dictionaries(teach: list[tuple[str, int]]) -> tuple[bytes, bytes, bool]:
+    """Those of good and of bad text, from (text, label) of both labels, and whether they are raw text."""
     chunks = _training_text([text for text, _ in teach])
     parts = {label: [c for (_, known), own in zip(teach, chunks) if known == label for c in own] for label in (0, 1)}
     raw = False
@@ -115,9 +117,14 @@ def train(teach: list[tuple[str, int]], calibrate: list[tuple[str, int]]) -> Mod
     except zstandard.ZstdError:  # too little text to choose from: the text itself is the dictionary
         raw = True
         good, bad = (b"\n".join(parts[label])[-DICTIONARY_BYTES:].ljust(8) for label in (1, 0))
-    x = features([text.encode() for text, _ in calibrate], _compressor(good, raw), _compressor(bad, raw))
+    return good, bad, raw
+
+
+def calibrated(good: bytes, bad: bytes, raw: bool, rows: np.ndarray, labels: list[int]) -> Model:
+    """The model of the dictionaries, from the sizes of texts and their labels."""
+    x = features(rows)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-    weights = _logistic((x - mean) / scale, np.array([label for _, label in calibrate], float))
+    weights = _logistic((x - mean) / scale, np.array(labels, float))
     return Model(0.5, good, bad, raw, tuple(mean), tuple(scale), tuple(weights))
 
 
@@ -137,17 +144,40 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for value in (0, 1):
         part = known.where(F.col("label") == value).select("id", "label").orderBy(order, "id").limit(2 * per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(key).alias("id"), F.substring(F.coalesce(text, F.lit("")), 1, sample_chars).alias("text")) \
-        .join(F.broadcast(chosen), "id").select("id", "text", "label")
-    sample = sorted((r.id, r.text, r.label) for r in rows.collect())  # at most 4 * per_class ids
-    split = np.random.default_rng(5).permutation(len(sample))
+    present = docs.select(F.col(key).alias("id")).join(F.broadcast(chosen), "id").select("id", "label").distinct()
+    sample = sorted(map(tuple, present.collect()))  # at most 4 * per_class
     parts = ([], [])
     seen = {0: 0, 1: 0}
-    for i in split:  # each label goes half to either part
-        _, said, value = sample[i]
-        parts[seen[value] % 2].append((said, value))
+    for i in np.random.default_rng(5).permutation(len(sample)):  # each label goes half to either part
+        value = sample[i][1]
+        parts[seen[value] % 2].append(sample[i])
         seen[value] += 1
-    return train(*parts)
+    if any({value for _, value in part} != {0, 1} for part in parts):
+        return Model(constant=float(np.mean([value for _, value in sample])) if sample else 0.5)
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    teach, calibrate = (texts.join(F.broadcast(docs.sparkSession.createDataFrame(part, present.schema)), "id")
+                        for part in parts)
+    # one row of an id, that with the smallest hash, is what counts and is collected
+    first = F.min_by(F.substring("text", 1, sample_chars), F.xxhash64("text")).alias("text")
+    taught = sorted((r.id, r.text, r.label) for r in teach.groupBy("id", "label").agg(first).collect())
+    good, bad, raw = dictionaries([(said, value) for _, said, value in taught])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = _compressor(good, raw), _compressor(bad, raw)
+        for batch in batches:
+            if batch.num_rows:
+                rows = sizes(batch.column(3).cast(pa.large_binary()).to_pylist(), *by).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, rows.T)],
+                                                 names=["id", "label", "version", "a", "b", "size"])
+
+    kind = present.schema["id"].dataType.simpleString()
+    measured = calibrate.select("id", "label", F.xxhash64("text").alias("version"), "text") \
+        .mapInArrow(measure, f"id {kind}, label int, version long, a long, b long, size long") \
+        .groupBy("id", "label").agg(F.min(F.struct("version", "a", "b", "size")).alias("least")) \
+        .select("id", "label", "least.a", "least.b", "least.size")
+    rows = sorted(map(tuple, measured.collect()))
+    return calibrated(good, bad, raw, np.array([r[2:] for r in rows], float), [r[1] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None,
@@ -167,7 +197,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 continue
             if model.good:
                 said = batch.column(len(keep)).cast(pa.large_binary()).to_pylist()
-                x = (features(said, good, bad) - mean) / scale
+                x = (features(sizes(said, good, bad)) - mean) / scale
                 scores = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
             else:
                 scores = np.full(batch.num_rows, model.constant)

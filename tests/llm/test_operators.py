@@ -154,6 +154,17 @@ def test_quality_never_learns_from_held_out_labels_and_survives_few(spark):
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
 
 
+def test_quality_calibrates_on_whole_texts_and_one_row_of_an_id(spark):
+    rows = labelled(120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = docs.select("doc_id", "quality")
+    whole, cut = (quality.fit(docs, labels, sample_chars=n) for n in (10_000, 30))
+    longest = np.log(max(len(t) for _, t, _ in rows) + 20)
+    assert cut.mean[3] == whole.mean[3] > np.log(30 + 20)  # the length's logarithm, of the same texts
+    assert whole.mean[3] < longest
+    assert quality.fit(docs.unionAll(docs).unionAll(docs), labels) == quality.fit(docs, labels)
+
+
 # --- packing ----------------------------------------------------------------------
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
