@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, topk_search, url_filter
+from . import (chat_format, decontaminate, line_dedup, near_dedup, packing, prefix_trie, quality, substring_dedup, suffix_dedup,
+               topk_search, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -240,3 +241,56 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """)
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def _crc_case(ids: str) -> str:
+    """crc32(decimal id) mod 4 in DuckDB SQL, bit by bit over the digits (it has no crc32)."""
+    return f"""
+  SELECT id, xor(crc, 4294967295) % 4 AS h FROM (
+    SELECT id, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+                           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[]),
+                                                         lambda x, i: xor(x >> 1, (x % 2) * 3988292384::UBIGINT))) AS crc
+    FROM ({ids}))"""
+
+
+@query("op13_prefix_trie", rf"""
+WITH said AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT id AS conv_id, h FROM ({_crc_case('SELECT DISTINCT conv_id AS id FROM said')})
+), rebuilt AS (
+  SELECT c.conv_id, s.place, s.role, s.text FROM convs c JOIN said s ON s.conv_id = c.conv_id - c.conv_id % 20 AND s.place <= c.h
+  UNION ALL
+  SELECT c.conv_id, s.place, s.role, s.text FROM convs c JOIN said s ON s.conv_id = c.conv_id AND s.place > c.h
+), chains AS (
+  SELECT conv_id, list(sha256(role || chr(10) || text) ORDER BY place) AS chain,
+         list(len(regexp_extract_all(text, '[^ 	-]+')) ORDER BY place) AS words
+  FROM rebuilt GROUP BY conv_id
+), whole AS (
+  SELECT c.conv_id, coalesce(chain, []) AS chain, coalesce(words, []) AS words FROM convs c LEFT JOIN chains x ON x.conv_id = c.conv_id
+), members AS (
+  SELECT conv_id, d AS depth, array_to_string(chain[1:d], '') AS node, array_to_string(chain[1:d - 1], '') AS parent,
+         CASE WHEN d = 0 THEN 0 ELSE words[d] END AS words, len(chain) = d AS ends
+  FROM (SELECT *, unnest(range(0, len(chain) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY node, depth
+), children AS (
+  SELECT parent AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent
+), below AS (
+  SELECT node[1:64 * d] AS node, sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM (SELECT n.node, n.n_convs, n.words, c.n IS NULL AS leaf, unnest(range(0, n.depth + 1)) AS d
+        FROM nodes n LEFT JOIN children c ON c.node = n.node)
+  GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, b.n_leaves::BIGINT AS n_leaves,
+       b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.parent LEFT JOIN children c ON c.node = n.node JOIN below b ON b.node = n.node
+""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), base_of=lambda c: c - c % 20,
+                                    head_of=lambda c: F.crc32(c.cast("string")) % 4)
+    return found.drop("turn_source", "turn_place")
