@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, line_dedup, near_dedup, packing, prefix_trie, quality, substring_dedup, suffix_dedup,
-               topk_search, url_filter)
+from . import (chat_format, decontaminate, lexical_search, line_dedup, near_dedup, packing, prefix_trie, quality, substring_dedup,
+               suffix_dedup, topk_search, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -266,7 +266,8 @@ WITH said AS (
   SELECT c.conv_id, s.place, s.role, s.text FROM convs c JOIN said s ON s.conv_id = c.conv_id AND s.place > c.h
 ), chains AS (
   SELECT conv_id, list(sha256(role || chr(10) || text) ORDER BY place) AS chain,
-         list(len(regexp_extract_all(text, '[^ 	-]+')) ORDER BY place) AS words
+         list(len(regexp_extract_all(text, '[^ 	-
+]+')) ORDER BY place) AS words
   FROM rebuilt GROUP BY conv_id
 ), whole AS (
   SELECT c.conv_id, coalesce(chain, []) AS chain, coalesce(words, []) AS words FROM convs c LEFT JOIN chains x ON x.conv_id = c.conv_id
@@ -294,3 +295,33 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), base_of=lambda c: c - c % 20,
                                     head_of=lambda c: F.crc32(c.cast("string")) % 4)
     return found.drop("turn_source", "turn_place")
+
+
+@query("op11_lexical_search", r"""
+WITH said AS (
+  SELECT doc_id, row_number() OVER () AS row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL
+), total AS (
+  SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM said WHERE len(w) > 0
+), times AS (
+  SELECT row, doc_id, term, count(*) AS tf, any_value(n) AS n
+  FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM said) WHERE term IN (SELECT term FROM asked) GROUP BY row, doc_id, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM times, total GROUP BY term
+), impacts AS (
+  SELECT row, doc_id, t.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS impact
+  FROM times t JOIN weights USING (term), total
+), scores AS (
+  SELECT item_id, row, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY item_id, row, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 50
+""")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
