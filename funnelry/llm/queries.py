@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, lexical_search, line_dedup, near_dedup, packing, prefix_trie, quality, substring_dedup,
-               suffix_dedup, topk_search, url_filter)
+from . import (chat_format, decontaminate, lexical_search, line_dedup, near_dedup, nearest, packing, prefix_trie, quality,
+               substring_dedup, suffix_dedup, topk_search, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -325,3 +325,8 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
 """)
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_nearest")
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
