@@ -39,8 +39,12 @@ def sum_micros(micros: str | Column) -> Column:
     return F.coalesce(F.sum(col_(micros)), F.lit(0).cast("long"))
 
 
-def parse_yyyymmdd(c: str | Column) -> Column:
-    return F.to_date(col_(c).cast("string"), "yyyyMMdd")
+def parse_yyyymmdd(c: str | Column, tolerant: bool = False) -> Column:
+    """The date of yyyyMMdd text. Text that is no date raises (under ANSI), or is NULL if ``tolerant``."""
+    text = col_(c).cast("string")
+    if not tolerant:
+        return F.to_date(text, "yyyyMMdd")
+    return F.when(text.rlike("^[0-9]{8}$"), F.try_to_date(text, "yyyyMMdd"))
 
 
 def clamp(c: str | Column, lo: float, hi: float) -> Column:

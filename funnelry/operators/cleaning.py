@@ -106,6 +106,15 @@ def session_rollup(hits: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
     return hits.groupBy(*keys).agg(*aggs)
 
 
+# --- E9: dates that may not parse ------------------------------------------------
+def tolerant_dates(sessions: DataFrame, date: str = "date") -> DataFrame:
+    """Raw sessions with ``date`` parsed, NULL where it is no date: the operators below take such
+    sessions as they are, and no row is lost and no job ends because of one cell."""
+    if dict(sessions.dtypes)[date] == "date":
+        return sessions
+    return sessions.withColumn(date, parse_yyyymmdd(date, tolerant=True))
+
+
 # --- M2: clean sessions -------------------------------------------------------
 def clean_sessions(sessions: DataFrame, hits: DataFrame | None = None,
                    spec: FunnelSpec = DEFAULT_SPEC) -> DataFrame:
@@ -227,23 +236,30 @@ def dedupe_sessions(sessions: DataFrame, key: str = "session_id",
 
 
 # --- M1: data quality report --------------------------------------------------
-def quality_report(sessions: DataFrame, hits: DataFrame) -> DataFrame:
-    """sessions, hits, duplicate_session_ids, sessions_without_hits in one row.
+def quality_report(sessions: DataFrame, hits: DataFrame, date: str | None = None) -> DataFrame:
+    """sessions, hits, duplicate_session_ids, sessions_without_hits in one row; with ``date``, a column of
+    yyyyMMdd text, also bad_dates (text that is no date) and missing_dates (NULL).
 
     One shuffle: sessions and hits are tagged, unioned and grouped by
     session_id (partial aggregation first), then reduced to one row. Null ids
     group together, matching pandas ``duplicated`` / ``isin``.
     """
-    tagged = (sessions.select("session_id", F.lit(1).alias("_s"), F.lit(0).alias("_h"))
-              .unionByName(hits.select("session_id", F.lit(0).alias("_s"), F.lit(1).alias("_h"))))
-    per_key = tagged.groupBy("session_id").agg(F.sum("_s").alias("ns"), F.sum("_h").alias("nh"))
+    none = F.lit(0)
+    missing = F.col(date).isNull().cast("int") if date else none
+    bad = F.when(F.col(date).isNotNull() & parse_yyyymmdd(date, tolerant=True).isNull(), 1).otherwise(0) if date else none
+    tagged = (sessions.select("session_id", F.lit(1).alias("_s"), none.alias("_h"), bad.alias("_b"), missing.alias("_m"))
+              .unionByName(hits.select("session_id", none.alias("_s"), F.lit(1).alias("_h"), none.alias("_b"), none.alias("_m"))))
+    per_key = tagged.groupBy("session_id").agg(F.sum("_s").alias("ns"), F.sum("_h").alias("nh"),
+                                               *[F.sum(c).alias(c) for c in ("_b", "_m") if date])
     return per_key.agg(
         F.coalesce(F.sum("ns"), F.lit(0)).cast("long").alias("sessions"),
         F.coalesce(F.sum("nh"), F.lit(0)).cast("long").alias("hits"),
         F.coalesce(F.sum(F.greatest(F.col("ns") - 1, F.lit(0))), F.lit(0)).cast("long")
          .alias("duplicate_session_ids"),
         F.coalesce(F.sum(F.when(F.col("nh") == 0, F.col("ns"))), F.lit(0)).cast("long")
-         .alias("sessions_without_hits"))
+         .alias("sessions_without_hits"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+          for c, name in (("_b", "bad_dates"), ("_m", "missing_dates")) if date])
 
 
 # --- M7: action-code profile --------------------------------------------------

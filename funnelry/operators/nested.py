@@ -83,7 +83,8 @@ def flatten_nested(nested: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, date_from
     column; on a date-partitioned layout this prunes partitions. Records that
     share a ``record_id`` are one session: its fields come from one record
     whole, its flags are true if they are in any. All other records stay rows
-    of their own, whether ids repeat or not.
+    of their own, whether ids repeat or not: a plain projection, without any
+    shuffle and without a key of their own.
     """
     n = nested
     if date_from is not None or date_to is not None:
@@ -104,9 +105,10 @@ def flatten_nested(nested: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, date_from
     cols = ["session_id", "fullVisitorId", "date", "channel", "device", "country", "pageviews", *hit_flags,
             spec.purchase.flag, "revenue", "revenue_micros"]
     named = [c.alias(k) for k, c in fields.items()]
+    plain = n if RECORD not in nested.columns else n.where(F.col(RECORD).isNull())
+    alone = plain.select(*named, *exists_flags(n, spec)).select(*cols)
     if RECORD not in nested.columns:
-        return n.select(*named, *exists_flags(n, spec)).select(*cols)
-    own = F.coalesce(F.col(RECORD), F.concat(F.lit("?"), F.uuid())).alias(RECORD)
-    whole = n.select(own, F.struct(*named).alias("s"), *exists_flags(n, spec)).groupBy(RECORD).agg(
-        F.max("s").alias("s"), *[F.bool_or(f).alias(f) for f in hit_flags])
-    return whole.select(*[F.col(f"s.{k}").alias(k) for k in fields], *hit_flags).select(*cols)
+        return alone
+    whole = n.where(F.col(RECORD).isNotNull()).select(RECORD, F.struct(*named).alias("s"), *exists_flags(n, spec)) \
+        .groupBy(RECORD).agg(F.max("s").alias("s"), *[F.bool_or(f).alias(f) for f in hit_flags])
+    return alone.unionByName(whole.select(*[F.col(f"s.{k}").alias(k) for k in fields], *hit_flags).select(*cols))

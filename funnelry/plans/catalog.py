@@ -11,9 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..operators import cleaning, funnel, nested, reports, stats
-from ..sources import testdata
+from ..operators import cleaning, funnel, nested, reports, stage_table, stats
+from ..session import scratch_path
+from ..sinks import writers
+from ..sources import day_tables, files, rejects, testdata
 from ..spec import DEFAULT_SPEC
 from . import sql
 
@@ -70,10 +73,9 @@ def q_quality_report(spark, sf):
 
 @query("quality_report_customers")
 def q_quality_report_customers(spark, sf):
-    """The report where its checks find something: events as sessions (ids repeat),
-    customers as hits (some sessions have none)."""
+    """The report over whole tables: events as sessions (ids repeat), customers as hits."""
     customers, events = _sparse_sessions(spark, sf)
-    return cleaning.quality_report(events, customers.where(F.col("c_nationkey") % 2 == 0))
+    return cleaning.quality_report(events, customers)
 
 
 @query("quality_report_orders")
@@ -84,6 +86,38 @@ def q_quality_report_orders(spark, sf):
     return cleaning.quality_report(orders.select(F.col("o_custkey").cast("string").alias("session_id")), events)
 
 
+def _typed_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as an export of text that is not clean: ids that are missing, days and months
+    that do not exist, counts that are letters."""
+    day = F.concat(F.year("o_orderdate"), F.lpad((F.col("o_orderkey") % 14).cast("string"), 2, "0"),
+                   F.lpad((F.col("o_custkey") % 33).cast("string"), 2, "0"))
+    views = F.when(F.col("o_custkey") % 7 == 0, F.col("o_orderstatus")).otherwise(F.substring("o_orderpriority", 1, 1))
+    return testdata.table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(F.col("o_orderkey").cast("string")).alias("session_id"),
+        day.alias("date"), views.alias("totals_pageviews"))
+
+
+TEXT_SCHEMA = StructType([StructField("session_id", StringType()), StructField("date", StringType()),
+                          StructField("totals_pageviews", IntegerType())])
+
+
+@query("rejected_cells")
+def q_rejected_cells(spark, sf):
+    return rejects.split(_typed_text(spark, sf), TEXT_SCHEMA).rejects
+
+
+@query("typed_sessions")
+def q_typed_sessions(spark, sf):
+    return cleaning.tolerant_dates(rejects.split(_typed_text(spark, sf), TEXT_SCHEMA).good)
+
+
+@query("quality_report_dates")
+def q_quality_report_dates(spark, sf):
+    """M1 with E9: dates that do not parse are counted, and every row stays."""
+    lines = testdata.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("session_id"))
+    return cleaning.quality_report(_typed_text(spark, sf), lines, date="date")
+
+
 @query("clean_sessions")
 def q_clean_sessions(spark, sf):
     return _sessions(spark, sf)
@@ -113,6 +147,15 @@ def q_nested_sessions(spark, sf):
     return nested.flatten_nested(_nested(spark, sf))
 
 
+@query("day_tables")
+def q_day_tables(spark, sf):
+    """Nested records written as a table a day, those of a range read back and flattened."""
+    root = scratch_path(spark, "day-tables")
+    writers.write_day_tables(_nested(spark, sf), root)
+    days = day_tables.read_day_tables(spark, root, RANGE_FROM, RANGE_TO, schema=files.NESTED_WITH_FRAGMENT)
+    return nested.flatten_nested(days)
+
+
 @query("pipeline_summary")
 def q_pipeline_summary(spark, sf):
     m = _model(spark, sf)
@@ -235,6 +278,29 @@ def q_funnel_overall(spark, sf):
     return funnel.funnel_frame(_sessions(spark, sf))
 
 
+@query("stage_table_funnel")
+def q_stage_table_funnel(spark, sf):
+    """The default four stages, as a table that the hits meet; the purchase comes from the totals."""
+    m = _model(spark, sf)
+    stages = spark.createDataFrame([(None if not s.from_hits else s.code, s.label, i) for i, s in enumerate(m.spec.stages, 1)],
+                                   "code int, stage string, stage_order long")
+    masks = stage_table.stage_masks(m.hits(columns=["session_id", cleaning.CODE]), stages)
+    masked = stage_table.with_masks(m.raw_sessions(), masks, totals={len(m.spec.stages): F.col("totals_transactions") > 0})
+    return stage_table.stage_funnel(masked, stages, entry=m.spec.entry_label)
+
+
+@query("stage_table_months")
+def q_stage_table_months(spark, sf):
+    """Twelve stages that the data bring along. Orders reach the months in which their lines were shipped."""
+    lines = testdata.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"), F.month("l_shipdate").alias(cleaning.CODE))
+    stages = lines.select(F.col(cleaning.CODE).alias("code"), F.concat(F.lit("month "), F.col(cleaning.CODE)).alias("stage"),
+                          F.col(cleaning.CODE).alias("stage_order")).where("code IS NOT NULL").distinct()
+    orders = testdata.table(spark, sf, "orders").select(F.col("o_orderkey").alias("session_id"), "o_orderstatus")
+    masked = stage_table.with_masks(orders, stage_table.stage_masks(lines, stages))
+    return stage_table.stage_funnel(masked, stages, by=("o_orderstatus",), entry="Orders")
+
+
 @query("device_funnel")
 def q_device_funnel(spark, sf):
     return funnel.funnel_frame_windowed(_sessions(spark, sf), by=["device"])

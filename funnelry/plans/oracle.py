@@ -198,6 +198,13 @@ def _nested_flat() -> str:
 _RANGE_WHERE = (f"WHERE e.ts >= CAST(strptime('{RANGE_FROM}', '%Y%m%d') AS TIMESTAMP) AND "
                 f"e.ts < CAST(strptime('{RANGE_TO}', '%Y%m%d') AS TIMESTAMP) + INTERVAL 1 DAY")
 
+#: Orders as text that is not clean.
+_TEXT_ROWS = """(
+  SELECT CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS session_id,
+    concat(CAST(year(o_orderdate) AS VARCHAR), lpad(CAST(o_orderkey % 14 AS VARCHAR), 2, '0'), lpad(CAST(o_custkey % 33 AS VARCHAR), 2, '0')) AS date,
+    CASE WHEN o_custkey % 7 = 0 THEN o_orderstatus ELSE o_orderpriority[1:1] END AS totals_pageviews
+  FROM orders)"""
+
 BODIES: dict[str, str] = {
     "quality_report": """
 SELECT CAST(SUM(ns) AS BIGINT) AS sessions, CAST(SUM(nh) AS BIGINT) AS hits,
@@ -207,15 +214,46 @@ FROM (SELECT session_id, SUM(s) AS ns, SUM(h) AS nh FROM (
   SELECT session_id, 1 AS s, 0 AS h FROM raw_sessions UNION ALL SELECT session_id, 0, 1 FROM hits)
   GROUP BY session_id)""",
     "quality_report_customers": """
-SELECT (SELECT count(*) FROM events) AS sessions, (SELECT count(*) FROM customer WHERE c_nationkey % 2 = 0) AS hits,
+SELECT (SELECT count(*) FROM events) AS sessions, (SELECT count(*) FROM customer) AS hits,
   (SELECT count(*) - count(DISTINCT user_id) FROM events) AS duplicate_session_ids,
   (SELECT count(*) FROM events e WHERE NOT EXISTS (
-     SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id AND c.c_nationkey % 2 = 0)) AS sessions_without_hits""",
+     SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id)) AS sessions_without_hits""",
     "quality_report_orders": """
 SELECT (SELECT count(*) FROM orders) AS sessions, (SELECT count(*) FROM events) AS hits,
   (SELECT count(*) - count(DISTINCT o_custkey) FROM orders) AS duplicate_session_ids,
   (SELECT count(*) FROM orders o WHERE NOT EXISTS (
      SELECT 1 FROM events e WHERE e.user_id = o.o_custkey)) AS sessions_without_hits""",
+    "rejected_cells": f"""
+SELECT session_id, "column", value, reason FROM (
+  SELECT session_id, 'session_id' AS "column", session_id AS value, 'missing' AS reason, session_id = '' AS bad FROM {_TEXT_ROWS}
+  UNION ALL SELECT session_id, 'date', date, 'not a date yyyyMMdd', try_strptime(date, '%Y%m%d') IS NULL FROM {_TEXT_ROWS}
+  UNION ALL SELECT session_id, 'totals_pageviews', totals_pageviews, 'not a int', TRY_CAST(totals_pageviews AS INTEGER) IS NULL FROM {_TEXT_ROWS}
+) WHERE bad""",
+    "typed_sessions": f"""
+SELECT session_id, CAST(strptime(date, '%Y%m%d') AS DATE) AS date, CAST(totals_pageviews AS INTEGER) AS totals_pageviews FROM (
+  SELECT * FROM {_TEXT_ROWS}
+  WHERE session_id <> '' AND try_strptime(date, '%Y%m%d') IS NOT NULL AND TRY_CAST(totals_pageviews AS INTEGER) IS NOT NULL)""",
+    "quality_report_dates": f"""
+WITH rows AS (SELECT * FROM {_TEXT_ROWS})
+SELECT (SELECT count(*) FROM rows) AS sessions, (SELECT count(*) FROM lineitem) AS hits,
+  (SELECT count(*) - count(DISTINCT session_id) FROM rows) AS duplicate_session_ids,
+  (SELECT count(*) FROM rows WHERE session_id NOT IN (SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem)) AS sessions_without_hits,
+  (SELECT count(*) FROM rows WHERE try_strptime(date, '%Y%m%d') IS NULL) AS bad_dates, CAST(0 AS BIGINT) AS missing_dates""",
+    "stage_table_months": """
+WITH months AS (SELECT DISTINCT month(l_shipdate) AS m FROM lineitem WHERE l_shipdate IS NOT NULL),
+reached AS (
+  SELECT DISTINCT o.o_orderkey, o.o_orderstatus, month(l.l_shipdate) AS m FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+), counts AS (
+  SELECT o_orderstatus, 0 AS stage_order, 'Orders' AS stage, count(*) AS n FROM orders GROUP BY o_orderstatus
+  UNION ALL
+  SELECT s.o_orderstatus, months.m, concat('month ', CAST(months.m AS VARCHAR)), count(r.o_orderkey)
+  FROM (SELECT DISTINCT o_orderstatus FROM orders) s CROSS JOIN months
+  LEFT JOIN reached r ON r.o_orderstatus = s.o_orderstatus AND r.m = months.m GROUP BY ALL
+)
+SELECT o_orderstatus, stage, CAST(stage_order AS INTEGER) AS stage_order, n AS count,
+  CAST(n AS DOUBLE) / NULLIF(CAST(first_value(n) OVER w AS DOUBLE), 0) AS pct_of_sessions,
+  CAST(n AS DOUBLE) / NULLIF(CAST(lag(n) OVER w AS DOUBLE), 0) AS step_conv
+FROM counts WINDOW w AS (PARTITION BY o_orderstatus ORDER BY stage_order)""",
     "clean_sessions": "SELECT * FROM sessions",
     "clean_sessions_joined": "SELECT * FROM sessions",
     "customers_without_events": """
@@ -481,6 +519,8 @@ BODIES["findings_rows"] = " UNION ALL ".join([
 ])
 # Same daily trend over a pushed-down date range.
 BODIES["date_range_scan"] = BODIES["daily_trend"]
+BODIES["day_tables"] = BODIES["nested_sessions"]
+BODIES["stage_table_funnel"] = BODIES["funnel_overall"]
 BODIES["category_revenue_orders"] = f"""
 SELECT category, orders, CAST(m AS DOUBLE) / 1000000.0 AS revenue,
   ({_ratio('m', 'n')}) / 1000000.0 AS avg_item_value
@@ -490,12 +530,12 @@ FROM (SELECT p.p_type AS category, count(l.l_orderkey) AS orders,
       FROM lineitem l LEFT JOIN part p ON p.p_partkey = l.l_partkey GROUP BY p.p_type)"""
 # Category revenue from purchase lines and from per-SKU pre-aggregation agree.
 BODIES["category_revenue_lines"] = BODIES["category_revenue"]
-_RANGED = {"date_range_scan"}
+_RANGED = {"date_range_scan", "day_tables"}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, body in BODIES.items():
-        prelude = _prelude(_RANGE_WHERE if name in _RANGED else "")
+        prelude = "" if body.lstrip().startswith("WITH") else _prelude(_RANGE_WHERE if name in _RANGED else "")
         out[name] = prelude + body
     return out

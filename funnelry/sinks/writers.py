@@ -7,6 +7,7 @@ file per task); ``single_file`` is only for small aggregates.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,6 +106,31 @@ def write_sessions_layout(sessions: DataFrame, path: str) -> None:
     write_parquet(sessions, path, partition_by=("date",), sort_within=("device", "channel"))
 
 
+def write_day_tables(df: DataFrame, root: str, day: str = "date", prefix: str = "ga_sessions_", fmt: str = "parquet") -> list[str]:
+    """One table a day (``<prefix>yyyyMMdd``), from one job; gives the days written.
+
+    All days are written into a staging folder first. Only when that has succeeded do its
+    folders take their places, each in one rename; a day's former table goes just before. Rows
+    without a day (not eight digits) are an error, before anything is changed.
+    """
+    spark = df.sparkSession
+    staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex[:12]}"
+    text = F.col(day).cast("string")
+    checked = F.when(text.rlike("^[0-9]{8}$"), text).otherwise(F.raise_error(F.concat(F.lit("not a day: "), F.coalesce(text, F.lit("NULL")))))
+    df.withColumn("_day", checked).hint("rebalance", "_day").write.partitionBy("_day").format(fmt).save(staging)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    days = sorted(s.getPath().getName().removeprefix("_day=") for s in fs.listStatus(at(staging)) if s.isDirectory())
+    for d in days:
+        target = at(f"{root.rstrip('/')}/{prefix}{d}")
+        if fs.exists(target):
+            fs.delete(target, True)
+        if not fs.rename(at(f"{staging}/_day={d}"), target):
+            raise OSError(f"{target} could not be put in place; the rest is in {staging}")
+    fs.delete(at(staging), True)
+    return days
+
+
 # --- K5: dashboard extracts ---------------------------------------------------
 EXTRACTS = ("funnel_stage", "funnel_by_device", "channel_performance", "device_channel_matrix",
             "daily_trend", "category_revenue")

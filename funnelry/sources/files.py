@@ -98,8 +98,9 @@ def read_purchases(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 # --- S3 / S4: nested export and date-range scan -----------------------------------
+RECORD = "record_id"
 NESTED_WITH_FRAGMENT = StructType([*S.NESTED_SESSIONS.fields, StructField("hit_fragment", IntegerType()),
-                                   StructField("record_id", StringType())])
+                                   StructField(RECORD, StringType())])
 
 
 def read_nested_sessions(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -108,15 +109,17 @@ def read_nested_sessions(spark: SparkSession, path: str, fmt: str = "parquet",
 
     Both formats are read with the declared schema. Fields that a file lacks are
     NULL, and records without a ``record_id`` are never merged, so the same
-    records give the same sessions from JSON and from Parquet. The inclusive
+    records give the same sessions from JSON and from Parquet. Parquet files
+    without ``record_id`` (a plain export) are read without it. The inclusive
     ``date`` range is a partition filter when ``date`` is a partition column,
     so untouched days are never listed or read.
     """
-    reader = spark.read.schema(NESTED_WITH_FRAGMENT).option("basePath", path)
     if fmt == "json":
-        df = reader.option("mode", "FAILFAST").json(path)
+        df = spark.read.schema(NESTED_WITH_FRAGMENT).option("basePath", path).option("mode", "FAILFAST").json(path)
     elif fmt == "parquet":
-        df = reader.parquet(path)
+        # one footer tells whether there are fragments to be merged at all
+        cut = RECORD in spark.read.option("basePath", path).parquet(path).columns
+        df = spark.read.schema(NESTED_WITH_FRAGMENT if cut else S.NESTED_SESSIONS).option("basePath", path).parquet(path)
     else:
         raise ValueError(f"unsupported format {fmt!r}")
     return date_range(df, date_from, date_to)
