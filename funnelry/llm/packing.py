@@ -17,6 +17,7 @@ from the input's split alone, so a task that runs again gives the same rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,9 +35,12 @@ TOKENS, SEGMENTS = 4096, 1024
 END_ID = 2
 #: Words of a generation of a worker's memory; it keeps two.
 KNOWN_WORDS = 300_000
-#: Blanks for str.split that the tokenizer may not take for white space.
-_ODD_BLANKS = "\x1c\x1d\x1e\x1f\x85"
-_TRAILING = ".,;:!?%&$*#|)]}\"-"
+#: Bytes of text whose words are looked up together.
+SLICE = 8 << 20
+_LATIN = [chr(c) for c in range(256)]
+_LETTERS, _NUMBERS = "".join(filter(str.isalpha, _LATIN)), "".join(c for c in _LATIN if c.isnumeric())
+#: How the tokenizer cuts text up to U+00FF, a fixed pattern of its file; and the line breaks between the words that are asked about.
+_PIECES = re.compile(rf"\n|'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}\t-\r \x85\xa0]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,12 +51,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """Ids of texts, the tokenizer asked once for each word.
+    """Ids of texts, the tokenizer's model asked once for each piece of a word.
 
-    The tokenizer drops white space and lets no token cross it, so a text's ids
-    are those of its blank-separated words. Plain words (letters up to U+00FF,
-    perhaps with punctuation behind) go to its model directly, as its normaliser
-    only lower-cases them; all others go through it whole.
+    The tokenizer drops white space and lets no token cross it, so a text's ids are
+    those of its words between ASCII blanks. Arrow cuts the words out and numbers the
+    distinct ones, and only those become Python strings. Words of letters up to U+00FF are cut
+    into pieces as the tokenizer cuts them (its normaliser only lower-cases them) and
+    the pieces go to its model, many in one call; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -61,75 +66,91 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it has
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
-        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.letters = _byte_letters()
+        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        self.letters = _byte_letters() | {10: "\n"}
         vocabulary = self.whole.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        #: Strings that stand for an id of their own wherever they are, told apart by case.
+        self.special = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    @staticmethod
-    def _plain(word: str) -> bool:
-        return word.isalpha() and max(word) <= "ÿ"
-
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(coded.ids, dtype="<u4").tobytes()
                 for coded in self.whole.encode_batch(words, add_special_tokens=False)]
 
     def _ask(self, pieces: list[str]) -> list[bytes]:
-        """Ids of plain words."""
+        """Ids of pieces that the model sees as they are."""
         out: list[bytes] = []
-        for at in range(0, len(pieces), 200):
-            part = [p.lower().encode().decode("latin-1").translate(self.letters) for p in pieces[at:at + 200]]
-            coded = self.model.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0]
+        rows = "\n".join(pieces).encode().decode("latin-1").translate(self.letters).split("\n")
+        parts = ["\n".join(rows[at:at + 200]) for at in range(0, len(rows), 200)]
+        for at, coded in enumerate(self.model.encode_batch_fast(parts, add_special_tokens=False) if pieces else []):
+            own = pieces[at * 200:at * 200 + 200]
             ids = np.array(coded.ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(cuts) != len(part):  # a byte that the vocabulary lacks
-                out.extend(self._whole(pieces[at:at + 200]))
-                continue
-            out.extend(ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts))
+            cuts = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            data = ids.tobytes()
+            # else a byte that the vocabulary lacks
+            out += [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts)] if len(cuts) == len(own) else self._whole(own)
         return out
 
-    def learn(self, words: set[str]) -> None:
-        split, whole = [], []
-        for word in words:
-            core = word.rstrip(_TRAILING)
-            if core and self._plain(core):
-                split.append((word, core, word[len(core):]))
-            else:
-                whole.append(word)
-        cores = list({core for _, core, _ in split})
-        tails = list({tail for _, _, tail in split if tail})
-        ids = dict(zip(cores, self._ask(cores))) | {"": b""}
-        ends = dict(zip(tails, self._whole(tails))) | {"": b""}
-        for word, core, tail in split:
-            self.known[word] = ids[core] + ends[tail]
-        self.known.update(zip(whole, self._whole(whole)))
-
-    def _look_up(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
+        plain, odd, together = words, [], "\n".join(words)
+        special = [token for token in self.special if token in together]
+        try:
+            together.encode("latin-1")
+            strange = bool(special)
+        except UnicodeEncodeError:
+            strange = True
+        if strange:
+            plain = []
+            for word in words:
+                (odd if max(word, default="") > "\xff" or any(token in word for token in special) else plain).append(word)
+            together = "\n".join(plain)
+        # one search over all words: a line break, which no word holds, keeps them apart and has no ids
+        found = pa.array(_PIECES.findall(together.lower() + "\n"), pa.string()).dictionary_encode()
+        pieces = found.dictionary.to_pylist()
+        apart = pieces.index("\n")
+        ids = self._ask([p for p in pieces if p != "\n"])
+        ids.insert(apart, b"")
+        data, past = _taken(ids, found.indices)
+        ends = past[1:][found.indices.to_numpy() == apart].tolist()
+        self.known.update(zip(plain, [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]))
+        self.known.update(zip(odd, self._whole(odd)))
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN_WORDS:
             self.known, self.older = {}, self.known
-        new = set()
-        for word in words:
-            if word not in self.known:
-                if word in self.older:
-                    self.known[word] = self.older[word]
-                else:
-                    new.add(word)
+        known, older = self.known, self.older
+        new = [word for word in words if word not in known]
+        if older:
+            known.update({word: older[word] for word in new if word in older})
+            new = [word for word in new if word not in known]
         if new:
             self.learn(new)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        odd = {i for i, text in enumerate(texts) if any(c in text for c in _ODD_BLANKS)}
-        split = [[] if i in odd else text.split() for i, text in enumerate(texts)]
-        self._look_up(set().union(*split))
-        known = self.known
-        out = [b"".join([known[word] for word in words]) for words in split]
-        for i in odd:
-            out[i] = self._whole([texts[i]])[0]
-        return out
+        return [known[word] for word in words]
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; null has none."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
+        if not any(pc.any(pc.match_substring(texts, token, ignore_case=True)).as_py() for token in self.special):
+            texts = pc.ascii_lower(texts)
+        words = pc.ascii_split_whitespace(texts)
+        numbered = words.flatten().dictionary_encode()
+        data, past = _taken(self._of_words(numbered.dictionary.to_pylist()), numbered.indices)
+        cuts = words.offsets.to_numpy()
+        cuts = past[cuts - cuts[0]].tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _taken(values: list[bytes], which: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The chosen values one after the other, and the bounds of each."""
+    chosen = pa.array(values, pa.large_binary()).take(which)
+    _, bounds, data = chosen.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[chosen.offset:chosen.offset + len(chosen) + 1] if len(chosen) else np.zeros(1, np.int64)
+    return (data.to_pybytes() if data is not None else b""), bounds
 
 
 class Packer:
@@ -143,7 +164,7 @@ class Packer:
         self.limits = np.array([tokens, segments, loss], dtype=float)
         self.keep = pending
         self.examples: list = []
-        self.demands = np.zeros((0, 3))
+        self.demands = np.zeros((2, 0))  # tokens and loss-bearing tokens
         self.total = 0
         self.sequence = 0
 
@@ -166,55 +187,54 @@ class Packer:
     def _add(self, examples: list) -> None:
         new = [[key, 0, memoryview(ids), len(ids) // 4, loss] for key, ids, loss in examples if ids]
         self.examples.extend(new)
-        self.demands = np.concatenate([self.demands, np.array(
-            [(e[3], 1, e[4]) for e in new], dtype=float).reshape(-1, 3)])
+        self.demands = np.concatenate([self.demands, np.array([(e[3], e[4]) for e in new], dtype=float).reshape(-1, 2).T], axis=1)
         self.total += sum(e[3] for e in new)
 
     def _fill(self, limits: np.ndarray) -> list:
-        """One sequence."""
-        room, offset, out, gone = limits.copy(), 0, [], []
-        demands = self.demands.copy()
+        """One sequence. Every example demands one segment, so that segments end a sequence but never rank examples."""
+        tokens, segments, loss = limits.tolist()
+        room, offset, out, gone = [tokens, segments, loss], 0, [], []
+        size, bearing = self.demands.copy()
         while room[0] > 0 and room[1] > 0:
-            fits = np.flatnonzero((demands <= room).all(axis=1))
-            if len(fits):
-                at = int(fits[((demands[fits] / limits) @ (room / limits)).argmax()])
+            fits = (size <= room[0]) & (bearing <= room[2])
+            rank = np.where(fits, size * (room[0] / tokens ** 2) + bearing * (room[2] / loss ** 2), -1.0)
+            at = int(rank.argmax()) if len(rank) else 0
+            if len(rank) and rank[at] >= 0:
                 key, start, ids, total, _ = self.examples[at]
-                out.append((key, start, bytes(ids), total, self.sequence, offset))
-                offset += len(ids) // 4
-                room -= demands[at]
-                demands[at] = np.inf
+                n, n_loss = int(size[at]), int(bearing[at])
+                out.append((key, start, ids, total, self.sequence, offset))
                 gone.append(at)
-                continue
-            cut = self._cut(room, demands)
-            if cut is None:
-                break
-            at, n, loss = cut
-            key, start, ids, total, _ = self.examples[at]
-            out.append((key, start, bytes(ids[:4 * n]), total, self.sequence, offset))
+            else:
+                cut = self._cut(room, size, bearing)
+                if cut is None:
+                    break
+                at, n, n_loss = cut
+                key, start, ids, total, _ = self.examples[at]
+                out.append((key, start, ids[:4 * n], total, self.sequence, offset))
+                self.examples[at][1:3] = start + n, ids[4 * n:]
+                self.examples[at][4] -= n_loss
+                self.demands[:, at] -= (n, n_loss)
             offset += n
-            room -= (n, 1, loss)
-            self.examples[at][1:3] = start + n, ids[4 * n:]
-            self.examples[at][4] -= loss
-            self.demands[at] -= (n, 0, loss)
-            demands[at] = np.inf  # the rest goes to another sequence
+            room = [room[0] - n, room[1] - 1, room[2] - n_loss]
+            size[at] = np.inf  # what is left of it goes to another sequence
         if gone:
             left = np.ones(len(self.examples), bool)
             left[gone] = False
-            self.demands = self.demands[left]
-            self.examples = [e for e, stays in zip(self.examples, left) if stays]
+            self.demands = self.demands[:, left]
+            self.examples = [e for e, stays in zip(self.examples, left.tolist()) if stays]
         self.total -= offset
         self.sequence += 1
         return out
 
     @staticmethod
-    def _cut(room: np.ndarray, demands: np.ndarray) -> tuple[int, int, int] | None:
+    def _cut(room: list, size: np.ndarray, bearing: np.ndarray) -> tuple[int, int, int] | None:
         """The largest pending example, how many of its tokens go, and how many of those bear loss."""
-        open_ = np.where(np.isfinite(demands[:, 0]), demands[:, 0], -1)
+        open_ = np.where(np.isfinite(size), size, -1)
         at = int(open_.argmax()) if len(open_) else -1
         if at < 0 or open_[at] <= 0:
             return None
-        free = int(demands[at, 0] - demands[at, 2])  # tokens without loss come first
-        n = int(min(room[0], demands[at, 0], free + room[2]))
+        free = int(size[at] - bearing[at])  # tokens without loss come first
+        n = int(min(room[0], size[at], free + room[2]))
         return (at, n, max(0, n - free)) if n > 0 else None
 
 
@@ -250,18 +270,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
         def batch_of(pieces: list) -> pa.RecordBatch:
             keys, starts, ids, totals, sequences, offsets = zip(*pieces)
             keys, losses = zip(*keys)
+            size = [len(x) // 4 for x in ids]
             # tokens with loss are the example's last
-            n_loss = [max(0, min(len(x) // 4, s + len(x) // 4 - (t - n))) for s, x, t, n in zip(starts, ids, totals, losses)]
-            return record_batch(_OUT, keys, starts, [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], totals,
-                                [first + s for s in sequences], offsets, n_loss, ids if with_ids else [None] * len(ids))
+            n_loss = [max(0, min(n, s + n - (t - l))) for s, n, t, l in zip(starts, size, totals, losses)] if prompt else size
+            return record_batch(_OUT, keys, starts, size, [zlib.crc32(x) for x in ids], totals, [first + s for s in sequences],
+                                offsets, n_loss, [bytes(x) for x in ids] if with_ids else [None] * len(ids))
 
         for batch in batches:
-            parts = rolling.text_slices(batch, "text", 1 << 20)
+            parts = rolling.text_slices(batch, "text", SLICE)
             if prompt:
-                parts = (small for part in parts for small in rolling.text_slices(part, "prompt", 1 << 20))
+                parts = (small for part in parts for small in rolling.text_slices(part, "prompt", SLICE))
             for part in parts:
-                ids = tokenize(pc.fill_null(part.column("text"), "").to_pylist())
-                heads = tokenize(pc.fill_null(part.column("prompt"), "").to_pylist()) if prompt else [b""] * len(ids)
+                ids = tokenize(part.column("text"))
+                heads = tokenize(part.column("prompt")) if prompt else [b""] * len(ids)
                 pieces = packer.put([((k, len(own) // 4 + 1), head + own + end, len(own) // 4 + 1)
                                      for k, head, own in zip(part.column("key").to_pylist(), heads, ids)])
                 if pieces:

@@ -261,6 +261,54 @@ def test_tokenizer_memory_forgets_without_changing_ids(monkeypatch):
         assert tokenize.ids([text]) == [whole_ids(text)[:-1].tobytes()]
 
 
+def test_ids_of_odd_texts_equal_the_whole_tokenizer():
+    tokenize, rnd = packing.WordTokenizer(TOKENIZER), random.Random(1)
+    letters = [chr(c) for c in range(256)] * 2 + [
+        "'s", "'LL", "'re", " ", "\n", "İ", "ß", "ſ", "ΑΣ", "\u0301", "日本", "😀", "\u2028", "\u3000", "’", "\u212a", "ﬁ", "½", "٣", "</w>",
+        *tokenize.special, *(t.upper() for t in tokenize.special), "Mixed", "ÉTÉ"]
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 40))) for _ in range(6000)] + ["", None]
+    got = [x for at in range(0, len(texts), 7) for x in tokenize.ids(texts[at:at + 7])]
+    whole = tokenize.whole.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert got == [np.array(coded.ids, "<u4").tobytes() for coded in whole]
+
+
+def plain_fill(examples, limits):
+    """One sequence by the rule: (key, tokens, tokens with loss) each; the dot product of demand and room ranks them."""
+    room, out, left = list(limits), [], [list(e) for e in examples]
+    used = set()
+    while room[0] > 0 and room[1] > 0:
+        score = lambda e: sum(d / m * (r / m) for d, r, m in zip((e[1], 1, e[2]), room, limits))
+        fits = [e for e in left if e[0] not in used and e[1] and e[1] <= room[0] and e[2] <= room[2]]
+        if fits:
+            e = max(fits, key=score)
+            n, loss = e[1], e[2]
+        else:
+            open_ = [e for e in left if e[0] not in used and e[1]]
+            if not open_:
+                break
+            e = max(open_, key=lambda e: e[1])
+            n = min(room[0], e[1], e[1] - e[2] + room[2])
+            loss = max(0, n - (e[1] - e[2]))
+            if n <= 0:
+                break
+        out.append((e[0], n))
+        used.add(e[0])
+        e[1], e[2] = e[1] - n, e[2] - loss
+        room = [room[0] - n, room[1] - 1, room[2] - loss]
+    return out, [tuple(e) for e in left if e[1]]
+
+
+def test_packer_follows_the_dot_product_rule():
+    rnd = random.Random(9)
+    for limits in ((100, 4, 60), (100, 50, 100), (64, 3, 20)):
+        examples = [(k, n, rnd.randint(0, n)) for k in range(60) for n in [rnd.choice([1, 7, 30, 63, 99, 180])]]
+        packer = packing.Packer(*limits, pending=10 ** 6)
+        assert packer.put([(k, np.full(n, k, "<u4").tobytes(), loss) for k, n, loss in examples]) == []
+        while sum(e[1] for e in examples) >= limits[0]:
+            want, examples = plain_fill(examples, limits)
+            assert [(key, len(ids) // 4) for key, _, ids, *_ in packer._fill(np.array(limits, float))] == want
+
+
 # --- decontamination ----------------------------------------------------------------
 ITEMS = [(0, "One two three four five six seven eight nine ten eleven twelve."), (1, "short item"), (2, ""), (3, None), (None, "no id here"),
          (4, "Élan vital 42"), (1, "short item"), (10, "three four five six seven eight nine ten ELEVEN twelve"), (12, "! ?")]
