@@ -81,11 +81,20 @@ def metric_cube(sessions: DataFrame, spec: FunnelSpec = DEFAULT_SPEC,
     each grain are identified by ``level`` (grouping bitmask over ``dims``),
     so NULL segment values stay distinct from rolled-up columns.
     """
-    names = ["sessions", *spec.count_names[:-1], "orders", "revenue_micros"]
-    base = sessions.groupBy(*dims).agg(
+    return expand_cube(cube_base(sessions, spec, dims), spec, sets, dims)
+
+
+def cube_base(sessions: DataFrame, spec: FunnelSpec, dims: Sequence[str]) -> DataFrame:
+    """Sessions counted by all ``dims``: measures that add up."""
+    return sessions.groupBy(*dims).agg(
         F.count("session_id").alias("sessions"),
         *[flag_count(f).alias(n) for f, n in zip(spec.flags[:-1], spec.count_names[:-1])],
         flag_count(spec.purchase.flag).alias("orders"), sum_micros("revenue_micros").alias("revenue_micros"))
+
+
+def expand_cube(base: DataFrame, spec: FunnelSpec, sets: Sequence[Sequence[str]], dims: Sequence[str]) -> DataFrame:
+    """The grains of ``sets`` from rows counted by all ``dims``."""
+    names = ["sessions", *spec.count_names[:-1], "orders", "revenue_micros"]
     g = base.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(d) for d in dims])
     level = sum((F.grouping(d) * (2 ** (len(dims) - 1 - i)) for i, d in enumerate(dims)), F.lit(0))
     agg = g.agg(level.cast("int").alias("level"),

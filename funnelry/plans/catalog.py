@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..operators import cleaning, funnel, nested, reports, stage_table, stats
+from ..functions.columns import clamp
+from ..operators import cleaning, daily_state, funnel, nested, reports, stage_table, stats
 from ..session import scratch_path
-from ..sinks import writers
+from ..sinks import publish, writers
 from ..sources import day_tables, files, rejects, testdata
 from ..spec import DEFAULT_SPEC
 from . import sql
@@ -64,6 +65,11 @@ def _sparse_sessions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
             e.select(F.col("user_id").cast("string").alias("session_id")))
 
 
+def _ten_digits(c: str):
+    """A number to ten digits: as far as the oracle's numerical integral is compared."""
+    return F.format_string("%.9e", F.col(c)).cast("double")
+
+
 # --- cleaning / transform -----------------------------------------------------
 @query("quality_report")
 def q_quality_report(spark, sf):
@@ -424,7 +430,8 @@ def q_biggest_leak(spark, sf):
 # --- statistics and reports -----------------------------------------------------
 @query("device_ztest")
 def q_device_ztest(spark, sf):
-    return stats.two_proportion_test(_sessions(spark, sf), "device", "desktop", "mobile")
+    return stats.two_proportion_test(_sessions(spark, sf), "device", "desktop", "mobile") \
+        .withColumn("p_value", _ten_digits("p_value"))
 
 
 @query("gap_opportunity")
@@ -480,7 +487,7 @@ def q_findings_scalars(spark, sf):
                     "biggest_leak_stage", "biggest_leak_step_conv",
                     F.col("desktop_vs_mobile.desktop_rate").alias("desktop_rate"),
                     F.col("desktop_vs_mobile.mobile_rate").alias("mobile_rate"),
-                    F.col("desktop_vs_mobile.z").alias("z"), F.col("desktop_vs_mobile.p_value").alias("p_value"),
+                    F.col("desktop_vs_mobile.z").alias("z"), _ten_digits("desktop_vs_mobile.p_value").alias("p_value"),
                     "aov", "recovery_extra_orders_period", "recovery_extra_revenue_period",
                     "recovery_extra_revenue_annualized")
 
@@ -489,3 +496,87 @@ def q_findings_scalars(spark, sf):
 def q_findings_rows(spark, sf):
     """The arrays of the findings document, a row per element and value."""
     return reports.findings_rows(reports.findings(_sessions(spark, sf)))
+
+
+# --- sinks, read back ---------------------------------------------------------
+@query("raw_csv")
+def q_raw_csv(spark, sf):
+    """Raw sessions as CSV in the shared folder, read with the declared schema."""
+    path = scratch_path(spark, "raw-sessions")
+    raw = _model(spark, sf).raw_sessions()
+    writers.write_csv(raw, path)
+    return files.read_raw_sessions(spark, path).select(*raw.columns)
+
+
+@query("processed_csv")
+def q_processed_csv(spark, sf):
+    """Clean sessions as CSV without micros, which follow from the revenue."""
+    path = scratch_path(spark, "clean-sessions")
+    writers.write_csv(_sessions(spark, sf).drop("revenue_micros"), path)
+    clean = files.read_clean_sessions(spark, path, "csv")
+    return clean.withColumn("revenue_micros", F.nullif("revenue_micros", F.lit(0)))
+
+
+@query("json_document")
+def q_json_document(spark, sf):
+    """K2: a one-row document, written and read back."""
+    path, m = scratch_path(spark, "document"), _model(spark, sf)
+    report = cleaning.quality_report(m.raw_sessions(), m.hits(columns=["session_id"]))
+    writers.write_json_document(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+@query("interleaved_layout")
+def q_interleaved_layout(spark, sf):
+    """K4: sessions in an order that serves device and channel alike, read through either filter."""
+    path = scratch_path(spark, "interleaved")
+    writers.write_interleaved(_sessions(spark, sf), path)
+    rows = spark.read.parquet(path)
+    by = lambda c, v: rows.where(F.col(c) == v).groupBy(F.lit(c).alias("filter"), F.col(c).alias("value")).agg(
+        F.count(F.lit(1)).alias("sessions"), F.count_if("purchased").alias("orders"))
+    return by("device", "mobile").unionByName(by("channel", "BUILDING"))
+
+
+def _long(name: str, df: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+    """An extract's rows as (extract, key, sessions, orders, revenue)."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    types = {"sessions": "long", "orders": "long", "revenue": "double"}
+    return df.select(F.lit(name).alias("extract"), key.alias("key"), *[
+        (F.col(columns[c]) if c in columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+
+def _united_extracts(tables) -> DataFrame:
+    shapes = {"funnel_stage": (["stage"], {"sessions": "sessions"}),
+              "funnel_by_device": (["device"], {"sessions": "sessions", "orders": "purchase", "revenue": "revenue"}),
+              "channel_performance": (["channel"], {"sessions": "sessions", "orders": "orders", "revenue": "revenue"}),
+              "device_channel_matrix": (["device", "channel"], {"sessions": "sessions", "orders": "orders"}),
+              "daily_trend": (["date"], {"sessions": "sessions", "orders": "orders", "revenue": "revenue"}),
+              "category_revenue": (["category"], {"orders": "orders", "revenue": "revenue"})}
+    parts = [_long(name, tables[name], keys, **columns) for name, (keys, columns) in shapes.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("published_extracts")
+def q_published_extracts(spark, sf):
+    """K5: the six extracts published as one version, read back through its manifest."""
+    root = scratch_path(spark, "published")
+    done = publish.publish_extracts(spark, _sessions(spark, sf), _purchases(spark, sf), root, "parquet")
+    return _united_extracts({n: publish.read_published(spark, root, n, done) for n in done.tables})
+
+
+@query("daily_state_extracts")
+def q_daily_state_extracts(spark, sf):
+    """M28, M17, K5 by day: the extracts from the days' stored states."""
+    root = scratch_path(spark, "daily-state")
+    daily_state.write_state(_sessions(spark, sf), _purchases(spark, sf), root)
+    return _united_extracts(daily_state.extracts_from_state(spark, root))
+
+
+@query("clamped_steps")
+def q_clamped_steps(spark, sf):
+    """Step rates, which an open funnel may put above 1, held between 0 and 1."""
+    frame = funnel.funnel_frame(_sessions(spark, sf), by=("device",))
+    return frame.select("device", "stage", F.when(F.col("step_conv").isNotNull(), clamp("step_conv", 0.0, 1.0)).alias("step_conv"))

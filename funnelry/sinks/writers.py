@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
@@ -131,6 +131,48 @@ def write_day_tables(df: DataFrame, root: str, day: str = "date", prefix: str =
     return days
 
 
+#: Bits of a column's place in an interleaved key, and rows of a row group, small enough to be skipped one by one.
+PLACE_BITS, ROW_GROUP_BYTES = 8, 8 << 20
+
+
+def range_places(df: DataFrame, column: str, bits: int = PLACE_BITS) -> DataFrame:
+    """(value, place): the column's values in order, dealt into 2^bits ranges of about equally many rows.
+
+    For columns with few values next to the rows, such as segments: the values are counted first, and only
+    the counts are put in order.
+    """
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(F.lit(1)).orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, -1)
+    total = Window.partitionBy(F.lit(1))
+    share = F.coalesce(F.sum("n").over(before), F.lit(0)) * (1 << bits) / F.sum("n").over(total)
+    return counts.select("value", F.floor(share).cast("long").alias("place"))
+
+
+def write_interleaved(df: DataFrame, path: str, columns: Sequence[str] = ("device", "channel"), point: str | None = "session_id",
+                      files: int | None = None, bits: int = PLACE_BITS, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
+    """K4: an order that serves each of ``columns`` alone. Rows lie by the interleaved bits of the columns'
+    places, so every row group holds a narrow range of each, and a filter on any of them skips by
+    Parquet's minima and maxima. A Bloom filter on ``point`` serves lookups of one value of it.
+    """
+    rows = df
+    for i, c in enumerate(columns):
+        places = range_places(df, c, bits).select(F.col("value").alias(f"_v{i}"), F.col("place").alias(f"_p{i}"))
+        rows = rows.join(places, F.col(f"`{c}`").eqNullSafe(F.col(f"_v{i}")), "left")
+    key = F.lit(0).cast("long")
+    for bit in range(bits):
+        for i in range(len(columns)):
+            one = F.call_function("shiftright", F.col(f"_p{i}"), F.lit(bit)).bitwiseAND(F.lit(1))
+            key = key.bitwiseOR(F.call_function("shiftleft", one, F.lit(bit * len(columns) + len(columns) - 1 - i)))
+    rows = rows.withColumn("_key", key)
+    order = ["_key", *columns]
+    dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    w = dealt.sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in df.columns]).write.mode("overwrite") \
+        .option("parquet.block.size", row_group_bytes)
+    if point is not None:
+        w = w.option(f"parquet.bloom.filter.enabled#{point}", "true")
+    w.parquet(path)
+
+
 # --- K5: dashboard extracts ---------------------------------------------------
 EXTRACTS = ("funnel_stage", "funnel_by_device", "channel_performance", "device_channel_matrix",
             "daily_trend", "category_revenue")
@@ -138,9 +180,10 @@ EXTRACTS = ("funnel_stage", "funnel_by_device", "channel_performance", "device_c
 ONE_FILE = ("funnel_stage", "funnel_by_device", "channel_performance", "device_channel_matrix")
 
 
-def dashboard_tables(cube: DataFrame, purchases: DataFrame,
-                     spec: FunnelSpec = DEFAULT_SPEC) -> dict[str, DataFrame]:
-    """The six dashboard tables, five of them read from the one metric cube."""
+def dashboard_tables(cube: DataFrame, purchases: DataFrame | None, spec: FunnelSpec = DEFAULT_SPEC,
+                     category: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The six dashboard tables, five of them read from the one metric cube; ``category``
+    is the sixth where it is at hand already."""
     total = reports.cube_grain(cube, reports.LEVEL_TOTAL, ())
     stage_cols = ["sessions", *spec.count_names[:-1], "orders"]
     stages = total.select(F.inline(F.array(*[
@@ -157,7 +200,7 @@ def dashboard_tables(cube: DataFrame, purchases: DataFrame,
         "date", "sessions", "orders", "revenue", "conversion_rate")
     return {"funnel_stage": stages, "funnel_by_device": dev.orderBy("device"),
             "channel_performance": ch.orderBy("channel"), "device_channel_matrix": mat.orderBy("device", "channel"),
-            "daily_trend": daily.orderBy("date"), "category_revenue": funnel.category_revenue(purchases)}
+            "daily_trend": daily.orderBy("date"), "category_revenue": funnel.category_revenue(purchases) if category is None else category}
 
 
 def publish_extracts(spark: SparkSession, sessions: DataFrame, purchases: DataFrame, out_dir: str,
