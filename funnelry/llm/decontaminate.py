@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import rolling
-from .tasks import record_batch, small_batches, worker_state
+from .tasks import column, record_batch, small_batches, worker_state
 
 LENGTH = 10
 BLOCK_BYTES = 32 << 20
@@ -114,14 +115,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
     blocks = max(1, -(-size // block_bytes))
     none = F.array().cast("array<int>")
     rest = [c for c in docs.columns if whole_rows and c not in (key, text, "n_words", "n_hit", "hit_spans", "items")]
-    others = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("string")
+    others = F.struct(*[column(c) for c in rest]) if rest else F.lit(None).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("row"), F.col(text).alias("text"), others.alias("others"),
                        none.alias("first"), none.alias("past"), none.cast("array<long>").alias("items"))
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
         rows = _scan(rows, [tuple(r) for r in part.distinct().collect()], length, block == blocks - 1, whole_rows)
     n_hit = F.aggregate(F.arrays_zip("first", "past"), F.lit(0).cast("long"), lambda n, r: n + r["past"] - r["first"])
-    back = [F.col(f"others.`{c}`").alias(c) for c in rest] + [F.col("text").alias(text)] * whole_rows
+    back = [F.col("others")[c].alias(c) for c in rest] + [F.col("text").alias(text)] * whole_rows
     return rows.select(F.col("row").alias(key), *back, "n_words", n_hit.alias("n_hit"),
                        F.arrays_zip(F.col("begin").alias("start"), F.col("end")).alias("hit_spans"), "items")
 
@@ -151,9 +152,10 @@ def _scan(rows: DataFrame, items: list[tuple], length: int, last: bool, with_tex
                 found = record_batch(_OUT, part.column("row"), *zip(*out))
                 yield pa.RecordBatch.from_arrays([part.column("others"), *found.columns], names=["others", *_OUT.names])
 
-    kind = rows.schema["others"].dataType.simpleString()
-    return rows.mapInArrow(scan, f"others {kind}, row long, text string, n_words long, first array<int>, past array<int>, "
-                                 "begin array<long>, end array<long>, items array<long>")
+    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+    kinds = {"others": rows.schema["others"].dataType, "row": T.LongType(), "text": T.StringType(), "n_words": T.LongType(),
+             "first": ints, "past": ints, "begin": longs, "end": longs, "items": longs}
+    return rows.mapInArrow(scan, T.StructType([T.StructField(c, kind) for c, kind in kinds.items()]))
 
 
 def leak_report(found: DataFrame, key: str = "doc_id") -> DataFrame:

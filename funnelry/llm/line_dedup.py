@@ -8,10 +8,9 @@ match is extended both ways over all runs of ``min_lines`` lines that contain it
 A run that also starts earlier, by (doc_id, line), is a later repeat: each of its
 lines is deleted. Longer repeats are unions of such runs.
 
-With ``passage_bytes`` a single line of at least so many bytes is a run too, whatever
-its neighbours, by the same fingerprints, join and first place; the floor spares
-short stock lines. Without it (the default, and the rule of op1's SQL) a repeated
-line between other neighbours stays.
+A single line of ``passage_words`` words or more is a passage, and a run by itself, whatever
+its neighbours, with the same join and first place. Shorter lines, such as stock lines
+that many texts have, go only within a run.
 
 No pairs are made: equal runs find their first place by a minimum that is
 combined before the shuffle, whatever the number of copies.
@@ -30,11 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import rolling
-from .tasks import record_batch, small_batches, stored
+from .tasks import column, record_batch, small_batches, stored
 
-MIN_LINES, GRAM = 2, 1
+MIN_LINES, GRAM, PASSAGE_WORDS = 2, 1, 50
 _BREAK = rolling.separator_table(lambda b: b == 10)
 _FIRST_ID = -(1 << 63)
 
@@ -55,14 +55,14 @@ def _lines(data: np.ndarray, bounds: np.ndarray):
 
 
 _PRINTS = pa.schema([("print", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("first", pa.int32()),
-                     ("runs", pa.list_(pa.int64()))])
+                     ("passage", pa.bool_()), ("runs", pa.list_(pa.int64()))])
 _KEPT = pa.schema([("kept", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64())])
 
 
-def _fingerprints(rows: DataFrame, min_lines: int, gram: int, floor: int = 0) -> DataFrame:
+def _fingerprints(rows: DataFrame, min_lines: int, gram: int, passage_words: int | None) -> DataFrame:
     """A row per fingerprint: its hash, its document, and the hashes of the runs that
     contain it (those of which it is the window minimum), the first from line ``first``.
-    With ``floor``, for runs of one line: those of at least so many bytes."""
+    A long line is a run of its own, marked ``passage``, under a fingerprint that no other run has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,33 +71,40 @@ def _fingerprints(rows: DataFrame, min_lines: int, gram: int, floor: int = 0) ->
                 starts, ends, own = _lines(data, bounds)
                 lines = rolling.span_hashes(data, starts, ends)
                 ids, versions = (part.column(c).to_numpy() for c in ("id", "version"))
+
+                def prints(grams, first, passage, runs, cuts):
+                    document = np.searchsorted(own, first, "right") - 1
+                    return record_batch(
+                        _PRINTS, rolling.signed(grams), ids[document], versions[document],
+                        (first - own[document]).astype(np.int32), np.full(len(first), passage),
+                        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(rolling.signed(runs))))
+
                 for runs, anchors in rolling.window_anchors(lines, own, gram, min_lines):
-                    if floor:
-                        long = (ends - starts)[runs] >= floor
-                        runs, anchors = runs[long], anchors[long]
-                    hashes = rolling.signed(rolling.hash_at(lines, runs, min_lines, rolling.WINDOW_BASE))
                     # runs of one fingerprint in one document are neighbours
                     new = np.flatnonzero(np.diff(anchors, prepend=-1))
-                    document = np.searchsorted(own, runs[new], "right") - 1
-                    cuts = np.append(new, len(runs)).astype(np.int32)
-                    yield record_batch(
-                        _PRINTS, rolling.signed(rolling.hash_at(lines, anchors[new], gram, rolling.GRAM_BASE)),
-                        ids[document], versions[document], (runs[new] - own[document]).astype(np.int32),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes)))
+                    yield prints(rolling.hash_at(lines, anchors[new], gram, rolling.GRAM_BASE), runs[new], False,
+                                 rolling.hash_at(lines, runs, min_lines, rolling.WINDOW_BASE), np.append(new, len(runs)))
+                if passage_words is not None:
+                    words, _, _ = rolling.word_spans(data, bounds)
+                    long = np.flatnonzero(np.searchsorted(words, ends) - np.searchsorted(words, starts) >= passage_words)
+                    if len(long):
+                        yield prints(rolling.mix(lines[long] ^ rolling.SECOND_BASE), long, True, lines[long],
+                                     np.arange(len(long) + 1))
 
-    return rows.mapInArrow(run, "print long, id long, version long, first int, runs array<long>")
+    return rows.mapInArrow(run, "print long, id long, version long, first int, passage boolean, runs array<long>")
 
 
 def later_runs(docs: DataFrame, key: str, text: str, min_lines: int = MIN_LINES, gram: int = GRAM,
-               floor: int = 0) -> DataFrame:
-    """(id, version, starts): the lines from which a later repeat of ``min_lines`` lines starts."""
+               passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
+    """(id, version, starts, alone): the lines from which a later repeat of ``min_lines`` lines
+    starts, and those that are later repeats of a passage by themselves."""
     rows = docs.select(*row_key(F.col(key), F.col(text)), F.col(text).alias("text"))
-    prints = stored(_fingerprints(rows, min_lines, gram, floor), "line-prints")
+    prints = stored(_fingerprints(rows, min_lines, gram, passage_words), "line-prints")
     # joins on a new key: both sides are exchanged, and adaptive execution can split a very common line or run
     twice = prints.groupBy("print").count().where("count > 1").select(F.xxhash64("print").alias("at"), F.col("print").alias("p"))
     runs = prints.withColumn("at", F.xxhash64("print")).join(twice, "at").where("print = p").select(
-        "print", "id", "version", F.posexplode("runs").alias("place", "run"), "first") \
-        .select("run", "print", "id", "version", (F.col("first") + F.col("place")).alias("line"))
+        "print", "id", "version", "passage", F.posexplode("runs").alias("place", "run"), "first") \
+        .select("run", "print", "id", "version", "passage", (F.col("first") + F.col("place")).alias("line"))
     runs = stored(runs, "line-runs")
     place = F.struct("id", "version", "line")
     firsts = runs.groupBy("run", "print").agg(F.min(place).alias("earliest"), F.count("*").alias("n")) \
@@ -105,22 +112,18 @@ def later_runs(docs: DataFrame, key: str, text: str, min_lines: int = MIN_LINES,
                                F.col("print").alias("p"), "earliest")
     later = runs.withColumn("same", F.xxhash64("run", "print")).join(firsts, "same") \
         .where((F.col("run") == F.col("r")) & (F.col("print") == F.col("p")) & (place != F.col("earliest")))
-    return later.groupBy("id", "version").agg(F.collect_set("line").alias("starts"))
+    return later.groupBy("id", "version").agg(F.collect_set(F.when(~F.col("passage"), F.col("line"))).alias("starts"),
+                                              F.collect_set(F.when(F.col("passage"), F.col("line"))).alias("alone"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES,
-                gram: int = GRAM, passage_bytes: int | None = None) -> DataFrame:
+                gram: int = GRAM, passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
     """The rows with ``text`` rid of later repeats, and n_lines (not blank), n_removed
     and n_runs (maximal stretches of removed lines)."""
     small_batches(docs.sparkSession)
-    found = later_runs(docs, key, text, min_lines, gram)
-    if passage_bytes is None:
-        found = found.withColumn("alone", F.lit(None).cast("array<int>"))
-    else:
-        alone = later_runs(docs, key, text, 1, 1, max(1, passage_bytes)).withColumnRenamed("starts", "alone")
-        found = found.join(alone, ["id", "version"], "full")
+    found = later_runs(docs, key, text, min_lines, gram, passage_words)
     rest = [c for c in docs.columns if c not in (text, "n_lines", "n_removed", "n_runs")]
-    others = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("others") if rest else F.lit(None).alias("others")
+    others = F.struct(*[column(c) for c in rest]).alias("others") if rest else F.lit(None).alias("others")
     rows = docs.select(*row_key(F.col(key), F.col(text)), F.col(text).alias("text"), others) \
         .join(found, ["id", "version"], "left").select("others", "text", "starts", "alone")
 
@@ -147,8 +150,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_li
                 yield pa.RecordBatch.from_arrays([part.column("others"), *out.columns],
                                                  names=["others", *_KEPT.names])
 
-    kind = rows.schema["others"].dataType.simpleString() if rest else "string"
-    done = rows.withColumn("others", F.col("others").cast(kind)).mapInArrow(
-        run, f"others {kind}, kept string, n_lines long, n_removed long, n_runs long")
-    back = [F.col(f"others.`{c}`").alias(c) for c in rest]
+    schema = T.StructType([T.StructField("others", rows.schema["others"].dataType if rest else T.StringType()),
+                           T.StructField("kept", T.StringType()),
+                           *[T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_runs")]])
+    done = rows.withColumn("others", F.col("others").cast(schema["others"].dataType)).mapInArrow(run, schema)
+    back = [F.col("others")[c].alias(c) for c in rest]
     return done.select(*back, F.col("kept").alias(text), "n_lines", "n_removed", "n_runs")

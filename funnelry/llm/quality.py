@@ -29,8 +29,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .tasks import small_batches
+from .tasks import column, small_batches
 
 PER_CLASS, SAMPLE_CHARS = 2000, 16_384
 CHUNK, DICTIONARY_BYTES, LEVEL = 1024, 32_768, 1
@@ -132,6 +133,16 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2
 
 
+def spread_pieces(text: Column, most: int, size: int = CHUNK) -> Column:
+    """The text if it has at most ``most`` characters, else whole pieces of ``size`` characters from all
+    over it, chosen by a hash of the text and the piece's place, in their order."""
+    places = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
+    ranked = F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64(i, F.xxhash64(text)).alias("h"), i.alias("i"))))
+    chosen = F.array_sort(F.transform(F.slice(ranked, 1, max(1, most // size)), lambda r: r["i"]))
+    pieces = F.transform(chosen, lambda i: F.substring(text, i * size + 1, F.lit(size)))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(pieces, "\n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
         per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learns from ``per_class`` documents of each label for the dictionaries and as
@@ -159,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     teach, calibrate = (texts.join(F.broadcast(docs.sparkSession.createDataFrame(part, present.schema)), "id")
                         for part in parts)
     # one row of an id, that with the smallest hash, is what counts and is collected
-    first = F.min_by(F.substring("text", 1, sample_chars), F.xxhash64("text")).alias("text")
+    first = F.min_by(spread_pieces(F.col("text"), sample_chars), F.xxhash64("text")).alias("text")
     taught = sorted((r.id, r.text, r.label) for r in teach.groupBy("id", "label").agg(first).collect())
     good, bad, raw = dictionaries([(said, value) for _, said, value in taught])
 
@@ -186,7 +197,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     ``accept`` only rows with at least that score. A column of that name is replaced."""
     small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != name]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(text, F.lit("")).alias("__text"))
+    rows = docs.select(*[column(c) for c in keep], F.coalesce(text, F.lit("")).alias("__text"))
     mean, scale, weights = map(np.array, (model.mean, model.scale, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,5 +215,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             out = pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(scores)], names=[*keep, name])
             yield out if accept is None else out.filter(pc.greater_equal(out.column(len(keep)), accept))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(keep)])
-    return rows.mapInArrow(run, f"{schema}, `{name}` double" if keep else f"`{name}` double")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:len(keep)], T.StructField(name, T.DoubleType())]))

@@ -119,9 +119,15 @@ WITH lines AS (
 ), later AS (
   SELECT doc_id, place FROM (
     SELECT doc_id, place, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS n FROM runs) WHERE n > 1
+), passages AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY said ORDER BY doc_id, place) AS n
+    FROM places WHERE len(regexp_extract_all(said, '[^\x20\x09-\x0D]+')) >= 50) WHERE n > 1
 ), gone AS (
-  SELECT DISTINCT p.doc_id, p.pos FROM places p JOIN later l
+  SELECT p.doc_id, p.pos FROM places p JOIN later l
     ON p.doc_id = l.doc_id AND p.place BETWEEN l.place AND l.place + 1
+  UNION
+  SELECT doc_id, pos FROM passages
 )
 SELECT t.doc_id, count(*) FILTER (t.said <> '') AS n_lines, count(g.pos) AS n_removed,
        sha256(coalesce(string_agg(t.line, chr(10) ORDER BY t.pos) FILTER (g.pos IS NULL), '')) AS kept_sha256

@@ -11,9 +11,9 @@ The block results of a query are merged by a grouped limit.
 Scores are of floor(scale * x), x as double. The rotation is fitted on
 ``ROTATION_ROWS`` vectors and only decides how much is pruned.
 
-Defined cases: vectors that are null or hold null, non-finite or too large
-components (beyond 2^62 after scaling), and rows without an id, take no part;
-scores beyond a long's range wrap around; a vector shorter than the longest is filled with zeros; ties go to the smaller id;
+Defined cases: vectors that are null or hold null or non-finite components (as they are or scaled), and rows
+without an id, take no part; integers beyond a long's range, components and scores, wrap around, and
+where scores could, nothing is pruned; a vector shorter than the longest is filled with zeros; ties go to the smaller id;
 candidates with the query's own id are left out; repeated query rows give one
 result, and of one id with several vectors each vector's; repeated candidate rows
 are candidates each; empty tables give no rows; other columns are not read.
@@ -45,7 +45,7 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _merge(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    return np.lexsort((ids, ~scores))[:k]  # falls as scores rise, for the least long too
 
 
 def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
@@ -62,6 +62,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     q_rest, x_rest = (np.linalg.norm(m[:, front:], axis=1) for m in (q_turned, x_turned))
     # integers below 2^53 are exact as doubles, and so are their sums
     exact = width * float(abs(q).max(initial=0)) * float(abs(x).max(initial=0)) < 2 ** 53
+    wraps = width * float(abs(q).max(initial=0)) * float(abs(x).max(initial=0)) >= 2.0 ** 62
     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(n)]
     least = np.full(n, -np.inf)
     active = np.arange(n)
@@ -87,16 +88,23 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
             known = np.concatenate([best[query][0], ids[right[own]]]), np.concatenate([best[query][1], scores[own]])
             top = _merge(*known, k)
             best[query] = known[0][top], known[1][top]
-            if len(top) == k:
+            if len(top) == k and not wraps:
                 least[query] = best[query][1][-1]
     return best
 
 
 def _valid(vector: Column) -> Column:
-    fits = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(1 << 62))
+    fits = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return vector.isNotNull() & F.coalesce(F.forall(vector, fits), F.lit(False))
 
 
+def _whole(x: Column) -> Column:
+    """floor(x) as a long; what is beyond its range, an integer already, wraps around."""
+    low = F.pmod(x, F.lit(2.0 ** 64))
+    wrapped = F.when(low >= 2.0 ** 63, low - 2.0 ** 64).otherwise(low)
+    return F.when(F.abs(x) < 2.0 ** 62, F.floor(F.when(F.abs(x) < 2.0 ** 62, x))).otherwise(wrapped.cast("long"))
+
+
 def _rotation(rows: DataFrame, width: int, sample: int) -> np.ndarray:
     chosen = rows.select("id", "vector").orderBy(F.xxhash64("id", "vector")).limit(sample).select("vector")
     matrix = _matrix(pa.chunked_array([chosen.toArrow().column("vector").combine_chunks()]), width).astype(float)
@@ -112,7 +120,7 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("raw"),
                           F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & _valid(F.transform("raw", lambda x: x.cast("double") * scale)))
-    rows = rows.select("id", "asks", F.transform("raw", lambda x: F.floor(x.cast("double") * scale)).alias("vector"))
+    rows = rows.select("id", "asks", F.transform("raw", lambda x: _whole(x.cast("double") * scale)).alias("vector"))
     shape = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("asks"), 1)).alias("asked"),
                      F.max(F.size("vector")).alias("width")).first()
     across, down = max(1, -(-shape.asked // query_block)), max(1, -(-shape.n // candidate_block))

@@ -32,8 +32,9 @@ def cover(starts, length, size):
     return flags
 
 
-def line_dedup(rows, n):
-    """rows: (id, text) in the order of the table's rule; for each: kept text, lines, removed, runs."""
+def line_dedup(rows, n, passage=50):
+    """rows: (id, text) in the order of the table's rule; for each: kept text, lines, removed, runs.
+    A line of ``passage`` words or more is a run by itself."""
     lines, firsts = [], {}
     for r, (_, text) in enumerate(rows):
         own = [(i, line.strip(" \t\n\x0b\x0c\r")) for i, line in enumerate((text or "").split("\n"))]
@@ -41,11 +42,14 @@ def line_dedup(rows, n):
         lines.append(own)
         for p in range(len(own) - n + 1):
             firsts.setdefault(tuple(s for _, s in own[p:p + n]), (r, p))
+        for p, (_, line) in enumerate(own):
+            firsts.setdefault(line, (r, p))
     out = []
     for r, (_, text) in enumerate(rows):
         own = lines[r]
         late = [p for p in range(len(own) - n + 1) if firsts[tuple(s for _, s in own[p:p + n])] != (r, p)]
         gone = cover(late, n, len(own))
+        gone = [g or (len(BLANK.findall(s)) >= passage and firsts[s] != (r, p)) for p, (g, (_, s)) in enumerate(zip(gone, own))]
         drop = {i for (i, _), g in zip(own, gone) if g}
         kept = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
         out.append((kept, len(own), sum(gone), spans(gone)))
@@ -77,16 +81,21 @@ def components(rows, words, percent):
     return {k: (len(sets[k]), find(k)) for k in ids}
 
 
+def wrapped(x):
+    """An integer as a long holds it."""
+    return (int(x) + 2 ** 63) % 2 ** 64 - 2 ** 63
+
+
 def top_k(rows, asks, k=10, scale=1024):
     """rows: (id, vector), ids unique."""
     good = {i: np.floor(scale * np.array(v, dtype=float)).astype(object) for i, v in rows
             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     width = max((len(v) for v in good.values()), default=0)
-    good = {i: [int(x) for x in v] + [0] * (width - len(v)) for i, v in good.items()}
+    good = {i: [wrapped(x) for x in v] + [0] * (width - len(v)) for i, v in good.items()}
     out = []
     for q in good:
         if asks(q):
-            best = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:k]
+            best = sorted((-wrapped(sum(a * b for a, b in zip(good[q], v))), i) for i, v in good.items() if i != q)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 

@@ -5,7 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from funnelry.llm import graph, line_dedup, near_dedup, repeats, rolling, substring_dedup, suffix_dedup
+from funnelry.llm import decontaminate, graph, line_dedup, near_dedup, repeats, rolling, substring_dedup, suffix_dedup
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -46,6 +46,9 @@ def test_line_dedup_matches_brute_force(spark):
         got = line_dedup.dedup_lines(frame(spark, rows).drop("n_lines"), min_lines=n, gram=gram)
         got = {r.doc_id: (r.text, r.n_lines, r.n_removed, r.n_runs) for r in got.collect()}
         assert got == {k: v for (k, _), v in zip(rows, brute.line_dedup(rows, n))}
+    short = line_dedup.dedup_lines(frame(spark, rows), passage_words=8).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed, r.n_runs) for r in short} == {
+        k: v for (k, _), v in zip(rows, brute.line_dedup(rows, 2, 8))}
     assert any(v[2] for v in got.values())
 
 
@@ -63,11 +66,18 @@ def test_line_dedup_passage_in_one_line(spark):
             (6, f"e\n{passage}\n\n{passage}\nf")]
     run = lambda **kw: {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in line_dedup.dedup_lines(
         spark.createDataFrame(rows, "doc_id long, text string"), **kw).collect()}
-    assert run(passage_bytes=200) == {
+    assert run() == run(passage_words=60) == {
         1: (f"a\n{passage}\nb", 0, 0), 2: ("c\nd\ncookies", 1, 1), 3: ("", 1, 1), 4: ("cookies\nx\na\nb", 0, 0), 5: ("y", 2, 1),
         6: ("e\n\nf", 2, 1)}
-    assert run(passage_bytes=len(passage) + 1) == run()
-    assert {k: v[0] for k, v in run().items()} == {**dict(rows), 5: "y"}
+    assert run(passage_words=61) == run(passage_words=None)
+    assert {k: v[0] for k, v in run(passage_words=None).items()} == {**dict(rows), 5: "y"}
+
+
+def test_columns_with_dots_and_names_of_results_pass_through(spark):
+    row = spark.createDataFrame([(1, "a\nb", 2, "x", ("y",))], "doc_id long, text string, `a.b` int, `c``d` string, `e f` struct<`g.h`:string>")
+    for done in (line_dedup.dedup_lines(row), decontaminate.find_leaks(row, spark.createDataFrame([(1, "q")], "item_id long, text string"), whole_rows=True)):
+        got = done.first()
+        assert (got["a.b"], got["c`d"], got["e f"]["g.h"], got["text"]) == (2, "x", "y", "a\nb")
 
 
 @pytest.mark.parametrize("hot, chunk", [(repeats.HOT, 8 << 20), (2, 700), (5, 4000)])
