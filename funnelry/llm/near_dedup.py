@@ -139,6 +139,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return rows.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def cross_root_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows of ``first`` (shingle, root, ...) beside rows of ``second`` (shingle, other_root, ...), the
+    shingle shared; all pairs of different roots are among them, of pairs of one root only few.
+
+    Two members of one root never have to meet. So a shingle of a single root goes, and rows of a
+    shingle's most frequent root meet rows of its other roots only. What the others' pairs hold of one root is no more than
+    their pairs with the most frequent root, so the work follows the pairs that count.
+    """
+    roots = first.select("shingle", "root").unionByName(second.select("shingle", F.col("other_root").alias("root"))) \
+        .groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    most = roots.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")) \
+        .where("roots > 1").select(F.xxhash64("shingle").alias("key"), F.col("shingle").alias("s"), F.col("most.root").alias("most"))
+    of = lambda rows, root: rows.withColumn("key", F.xxhash64("shingle")).join(most, "key").where("shingle = s") \
+        .withColumn("major", F.col(root) == F.col("most")).drop("key", "s", "most")
+    wanted = F.when(F.col("major"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
+    left = of(first, "root").withColumn("other_major", F.explode(wanted)).drop("major")
+    return left.join(of(second, "other_root").withColumnRenamed("major", "other_major"), ["shingle", "other_major"])
+
+
 def _across(members: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) of members in different components that can be similar enough.
 
@@ -176,7 +195,7 @@ def _across(members: DataFrame, words: int, percent: int) -> DataFrame:
         F.col("place").alias("at"))
     needed = up(percent * (F.col("n") + F.col("m")), 100 + percent)
     left = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
-    return first.join(small, "shingle").where(
+    return cross_root_pairs(first, small).where(
         (F.col("root") != F.col("other_root")) & (F.col("m") <= F.col("n")) & _close_in_size(percent) & (left >= needed)) \
         .select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
 

@@ -8,6 +8,7 @@ import pytest
 from funnelry.llm import decontaminate, graph, line_dedup, near_dedup, repeats, rolling, substring_dedup, suffix_dedup
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, kept boolean, n_lines string"
 
@@ -174,6 +175,37 @@ def test_sketch_agreement_estimates_similarity():
         assert (near_dedup.sketch(np.unique(a)) == x).all()
 
 
+def test_members_of_one_root_hardly_meet(spark):
+    rows = [(1, 0, i) for i in range(500)] + [(1, 1, 1000)] + [(2, 0, i) for i in range(500)]   # shingle 2 has one root
+    rows += [(3, r, 100 * r + i) for r in range(4) for i in range(10 * (r + 1))]
+    first = spark.createDataFrame(rows, "shingle long, root long, node long")
+    second = first.select("shingle", F.col("root").alias("other_root"), F.col("node").alias("other"))
+    got = near_dedup.cross_root_pairs(first, second).select("shingle", "root", "other_root", "node", "other").cache()
+    across = {(s, a, b, x, y) for s, a, x in rows for t, b, y in rows if s == t and a != b}
+    found = {tuple(r) for r in got.collect()}
+    assert across <= found and got.count() == len(found) <= 2 * len(across)
+    assert got.where("shingle = 1").count() == 1000 + 1 and got.where("shingle = 2").count() == 0
+
+
+def test_near_copies_beside_an_outlier_keep_all_links(spark):
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        words[rnd.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    for i, changed in ((500, 4), (501, 7), (502, 60)):
+        words = list(base)
+        for at in range(changed):
+            words[at * 120 // changed] = f"y{i}{at}"
+        rows.append((i, " ".join(words)))
+    rows.append((503, rows[-1][1] + " more"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()}
+    assert got == {k: (n, c) for k, (n, c) in brute.components(rows, 3, 85).items()}
+
+
 def test_components_of_paths_and_stars(spark):
     rnd = random.Random(8)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 20)] + [(300, 300), (7, 6)]

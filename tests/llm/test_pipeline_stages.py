@@ -5,6 +5,7 @@ import corpus_pipeline
 import duckdb
 import pytest
 from funnelry.llm import queries
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -87,6 +88,25 @@ def test_stages_pass_empty_tables_and_odd_rows(spark):
     assert corpus_pipeline.quality_stage(spark, odd, SF).count() <= 3
 
 
+def test_columns_of_any_name_pass_through_every_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = {"quality_score": 1, "score": 2, "n_lines": 3, "n_removed": 4, "n_runs": 5, "__version": 6, "n_words": 7, "n_hit": 8,
+           "items": 9, "a.b": 10, "row": 11, "version": 12, "kept": 13, "hit_spans": 14, "c`d": 15, "id": 16, "others": 17}
+    more = docs.select(*docs.columns, *[F.lit(v).alias(c) for c, v in odd.items()])
+    for (name, stage), (_, plain) in zip(corpus_pipeline.STAGES[:-1], corpus_pipeline.STAGES):
+        got, want = stage(spark, more, SF), plain(spark, docs, SF)
+        assert got.columns == more.columns, name
+        assert [tuple(r) for r in got.select(*["`" + c.replace("`", "``") + "`" for c in odd]).distinct().collect()] == [tuple(odd.values())]
+        assert sorted(map(tuple, got.select(*COLUMNS).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_rows_of_one_id_and_text_leave_the_same_one(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", x, "s", 1) for x in ("en", "de", "fr", "es")], "doc_id long, text string, lang string, source string, n_chars long")
+    first = corpus_pipeline.near_stage(spark, docs, SF).collect()
+    again = corpus_pipeline.near_stage(spark, docs.orderBy("lang"), SF).collect()
+    assert len(first) == 1 and first == again
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
