@@ -9,6 +9,10 @@ and get back those that occur twice in the corpus; only windows of these go on.
 Seeds that occur ``HOT`` times or more are marked: their windows are then dealt by
 each window's own hash, so that a passage that very many documents share is
 spread over many tasks. The result is the same either way.
+
+A chunk asks a bucket about each distinct string once, however often it occurs in the chunk, and
+keeps the places where it does to itself: they travel to the chunk's own last step, under a key of the
+chunk's own. So a bucket's group grows with the chunks that know a string, never with its occurrences.
 """
 
 from __future__ import annotations
@@ -154,6 +158,33 @@ def chosen_runs(units: np.ndarray, bounds: np.ndarray, k: int, length: int, shar
     return seeds, first, n, hot
 
 
+def own_group(chunk: int) -> int:
+    """The key under which a chunk's places travel: no bucket has it."""
+    return -1 - chunk
+
+
+def binary_table(rows: list[tuple], schema: str) -> pa.Table:
+    """Rows of longs and bytes as a table of that schema."""
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return pa.table([pa.array(c, pa.int64() if kind == "long" else pa.binary()) for c, (_, kind) in zip(columns, fields)],
+                    names=[name for name, _ in fields])
+
+
+def places_and_answers(found: pa.Table, *kinds: tuple[str, str]):
+    """For each bucket that has answered a chunk: its answers (of the given kinds, for each distinct string), and of
+    these strings' occurrences the string, document and first unit."""
+    rows = found.to_pylist()
+    answers = {r["bucket"]: r for r in rows if r["docs"] is None}
+    expand = zstandard.ZstdDecompressor().decompress
+    for own in rows:
+        answer = answers.get(own["bucket"])
+        if own["docs"] is None or answer is None:
+            continue
+        times, docs, firsts = (np.frombuffer(expand(own[c]), kind) for c, kind in (("times", "<u4"), ("docs", "<i4"), ("firsts", "<i8")))
+        yield [np.frombuffer(expand(answer[c]), kind) for c, kind in kinds], np.repeat(np.arange(len(times)), times), docs, firsts
+
+
 def spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs of n windows each: the run of every window, and its place in the run."""
     run = np.repeat(np.arange(len(n)), n)

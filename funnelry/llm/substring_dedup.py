@@ -1,13 +1,12 @@
-"""Substring dedup by counting windows in reference blocks.
+"""Substring dedup by relative Lempel-Ziv parsing against reference blocks.
 
-A reference block holds, for its share of the corpus' seeds (see ``repeats``), every
-string around them from every document, the document itself included, and
-counts their windows of ``length`` words by hash. A window that occurs twice is
-marked in every document, and a document's factors are the maximal chains of
-marked windows: the duplicate spans. This is no relative Lempel-Ziv parse: no
-reference position is kept or followed. The rule asks of each window only whether
-it starts anywhere else; the count judges every window, so none is lost where two
-spans meet and nothing has to be looked up at their boundaries.
+A reference block holds, for its share of the corpus' seeds (see ``repeats``), every distinct
+string around them from every chunk, one after the other, and indexes the windows of ``length`` words in
+it. Each string is parsed greedily against the block: a factor starts at an occurrence elsewhere
+that the index gives, and follows the reference word by word as long as both go on alike; where it ends
+the index is asked again, so that windows across a factor's end are judged too. Every window
+in a factor also starts elsewhere, and a document's spans are the unions of its factors. An occurrence
+elsewhere is another place of the block, or another copy of the same string.
 
 Rule: a word goes if a window of ``length`` words that covers it also starts
 anywhere else. Windows are judged on the input. Two windows are equal if 112 bits
@@ -46,7 +45,9 @@ def factors(marked: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) + length) for a, b in zip(marked[heads], marked[tails])]
 
 
-_SENT = "bucket long, chunk long, seeds binary, windows binary, hashes binary, times binary, docs binary, firsts binary"
+_SENT = ("group long, bucket long, chunk long, seeds binary, windows binary, hashes binary, times binary, docs binary, "
+         "firsts binary")
+_BACK = "chunk long, bucket long, masks binary, times binary, docs binary, firsts binary"
 
 
 def _sender(buckets: int, length: int, k: int):
@@ -54,6 +55,7 @@ def _sender(buckets: int, length: int, k: int):
         rows: list[tuple] = []
         if chunk.num_rows and shared.num_rows:
             chunk = repeats.in_order(chunk)
+            own = int(chunk.column("chunk")[0].as_py())
             units, bounds = _words(*repeats.texts_of(chunk))
             seeds, first, n, hot = repeats.chosen_runs(units, bounds, k, length, shared)
             head = rolling.hash_at(units, first, length, rolling.WINDOW_BASE)
@@ -68,45 +70,72 @@ def _sender(buckets: int, length: int, k: int):
                 heads = np.flatnonzero(new)
                 one = at[heads]
                 run, step = repeats.spread(n[one])
-                rows.append((bucket, int(chunk.column("chunk")[0].as_py()), repeats.packed_seeds(seeds[one]), blob(n[one], "<u2"),
+                times = blob(np.diff(np.append(heads, len(at))), "<u4")
+                rows.append((bucket, bucket, own, repeats.packed_seeds(seeds[one]), blob(n[one], "<u2"),
                              blob(rolling.hash_at(units, first[one][run] + step, length, rolling.WINDOW_BASE), "<u8"),
-                             blob(np.diff(np.append(heads, len(at))), "<u4"), blob(document[at], "<i4"),
+                             times, None, None))
+                rows.append((repeats.own_group(own), bucket, own, None, None, None, times, blob(document[at], "<i4"),
                              blob(first[at] - bounds[document[at]], "<i8")))
-        columns = list(zip(*rows)) or [[]] * 8
-        return pa.table([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(columns)],
-                        names=[x.split()[0] for x in _SENT.split(", ")])
+        return repeats.binary_table(rows, _SENT)
 
     return send
 
 
-def _parse_block(table: pa.Table) -> pa.Table:
-    """For each chunk, from a whole reference block: (doc, first, mask) of the runs of
-    windows, bit j of the mask telling that window first + j also starts elsewhere."""
-    kinds = {"windows": "<u2", "hashes": "<u8", "times": "<u4", "docs": "<i4", "firsts": "<i8"}
+def parse_block(seeds: np.ndarray, n: np.ndarray, hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greedy parse of strings of ``n`` windows each against the block that they make up, ``hashes`` of whose windows
+    come one after the other: for each window the place in the block that its factor follows there, or -1, and
+    whether a factor starts at it. ``times``: how often the string occurs."""
+    run, step = repeats.spread(n)
+    size = len(run)
+    order = np.lexsort((np.arange(size), seeds[run], hashes))
+    new = np.ones(size, bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (seeds[run][order][1:] != seeds[run][order][:-1])
+    heads = np.flatnonzero(new)
+    counts = np.diff(np.append(heads, size))
+    # the index: a window's first place in the block; for that place itself the second, or its own if the string has copies
+    elsewhere = np.empty(size, np.int64)
+    elsewhere[order] = np.repeat(order[heads], counts)
+    alone = order[heads]
+    second = order[np.minimum(heads + 1, size - 1)] if size else order
+    elsewhere[alone] = np.where(counts > 1, second, np.where(times[run[alone]] > 1, alone, -1))
+    follows = np.full(size, -1, np.int64)
+    begins = np.zeros(size, bool)
+    start = np.cumsum(n) - n
+    for at in range(int(n.max(initial=0))):
+        here = start[n > at] + at
+        before = follows[here - 1] if at else np.full(len(here), -1)
+        next_ = np.minimum(before + 1, size - 1)
+        goes_on = (before >= 0) & (before + 1 < size) & (run[next_] == run[np.maximum(before, 0)]) \
+            & (hashes[next_] == hashes[here]) & (seeds[run[next_]] == seeds[run[here]])
+        follows[here] = np.where(goes_on, next_, elsewhere[here])
+        begins[here] = ~goes_on & (follows[here] >= 0)
+    return follows, begins
+
+
+def _parser(table: pa.Table) -> pa.Table:
+    """For each chunk, from a whole reference block: the masks of its distinct strings, bit j of a mask telling that window j
+    lies in a factor. A chunk's own places pass through."""
+    if table.column("group")[0].as_py() < 0:
+        names = [x.split()[0] for x in _BACK.split(", ")]
+        return repeats.binary_table([tuple(None if c == "masks" else r[c] for c in names) for r in table.to_pylist()], _BACK)
+    kinds = {"windows": "<u2", "hashes": "<u8", "times": "<u4"}
+    table = table.sort_by("chunk")
     parts = {c: unblob(table.column(c), kind) for c, kind in kinds.items()}
     parts["seeds"] = repeats.unpacked_seeds(table.column("seeds"))
     seeds, n, hashes, times = (np.concatenate(parts[c]) for c in ("seeds", "windows", "hashes", "times"))
-    n, times = n.astype(np.int64), times.astype(np.int64)
+    n = n.astype(np.int64)
+    follows, _ = parse_block(seeds, n, hashes, times)
     run, step = repeats.spread(n)
-    order = np.lexsort((seeds[run], hashes))
-    new = np.ones(len(order), bool)
-    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (seeds[run][order][1:] != seeds[run][order][:-1])
-    place = np.cumsum(new) - 1
-    known = np.bincount(place, times[run][order])  # the index: how often each window occurs
-    marked = np.zeros(len(n), np.int64)
-    twice = order[known[place] >= 2]
-    np.bitwise_or.at(marked, run[twice], np.int64(1) << step[twice])
-    mask = np.repeat(marked, times)
+    inside = np.flatnonzero(follows >= 0)
+    masks = np.zeros(len(n), np.int64)
+    np.bitwise_or.at(masks, run[inside], np.int64(1) << step[inside])
     rows, at = [], 0
-    for chunk, docs, firsts in zip(table.column("chunk").to_pylist(), parts["docs"], parts["firsts"]):
-        part = mask[at:at + len(docs)]
-        at += len(docs)
-        hit = part != 0
-        if hit.any():
-            rows.append((chunk, blob(docs[hit], "<i4"), blob(firsts[hit], "<i8"), blob(part[hit], "<i8")))
-    columns = list(zip(*rows)) or [[]] * 4
-    return pa.table([pa.array(c, pa.int64() if i < 1 else pa.binary()) for i, c in enumerate(columns)],
-                    names=["chunk", "docs", "firsts", "masks"])
+    for chunk, bucket, own in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), parts["seeds"]):
+        part = masks[at:at + len(own)]
+        at += len(own)
+        if part.any():
+            rows.append((chunk, bucket, blob(part, "<i8"), None, None, None))
+    return repeats.binary_table(rows, _BACK)
 
 
 _CUT = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
@@ -121,8 +150,11 @@ def _cutter(length: int):
             data, edges = repeats.texts_of(chunk)
             _, _, bounds = rolling.word_spans(data, edges)
             none = np.zeros(0, np.int64)
-            docs, firsts, masks = (np.concatenate([none, *unblob(hits.column(c), kind)]) for c, kind in (
-                ("docs", "<i4"), ("firsts", "<i8"), ("masks", "<i8")))
+            parts = [(none, none, none)]
+            for (masks,), string, docs, firsts in repeats.places_and_answers(hits, ("masks", "<i8")):
+                hit = masks[string] != 0
+                parts.append((docs[hit], firsts[hit], masks[string][hit]))
+            docs, firsts, masks = map(np.concatenate, zip(*parts))
             width = int(masks.max()).bit_length() if len(masks) else 0
             starts = bounds[docs] + firsts
             marked = np.sort(np.concatenate([none, *(starts[(masks >> j) & 1 == 1] + j for j in range(width))]))
@@ -153,7 +185,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     chunks, n = repeats.chunked(docs, key, text, chunk_bytes)
     shared = repeats.repeated_seeds(chunks, n, _words, seed, length, hot)
     sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_sender(n, length, seed), _SENT)
-    hits = sent.groupBy("bucket").applyInArrow(_parse_block, "chunk long, docs binary, firsts binary, masks binary")
+    hits = sent.groupBy("group").applyInArrow(_parser, _BACK)
     cut = chunks.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(
         _cutter(length), "id long, version long, n_words long, n_removed long, "
                          "spans array<struct<start:long,end:long>>, kept string")

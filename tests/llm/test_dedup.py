@@ -113,7 +113,8 @@ def test_suffix_dedup_compares_bytes_of_strings_that_hash_alike(monkeypatch):
         *suffix_dedup._byte_units(*repeats.texts_of(c)), k, length)[0] for c in chunks]))
     shared = pa.table({"seeds": [repeats.packed_seeds(seeds)], "hot": [repeats.blob(np.zeros(len(seeds)), "u1")]})
     sent = pa.concat_tables(suffix_dedup._sender(1, length, k)(c, shared) for c in chunks)
-    hits = suffix_dedup._sorter(length)(sent)
+    hits = pa.concat_tables(suffix_dedup._sorter(length)(sent.filter(pa.compute.equal(sent.column("group"), g)))
+                            for g in sent.column("group").unique().to_pylist())
     got = {}
     for i, chunk in enumerate(chunks):
         own = hits.filter(pa.compute.equal(hits.column("chunk"), i))
@@ -175,6 +176,56 @@ def test_sketch_agreement_estimates_similarity():
         assert (near_dedup.sketch(np.unique(a)) == x).all()
 
 
+def test_parse_follows_the_reference_and_marks_every_repeated_window():
+    rnd = np.random.default_rng(6)
+    for _ in range(40):
+        strings = [rnd.integers(0, 4, rnd.integers(1, 12)).astype(np.uint64) for _ in range(rnd.integers(1, 15))]
+        times = rnd.choice([1, 1, 3], len(strings))
+        n, hashes = np.array([len(x) for x in strings]), np.concatenate(strings)
+        seeds = rnd.integers(0, 2, len(strings)).astype(np.uint64)
+        follows, begins = substring_dedup.parse_block(seeds, n, hashes, times)
+        run = np.repeat(np.arange(len(n)), n)
+        key = list(zip(hashes.tolist(), seeds[run].tolist()))
+        for i, place in enumerate(follows.tolist()):
+            known = sum(int(times[run[j]]) for j, k in enumerate(key) if k == key[i])
+            assert (place >= 0) == (known > 1)
+            if place >= 0:
+                assert key[place] == key[i] and (place != i or times[run[i]] > 1)
+                goes_on = i and run[i - 1] == run[i] and follows[i - 1] >= 0 and follows[i - 1] + 1 == place and run[place - 1] == run[place]
+                assert begins[i] != bool(goes_on)
+                if begins[i] and i and run[i - 1] == run[i] and follows[i - 1] >= 0:  # greedy: the factor before could not go on
+                    after = int(follows[i - 1]) + 1
+                    assert after >= len(run) or run[after] != run[after - 1] or key[after] != key[i]
+
+
+@pytest.mark.parametrize("module", ["substring_dedup", "suffix_dedup"])
+def test_groups_follow_chunks_and_not_the_occurrences_of_a_passage(spark, module, monkeypatch, tmp_path):
+    """One passage in a third of all documents: what a bucket gets about it is a string a chunk."""
+    passage, rnd = " ".join(f"p{i}" for i in range(60)), random.Random(2)
+    rows = [(i, " ".join(f"{rnd.randrange(10 ** 9)}" for _ in range(6)) + (" " + passage if i % 3 == 0 else "")) for i in range(3000)]
+    module = {"substring_dedup": substring_dedup, "suffix_dedup": suffix_dedup}[module]
+    seen, own = str(tmp_path), module._parser if module is substring_dedup else module._sorter(50)
+
+    def spy(table):
+        group = table.column("group")[0].as_py()
+        size = [sum(len(b.as_py() or b"") for b in table.column(c)) for c in ("seeds", "docs")]
+        with open(f"{seen}/{group}", "w") as f:
+            f.write(f"{table.num_rows} {size[0]} {size[1]}")
+        return own(table)
+
+    monkeypatch.setattr(module, "_parser" if module is substring_dedup else "_sorter", spy if module is substring_dedup else lambda _: spy)
+    done = (substring_dedup.drop_repeats if module is substring_dedup else suffix_dedup.drop_later_copies)(
+        spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=20_000)
+    removed = {r.doc_id: r.n_removed for r in done.collect()}
+    first = 0 if module is suffix_dedup else None
+    assert all((removed[i] > 0) == (i % 3 == 0 and i != first) for i, _ in rows)
+    chunks = -(-sum(len(t) for _, t in rows) // 20_000)
+    told = {int(f.name): tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()}
+    assert max(rows for g, (rows, *_) in told.items() if g >= 0) <= chunks
+    assert max(seeds for g, (_, seeds, _) in told.items() if g >= 0) <= chunks * 6 * 400  # strings of the passage, not documents
+    assert all(docs == 0 for g, (_, _, docs) in told.items() if g >= 0)
+
+
 def test_members_of_one_root_hardly_meet(spark):
     rows = [(1, 0, i) for i in range(500)] + [(1, 1, 1000)] + [(2, 0, i) for i in range(500)]   # shingle 2 has one root
     rows += [(3, r, 100 * r + i) for r in range(4) for i in range(10 * (r + 1))]
