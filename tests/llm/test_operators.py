@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
-from funnelry.llm import chat_format, decontaminate, packing, quality, topk_search, url_filter
+from funnelry.llm import chat_format, decontaminate, packing, quality, queries, topk_search, url_filter
 from pyspark.sql import functions as F
 
 # --- URL filters ----------------------------------------------------------------
@@ -164,6 +164,57 @@ def test_quality_calibrates_on_whole_texts_and_one_row_of_an_id(spark):
     assert quality.fit(docs.unionAll(docs).unionAll(docs), labels) == quality.fit(docs, labels)
 
 
+def plain_score(model, text):
+    """The score of one text, straight from the rule: sizes of whole chunks by either dictionary, then the logistic curve."""
+    import math
+
+    import zstandard
+
+    data = (text or "").encode()
+    total = []
+    for dictionary in (model.good, model.bad):
+        kind = zstandard.DICT_TYPE_RAWCONTENT if model.raw else zstandard.DICT_TYPE_FULLDICT
+        level = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=kind),
+                                         write_checksum=False, write_content_size=False, write_dict_id=False)
+        total.append(sum(len(level.compress(data[i:i + 1024])) for i in range(0, len(data), 1024)))
+    a, b = total
+    difference, ratio, length = (b - a) / max(a + b, 1), math.log((a + 5) / (len(data) + 20)), math.log(len(data) + 20)
+    x = [difference, ratio, ratio ** 2, length, difference * length]
+    z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_quality_query_equals_scoring_text_by_text(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs.select("doc_id", "text"), labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = queries.QUERIES["op5_quality"](spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        want = plain_score(model, texts[r.doc_id])
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(want >= 0.7 if abs(want - 0.7) > 1e-9 else r.predicted)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_labels_of_held_out_rows_change_nothing(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality.fit(docs, labels) == quality.fit(docs, turned)
+
+
+def test_long_texts_teach_with_pieces_from_all_over(spark):
+    rnd = random.Random(4)
+    texts = ["x" * 50, "é" * 300, "", "".join(rnd.choices("abcdefgh \n", k=9000))]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(
+        quality.spread_pieces(F.col("t"), 300, 100).alias("s")).collect()]
+    assert got[:3] == texts[:3]
+    pieces = [texts[3][i:i + 100] for i in range(0, 9000, 100)]
+    at = [next(i for i, p in enumerate(pieces) if got[3][k:k + 100] == p) for k in (0, 101, 202)]
+    assert len(got[3]) == 302 and at == sorted(at) and at != [0, 1, 2]
+
+
 # --- packing ----------------------------------------------------------------------
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
