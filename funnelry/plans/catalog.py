@@ -368,7 +368,7 @@ def q_worst_pockets_sql(spark, sf):
 
 
 def _ranked(frame: DataFrame, by: list) -> DataFrame:
-    """The place of each row in the report's own order, over a few rows per segment."""
+    """The place of each row in the report's own order. One window over all rows: they are a row per segment, a few at any scale."""
     return frame.withColumn("place", F.row_number().over(Window.orderBy(*by)))
 
 
