@@ -24,6 +24,8 @@ def main(argv: list[str] | None = None) -> dict:
     ap.add_argument("--hits", help="raw flat hits (csv or parquet)")
     ap.add_argument("--nested", help="nested session records directory (parquet or json)")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet", "json"], help="input format")
+    ap.add_argument("--day-tables", action="store_true", help="--nested holds a table a day, ga_sessions_yyyyMMdd")
+    ap.add_argument("--tolerant", action="store_true", help="session rows with bad cells go to <out>/rejects and end no job (csv)")
     ap.add_argument("--date-from")
     ap.add_argument("--date-to")
     ap.add_argument("--out", required=True)
@@ -35,32 +37,37 @@ def main(argv: list[str] | None = None) -> dict:
 
     from pyspark.sql import SparkSession
     spark = (get_spark(master=args.master) if args.master else SparkSession.builder.getOrCreate())
-    from .operators import funnel, nested, reports
+    from .operators import cleaning, funnel, nested, reports
     from .plans.pipeline import run_batch
-    from .sinks import writers
-    from .sources import files
+    from .sinks import publish, writers
+    from .sources import day_tables, files, rejects
 
     out = args.out.rstrip("/")
     if args.nested:
-        n = files.read_nested_sessions(spark, args.nested, "json" if args.format == "json" else "parquet",
-                                       args.date_from, args.date_to)
+        fmt = "json" if args.format == "json" else "parquet"
+        read = (lambda: day_tables.read_day_tables(spark, args.nested, args.date_from, args.date_to, fmt=fmt)) if args.day_tables \
+            else (lambda: files.read_nested_sessions(spark, args.nested, fmt, args.date_from, args.date_to))
+        n = cleaning.tolerant_dates(read()) if args.tolerant else read()
         writers.write_parquet(nested.flatten_nested(n), f"{out}/processed/sessions")
         s = spark.read.parquet(f"{out}/processed/sessions")
         writers.write_json_document(reports.findings(s), f"{out}/findings")
         tables = {"funnel_stage": funnel.funnel_stage(s), "funnel_by_device": funnel.funnel_by_segment(s),
                   "channel_performance": funnel.channel_performance(s),
                   "device_channel_matrix": funnel.segment_matrix(s), "daily_trend": funnel.daily_trend(s)}
-        result = {"sessions": f"{out}/processed/sessions", "findings": f"{out}/findings", "extracts": {}}
-        for name, df in tables.items():
-            path = f"{out}/extracts/{name}"
-            (writers.write_csv(df, path, single_file=name in writers.ONE_FILE) if args.extract_format == "csv"
-             else df.write.mode("overwrite").parquet(path))
-            result["extracts"][name] = path
+        done = publish.publish(spark, tables, f"{out}/extracts", args.extract_format, single_file=writers.ONE_FILE)
+        result = {"sessions": f"{out}/processed/sessions", "findings": f"{out}/findings",
+                  "extracts": {name: f"{out}/extracts/{path}" for name, path in done.tables.items()}}
     else:
         if not (args.sessions and args.hits):
             ap.error("--sessions and --hits are required without --nested")
         fmt = "parquet" if args.format == "parquet" else "csv"
-        raw_s = files.date_range(files.read_raw_sessions(spark, args.sessions, fmt), args.date_from, args.date_to)
+        if args.tolerant and fmt == "csv":
+            parts = rejects.read_checked(spark, args.sessions, out=f"{out}/checked")
+            rejects.write_rejects(parts.rejects, f"{out}/rejects")
+            raw_s = parts.good
+        else:
+            raw_s = files.read_raw_sessions(spark, args.sessions, fmt)
+        raw_s = files.date_range(raw_s, args.date_from, args.date_to)
         raw_h = files.read_raw_hits(spark, args.hits, fmt)
         if args.date_from or args.date_to:
             raw_h = raw_h.join(raw_s.select("session_id").distinct(), "session_id", "left_semi")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators import cleaning, funnel, nested, reports, stats
 from .session import Scratch, materialize
+from .sources import day_tables
 from .spec import DEFAULT_SPEC, FunnelSpec
 
 
@@ -32,6 +33,12 @@ class FunnelAnalysis:
         flat = nested.flatten_nested(nested_sessions, spec, date_from, date_to)
         return cls(spec=spec, _sessions=flat)
 
+    @classmethod
+    def from_day_tables(cls, spark: SparkSession, root: str, date_from: str | None = None, date_to: str | None = None,
+                        spec: FunnelSpec = DEFAULT_SPEC, **options) -> "FunnelAnalysis":
+        """Start from a table a day (``ga_sessions_yyyyMMdd``); ``options`` go to ``read_day_tables``."""
+        return cls.from_nested(day_tables.read_day_tables(spark, root, date_from, date_to, **options), spec)
+
     @classmethod
     def from_clean(cls, sessions: DataFrame, raw_sessions: DataFrame | None = None,
                    hits: DataFrame | None = None, products: DataFrame | None = None,

@@ -92,7 +92,7 @@ def flatten_nested(nested: DataFrame, spec: FunnelSpec = DEFAULT_SPEC, date_from
     fields = {
         "session_id": F.concat(F.col("fullVisitorId"), F.lit("-"), F.col("visitId").cast("string")),
         "fullVisitorId": F.col("fullVisitorId"),
-        "date": parse_yyyymmdd("date"),
+        "date": F.col("date") if dict(n.dtypes)["date"] == "date" else parse_yyyymmdd("date"),
         "channel": F.col("channelGrouping"),
         "device": F.col("device.deviceCategory"),
         "country": F.col("geoNetwork.country"),

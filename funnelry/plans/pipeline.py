@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning, reports
 from ..session import Scratch, materialize
-from ..sinks import writers
+from ..sinks import publish, writers
 from ..spec import DEFAULT_SPEC, FunnelSpec
 
 
@@ -54,8 +54,9 @@ def run_batch(spark: SparkSession, raw_sessions: DataFrame, raw_hits: DataFrame,
     sessions = spark.read.parquet(paths.sessions)
     purchases = spark.read.parquet(paths.purchases)
     writers.write_json_document(reports.findings(sessions, spec), paths.findings)
-    paths.extracts = writers.publish_extracts(spark, sessions, purchases, f"{out}/extracts",
-                                              extract_format, spec)
+    # all six or none: a failure leaves the version before (sinks.publish)
+    done = publish.publish_extracts(spark, sessions, purchases, f"{out}/extracts", extract_format, spec)
+    paths.extracts = {name: f"{out}/extracts/{path}" for name, path in done.tables.items()}
     # 3. optional catalog tables for SQL users (FROM sessions / FROM purchases)
     if database:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
