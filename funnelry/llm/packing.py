@@ -34,9 +34,9 @@ from .tasks import record_batch, small_batches, worker_state
 TOKENS, SEGMENTS = 4096, 1024
 END_ID = 2
 #: Words of a generation of a worker's memory; it keeps two.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 #: Bytes of text whose words are looked up together.
-SLICE = 8 << 20
+SLICE = 2 << 20
 _LATIN = [chr(c) for c in range(256)]
 _LETTERS, _NUMBERS = "".join(filter(str.isalpha, _LATIN)), "".join(c for c in _LATIN if c.isnumeric())
 #: How the tokenizer cuts text up to U+00FF, a fixed pattern of its file; and the line breaks between the words that are asked about.
@@ -290,6 +290,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
         pieces = packer.finish()
         if pieces:
             yield batch_of(pieces)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     packed = rows.mapInArrow(pack, "key long, start long, length long, ids_crc32 long, doc_tokens long, "
                                    "sequence_id long, offset long, n_loss long, ids binary")
