@@ -14,7 +14,7 @@ COLUMNS = ["session_id", "hitNumber", "event_type", es.CODE, "productSKU", "v2Pr
 
 def _replay(spark, rows, path, order, parts):
     """The rows as a stream of files, in the order of a column, a file a batch."""
-    ranked = rows.withColumn("_part", F.ntile(parts).over(Window.orderBy(order))).cache()
+    ranked = rows.withColumn("_part", F.ntile(parts).over(Window.orderBy(order)))
     for i in range(1, parts + 1):
         ranked.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
