@@ -19,7 +19,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,17 @@ from .tasks import record_batch, small_batches, worker_state
 
 TOKENS, SEGMENTS = 4096, 1024
 END_ID = 2
-#: Words of a generation of a worker's memory; it keeps two.
-KNOWN_WORDS = 100_000
-#: Bytes of text whose words are looked up together.
+#: Pieces that a worker's memory keeps, and as many odd words; bytes of the longest.
+KNOWN_WORDS, KNOWN_LENGTH = 200_000, 128
+#: Bytes of text whose pieces are looked up together.
 SLICE = 2 << 20
+#: What stands for an odd word among the pieces; no piece holds it.
+_ODD = b"\n"
 _LATIN = [chr(c) for c in range(256)]
-_LETTERS, _NUMBERS = "".join(filter(str.isalpha, _LATIN)), "".join(c for c in _LATIN if c.isnumeric())
-#: How the tokenizer cuts text up to U+00FF, a fixed pattern of its file; and the line breaks between the words that are asked about.
-_PIECES = re.compile(rf"\n|'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}\t-\r \x85\xa0]+")
+#: How the tokenizer tells characters up to U+00FF apart, in a fixed pattern of its file.
+_BLANK, _LETTER, _NUMBER, _OTHER = range(4)
+_KINDS = bytes(_BLANK if c in "\t\n\v\f\r \x85\xa0" else _LETTER if c.isalpha() else _NUMBER if c.isnumeric() else _OTHER for c in _LATIN)
+_LOWER = bytes(ord(c.lower()) for c in _LATIN)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,14 +54,51 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Memory:
+    """What ``ask`` says of keys, both bytes and kept in Arrow arrays, with at most ``KNOWN_WORDS`` and one slice's keys."""
+
+    def __init__(self, ask: Callable[[list[bytes]], list[bytes]]):
+        self.ask = ask
+        self.keys, self.values = pa.array([_ODD], pa.large_binary()), pa.array([b""], pa.large_binary())
+        self.again = np.ones(1, bool)  # met again since it came or since the last time some were forgotten
+
+    def find(self, keys: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Values, and the place among them of each key's."""
+        if len(self.keys) > KNOWN_WORDS:
+            self._forget()
+        values = self.values
+        at = pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy().copy()
+        self.again[at[at >= 0]] = True
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            numbered = keys.take(pa.array(unknown)).dictionary_encode()
+            new, which = numbered.dictionary, numbered.indices.to_numpy()
+            said = pa.array(self.ask(new.to_pylist()), pa.large_binary())
+            at[unknown] = len(values) + which
+            values = pa.concat_arrays([values, said])
+            short = pc.less_equal(pc.binary_length(new), KNOWN_LENGTH)
+            self.keys = pa.concat_arrays([self.keys, new.filter(short)])
+            self.values = pa.concat_arrays([self.values, said.filter(short)])
+            self.again = np.append(self.again, (np.bincount(which) > 1)[short.to_numpy(zero_copy_only=False)])
+        return values, at
+
+    def _forget(self) -> None:
+        """Keeps keys met again, at most half of the memory, the oldest first; always the first."""
+        self.again[0] = True
+        kept = pa.array(np.flatnonzero(self.again)[:max(1, KNOWN_WORDS // 2)])
+        self.keys, self.values = self.keys.take(kept), self.values.take(kept)
+        self.again = np.zeros(len(kept), bool)
+
+
 class WordTokenizer:
     """Ids of texts, the tokenizer's model asked once for each piece of a word.
 
-    The tokenizer drops white space and lets no token cross it, so a text's ids are
-    those of its words between ASCII blanks. Arrow cuts the words out and numbers the
-    distinct ones, and only those become Python strings. Words of letters up to U+00FF are cut
-    into pieces as the tokenizer cuts them (its normaliser only lower-cases them) and
-    the pieces go to its model, many in one call; all others go through the whole tokenizer.
+    The tokenizer drops white space and lets no token cross it or a piece's end, so a
+    text's ids are those of its pieces. Words of characters up to U+00FF are cut into
+    pieces as the tokenizer cuts them (its normaliser only lower-cases them), all words
+    of a slice at once, one byte a character. Arrow looks the pieces up among those known, kept
+    in Arrow arrays; the distinct new ones go to the tokenizer's model, many in one call. All
+    other words go through the whole tokenizer, each distinct new one once.
     """
 
     def __init__(self, path: str):
@@ -66,88 +107,104 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it has
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
-        self.model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
-        self.letters = _byte_letters() | {10: "\n"}
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        letters = _byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)} | {10: "\n"}
         vocabulary = self.whole.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         #: Strings that stand for an id of their own wherever they are, told apart by case.
         self.special = [token.content for token in self.whole.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces, self.odd = _Memory(self._ask), _Memory(self._whole)
 
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(coded.ids, dtype="<u4").tobytes()
-                for coded in self.whole.encode_batch(words, add_special_tokens=False)]
+    def _whole(self, words: list[bytes], coding: str = "utf-32-le") -> list[bytes]:
+        found = [coded.ids for coded in self.whole.encode_batch_fast([word.decode(coding) for word in words], add_special_tokens=False)]
+        data = np.fromiter(chain.from_iterable(found), dtype="<u4").tobytes()
+        ends = np.cumsum([4 * len(ids) for ids in found]).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
-    def _ask(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that the model sees as they are."""
+    def _ask(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces in Latin-1 that the model sees as they are."""
         out: list[bytes] = []
-        rows = "\n".join(pieces).encode().decode("latin-1").translate(self.letters).split("\n")
-        parts = ["\n".join(rows[at:at + 200]) for at in range(0, len(rows), 200)]
-        for at, coded in enumerate(self.model.encode_batch_fast(parts, add_special_tokens=False) if pieces else []):
-            own = pieces[at * 200:at * 200 + 200]
+        parts = [pieces[at:at + 200] for at in range(0, len(pieces), 200)]
+        rows = [b"\n".join(part).decode("latin-1").translate(self.letters) for part in parts]
+        for own, coded in zip(parts, self.model.encode_batch_fast(rows, add_special_tokens=False)):
             ids = np.array(coded.ids, dtype="<u4")
             cuts = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
             data = ids.tobytes()
             # else a byte that the vocabulary lacks
-            out += [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts)] if len(cuts) == len(own) else self._whole(own)
+            out += [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts)] if len(cuts) == len(own) else self._whole(own, "latin-1")
         return out
 
-    def learn(self, words: list[str]) -> None:
-        plain, odd, together = words, [], "\n".join(words)
-        special = [token for token in self.special if token in together]
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; null has none."""
+        texts = [text or "" for text in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
+        if not texts:
+            return []
+        joined = "\n".join(texts) + "\n\n\n"
+        special = [found.start() for token in self.special if token in joined for found in re.finditer(re.escape(token), joined)]
         try:
-            together.encode("latin-1")
-            strange = bool(special)
+            chars, strange = joined.encode("latin-1"), bool(special)
         except UnicodeEncodeError:
-            strange = True
+            chars, strange = joined.encode("latin-1", "replace"), True  # one byte for each
+        chars = chars.translate(_LOWER)
+        kinds = np.frombuffer(chars.translate(_KINDS), np.uint8)
+        chars = np.frombuffer(chars, np.uint8)
+        begins, inside = _begins(chars, kinds), kinds != _BLANK
         if strange:
-            plain = []
-            for word in words:
-                (odd if max(word, default="") > "\xff" or any(token in word for token in special) else plain).append(word)
-            together = "\n".join(plain)
-        # one search over all words: a line break, which no word holds, keeps them apart and has no ids
-        found = pa.array(_PIECES.findall(together.lower() + "\n"), pa.string()).dictionary_encode()
-        pieces = found.dictionary.to_pylist()
-        apart = pieces.index("\n")
-        ids = self._ask([p for p in pieces if p != "\n"])
-        ids.insert(apart, b"")
-        data, past = _taken(ids, found.indices)
-        ends = past[1:][found.indices.to_numpy() == apart].tolist()
-        self.known.update(zip(plain, [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]))
-        self.known.update(zip(odd, self._whole(odd)))
-
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN_WORDS:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = [word for word in words if word not in known]
-        if older:
-            known.update({word: older[word] for word in new if word in older})
-            new = [word for word in new if word not in known]
-        if new:
-            self.learn(new)
-        return [known[word] for word in words]
-
-    def ids(self, texts: pa.Array) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; null has none."""
-        if not isinstance(texts, pa.Array):
-            texts = pa.array(texts, pa.string())
-        texts = pc.fill_null(texts, "")
-        if not any(pc.any(pc.match_substring(texts, token, ignore_case=True)).as_py() for token in self.special):
-            texts = pc.ascii_lower(texts)
-        words = pc.ascii_split_whitespace(texts)
-        numbered = words.flatten().dictionary_encode()
-        data, past = _taken(self._of_words(numbered.dictionary.to_pylist()), numbered.indices)
-        cuts = words.offsets.to_numpy()
-        cuts = past[cuts - cuts[0]].tolist()
+            wide = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+            odd = wide > 255
+            odd[special] = True
+            blanks = np.flatnonzero(~inside)
+            has_odd = np.diff(np.cumsum(odd)[blanks], prepend=0) > 0
+            starts, ends = np.append(0, blanks[:-1] + 1)[has_odd], blanks[has_odd]
+            among = np.zeros(len(chars), np.int8)
+            among[starts], among[ends] = 1, -1
+            among = np.cumsum(among, dtype=np.int8).view(bool)
+            words = _strings(wide[among].view(np.uint8), np.append(0, np.cumsum(ends - starts)) * 4)
+            among[starts] = False  # the first character stays and stands for the word
+            inside &= ~among
+            begins &= ~among
+            begins[starts] = True
+            chars = chars.copy()
+            chars[starts] = _ODD[0]
+        at = np.flatnonzero(begins)
+        chars = chars[inside]
+        values, which = self.pieces.find(_strings(chars, np.append(np.flatnonzero(begins[inside]), len(chars))))
+        if strange:
+            of_words, which_word = self.odd.find(words)
+            which[np.searchsorted(at, starts)] = len(values) + which_word
+            values = pa.concat_arrays([values, of_words])
+        data, past = _taken(values, pa.array(which))
+        cuts = np.cumsum([0] + [len(text) + 1 for text in texts])
+        cuts = past[np.searchsorted(at, cuts)].tolist()
         return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def _taken(values: list[bytes], which: pa.Array) -> tuple[bytes, np.ndarray]:
+def _begins(chars: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where the tokenizer's pattern begins a piece in lower-cased text, which ends in three blanks:
+    's|'t|'re|'ve|'m|'ll|'d|[letters]+|[number]|[others]+."""
+    begins = kinds == _NUMBER
+    begins[0] = True
+    begins[1:] |= kinds[1:] != kinds[:-1]
+    begins &= kinds != _BLANK
+    at = np.flatnonzero(begins & (chars == ord("'")))
+    one, two = chars[at + 1], chars[at + 2]
+    short = (one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    begins[at[short | long] + 1] = False
+    after = np.concatenate([at[short] + 2, at[long] + 3])
+    begins[after[kinds[after] == _LETTER]] = True
+    return begins
+
+
+def _strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+
+
+def _taken(values: pa.Array, which: pa.Array) -> tuple[bytes, np.ndarray]:
     """The chosen values one after the other, and the bounds of each."""
-    chosen = pa.array(values, pa.large_binary()).take(which)
+    chosen = values.take(which)
     _, bounds, data = chosen.buffers()
     bounds = np.frombuffer(bounds, np.int64)[chosen.offset:chosen.offset + len(chosen) + 1] if len(chosen) else np.zeros(1, np.int64)
     return (data.to_pybytes() if data is not None else b""), bounds

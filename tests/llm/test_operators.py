@@ -5,6 +5,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from funnelry.llm import chat_format, decontaminate, packing, quality, queries, topk_search, url_filter
@@ -322,6 +323,34 @@ def test_ids_of_odd_texts_equal_the_whole_tokenizer():
     assert got == [np.array(coded.ids, "<u4").tobytes() for coded in whole]
 
 
+def test_each_piece_of_a_word_is_asked_once(monkeypatch):
+    asked, ask = [], packing.WordTokenizer._ask
+
+    def spy(self, pieces):
+        asked.extend(p.decode("latin-1") if isinstance(p, bytes) else p for p in pieces)
+        return ask(self, pieces)
+
+    monkeypatch.setattr(packing.WordTokenizer, "_ask", spy)
+    tokenize = packing.WordTokenizer(TOKENIZER)
+    texts = ["Été don't know", "(été) DON'T know, 'know'", "know! don été't"]
+    got = [tokenize.ids([text])[0] for text in texts]
+    assert sorted(asked) == sorted(["été", "don", "'t", "know", "(", ")", ",", "'", "!"])
+    assert got == [whole_ids(text)[:-1].tobytes() for text in texts]
+
+
+def test_ids_of_contractions_and_long_words(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 20)
+    tokenize, rnd = packing.WordTokenizer(TOKENIZER), random.Random(2)
+    parts = ["'", "''", "'s", "'S", "'re", "'rE", "'r", "'ve", "'v", "'ll", "'l", "'m", "'d", "'t", "s", "e", "12", "½", ".", "É",
+             "’", "я", " ", "\n", "\x85", "\xa0", "\x1c", tokenize.special[0]]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 12))) for _ in range(3000)]
+    texts += ["x" * 500, "я" * 500, "x" * 500, "", " ", "'", "don'", "x'l", "x're"]
+    got = [x for at in range(0, len(texts), 5) for x in tokenize.ids(pa.array(texts[at:at + 5]))]
+    whole = tokenize.whole.encode_batch(texts, add_special_tokens=False)
+    assert got == [np.array(coded.ids, "<u4").tobytes() for coded in whole]
+    assert tokenize.ids(pa.array(["", None, " \n"])) == [b"", b"", b""] and tokenize.ids(pa.array([], pa.string())) == []
+
+
 def plain_fill(examples, limits):
     """One sequence by the rule: (key, tokens, tokens with loss) each; the dot product of demand and room ranks them."""
     room, out, left = list(limits), [], [list(e) for e in examples]
